@@ -16,7 +16,8 @@ from qrelia.sources.retrieval import RetrievalData, RetrievalSpec, load_spec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 # --- passages planted in documents ---------------------------------------------

@@ -12,8 +12,7 @@ from qrelia.session import durable
 
 MAX_ROUNDS = 12
 _CANDIDATES_PER_SLOT = 2
-
-_STATE = "batch long, ids array<long>, keys array<long>"
+_SHORT_LIST = 100_000  # batch numbers
 
 
 def text_keys(texts: Column) -> Column:
@@ -138,6 +137,13 @@ def _next_deal(open_state: DataFrame, left: DataFrame, salt: int) -> DataFrame |
         left = left.where(~F.arrays_overlap("keys", ruled_out))
         if left.isEmpty():
             return None
-    numbered = with_row_position(open_state.select("batch"), ["batch"], "_i")
+    numbered = _number_batches(open_state.select("batch"), n_open)
     drawn = left.withColumn("_i", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.lit(n_open)))
     return drawn.join(numbered, "_i").select("row_id", "keys", "batch")
+
+
+def _number_batches(batches: DataFrame, n: int) -> DataFrame:
+    """Add ``_i`` = 0..n-1; a short list is numbered in one task."""
+    if n > _SHORT_LIST:
+        return with_row_position(batches, ["batch"], "_i")
+    return batches.withColumn("_i", F.row_number().over(Window.orderBy("batch")) - 1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from qrelia.functions.text import bm25_tokenize
 from qrelia.operators.blocks import MATRIX_CELLS, block_topk
-from qrelia.operators.joins import lookup_join
+from qrelia.operators.joins import fits_broadcast, lookup_join
 from qrelia.session import durable
 
 # Parameters of the ranking function.
@@ -85,12 +85,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def join_postings(used: DataFrame, terms: DataFrame) -> DataFrame:
     """Query terms that occur in the corpus, with the term's statistics.
 
-    ``terms`` is cut to the query vocabulary first, so what is then looked up
-    grows with the queries and not with the corpus.
+    The term table grows with the corpus and stays where it is as long as the
+    query side is small enough to be broadcast. Otherwise it is cut to the query
+    vocabulary before query terms, some of them very common, look it up.
     """
-    vocabulary = used.select("term").distinct()
-    wanted = durable(terms.join(vocabulary, "term", "left_semi"))
-    return lookup_join(used, wanted, "term")
+    columns = [*used.columns, *[c for c in terms.columns if c != "term"]]
+    if fits_broadcast(used):
+        return terms.join(F.broadcast(used), "term").select(*columns)
+    wanted = durable(terms.join(used.select("term").distinct(), "term", "left_semi"))
+    return lookup_join(used, wanted, "term").select(*columns)
 
 
 def query_weights(queries: DataFrame, index: Bm25Index) -> DataFrame:

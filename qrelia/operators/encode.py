@@ -29,7 +29,9 @@ def encoder_udf(factory: Callable[[], Encoder], batch_size: int, normalize: bool
                 out.extend(unit_rows(vectors) if normalize else vectors)
             yield pd.Series(out, index=texts.index, dtype=object)
 
-    return encode
+    # Encoding is the dear part of a plan: marked like this, Spark neither calls
+    # it a second time inside a filter nor moves it below a repartition.
+    return encode.asNondeterministic()
 
 
 def encode_texts(

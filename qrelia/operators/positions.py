@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qrelia.session import durable
@@ -17,26 +17,23 @@ def with_row_position(df: DataFrame, order_by: list[str], name: str) -> DataFram
 
     Rows are range-partitioned and sorted in parallel; only one row count per
     partition is accumulated to get each partition's offset. The sorted rows are
-    written once, because both uses must see the same partition boundaries.
+    written first, because counting and numbering must see the same boundaries.
     """
     ordered = durable(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    part = F.shiftrightunsigned("_mid", _ROW_BITS).alias("_part")
-    per_part = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
+    part = F.shiftrightunsigned("_mid", _ROW_BITS).cast("int")
+    counts = ordered.groupBy(part.alias("part")).count().collect()  # one row per partition
+    rows = dict(counts)
+    offsets, total = [], 0
+    for i in range(max(rows, default=0) + 1):
+        offsets.append(total)
+        total += rows.get(i, 0)
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), part)
     row_in_part = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")  # one row per partition of the sort
-        .withColumn(name, F.col("_offset") + row_in_part)
-        .drop("_mid", "_part", "_offset")
-    )
+    return ordered.withColumn(name, offset + row_in_part).drop("_mid")
 
 
 def nth_position(df: DataFrame, pos: str, n: int):

@@ -60,11 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition a file scan that has fewer splits than the session has cores.
 
-    Only a small or oddly written input is shuffled by this: a large one already
-    has many more splits than cores and is returned as it is.
+    ``key`` is a column of mostly different values. Only a small or oddly written
+    input is shuffled by this: a large one already has many more splits than
+    cores and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -15,7 +15,7 @@ from qrelia.functions.text import (
     falsy_to_empty,
     normalize_text,
 )
-from qrelia.operators.joins import lookup_join
+from qrelia.operators.joins import broadcast_if_small, lookup_join
 from qrelia.operators.positions import (
     at_most,
     head_by_position,
@@ -210,19 +210,25 @@ def load_beir(
     if not unique_doc_ids:
         docs = dedup_corpus_last_wins(docs)
     judged = dedup_last_wins(judged, ["query_id", "doc_id"], "score").drop(POS)
-    judged = qrels_in_corpus(judged, docs)
-    kept = queries_with_qrels(dedup_last_wins(selected, ["query_id"], "text"), judged)
+    # Queries and judgements are read several times from here on; the corpus is not
+    # written, because streaming it again is cheaper than storing it.
+    judged = durable(qrels_in_corpus(judged, docs))
+    kept = durable(queries_with_qrels(dedup_last_wins(selected, ["query_id"], "text"), judged))
     return RetrievalData(docs, kept, judged)
 
 
 # --- question-answer layout --------------------------------------------------
 
 
-def context_surrogate_id(contexts: DataFrame) -> DataFrame:
-    """Add ``doc_id`` = ``corpus_{n}``, n counting contexts by first position."""
-    keys = with_row_position(contexts.select("context_key", POS), [POS], "_n")
-    ids = keys.select("context_key", F.concat(F.lit("corpus_"), F.col("_n")).alias("doc_id"))
-    return contexts.join(ids, "context_key")
+def context_surrogate_id(rows: DataFrame) -> DataFrame:
+    """``(context_key, pos, doc_id)`` per distinct context of ``rows(context_key, pos)``.
+
+    ``pos`` is where the context occurs first and ``doc_id`` is ``corpus_{n}``,
+    n counting contexts in that order.
+    """
+    firsts = rows.groupBy("context_key").agg(F.min(POS).alias(POS))
+    numbered = with_row_position(firsts, [POS], "_n")
+    return numbered.select("context_key", POS, F.concat(F.lit("corpus_"), "_n").alias("doc_id"))
 
 
 def join_context_ids(rows: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -239,38 +245,23 @@ def load_squad(
     the context of the row that trips the limit still enters the corpus.
     """
     spec = spec or RetrievalSpec(dataset="")
-    title = normalize_text(falsy_to_empty(table, spec.title_col))
-    rows = table.select(
-        cast_id(table[spec.id_col]).alias("query_id"),
-        normalize_text(table[spec.context_col]).alias("context"),
-        normalize_text(table[spec.question_col]).alias("question"),
-        title.alias("title"),
-        POS,
-    ).where("query_id IS NOT NULL AND context IS NOT NULL")
-    # Rows meet their context by a fixed-width digest, not by the whole text.
-    rows = rows.withColumn("context_key", F.sha2("context", 256))
-
-    asked, seen = rows, rows
-    if limit is not None:
-        first_seen = rows.groupBy("query_id").agg(F.min(POS).alias(POS))
-        bound = nth_position(first_seen, POS, limit) if limit > 0 else None
-        if limit <= 0:
-            asked, after = rows.limit(0), rows
-        elif bound is not None:
-            asked = rows.where(at_most(F.col(POS), bound))
-            after = rows.where(~at_most(F.col(POS), bound))
-        if limit <= 0 or bound is not None:
-            trip = nth_position(after, POS, 1)
-            seen = rows if trip is None else rows.where(at_most(F.col(POS), trip))
-
-    first = seen.groupBy("context_key").agg(
-        F.min(POS).alias(POS),
-        F.min_by(F.struct("title", "context"), POS).alias("_first"),
-    )
-    contexts = context_surrogate_id(first)
-    corpus = contexts.select(
-        "doc_id", corpus_text(F.col("_first.title"), F.col("_first.context")).alias("text"), POS
+    context = normalize_text(table[spec.context_col])
+    # Rows meet their context by a digest; of the table, only these narrow rows
+    # are kept and joined, while the contexts themselves are read once more.
+    rows = durable(
+        table.select(
+            cast_id(table[spec.id_col]).alias("query_id"),
+            normalize_text(table[spec.question_col]).alias("question"),
+            F.sha2(context, 256).alias("context_key"),
+            POS,
+        ).where("query_id IS NOT NULL AND context_key IS NOT NULL")
     )
+    asked, seen = _first_questions(rows, limit)
+
+    contexts = context_surrogate_id(seen.select("context_key", POS))
+    title = normalize_text(falsy_to_empty(table, spec.title_col))
+    texts = table.select(corpus_text(title, context).alias("text"), POS)
+    corpus = texts.join(broadcast_if_small(contexts.select("doc_id", POS)), POS)
     queries = dedup_first_wins(asked, ["query_id"], "question").withColumnRenamed("question", "text")
     qrels = (
         join_context_ids(asked.select("query_id", "context_key", POS), contexts)
@@ -278,7 +269,24 @@ def load_squad(
         .distinct()
         .withColumn("score", F.lit(1))
     )
-    return RetrievalData(corpus, queries, qrels)
+    return RetrievalData(corpus.select("doc_id", "text", POS), queries, qrels)
+
+
+def _first_questions(rows: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows that give queries under a limit, and rows whose contexts are seen."""
+    if limit is None:
+        return rows, rows
+    asked, after = rows.limit(0), rows
+    if limit > 0:
+        first_seen = rows.groupBy("query_id").agg(F.min(POS).alias(POS))
+        bound = nth_position(first_seen, POS, limit)
+        if bound is None:
+            return rows, rows
+        asked = rows.where(at_most(F.col(POS), bound))
+        after = rows.where(~at_most(F.col(POS), bound))
+    trip = nth_position(after, POS, 1)
+    seen = rows if trip is None else rows.where(at_most(F.col(POS), trip))
+    return asked, seen
 
 
 # --- dispatch ----------------------------------------------------------------

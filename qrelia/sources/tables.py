@@ -56,13 +56,13 @@ def read_table(
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.format(fmt).load(path)
     if order_by:
-        return spread(with_order(df, order_by))
+        return spread(with_order(df, order_by), POS)
     if fmt != "parquet":
         raise ValueError(f"order_by is needed for {fmt}")
     row = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
-    return spread(df.select("*", row.alias(POS)))
+    return spread(df.select("*", row.alias(POS)), POS)
 
 
 def trim_triplets(df: DataFrame, hard_negatives: bool = True) -> DataFrame:
