@@ -33,55 +33,45 @@ class Cutoffs:
 # number of relevant documents.
 
 
-def _within(hits: Column, k: int) -> Column:
-    return F.filter(hits, lambda r: r <= k)
+def accuracy_at_k(k: int) -> Column:
+    return F.expr(f"double(exists(hits, r -> r <= {k}))")
 
 
-def accuracy_at_k(hits: Column, k: int) -> Column:
-    return F.exists(hits, lambda r: r <= k).cast("double")
+def precision_at_k(k: int) -> Column:
+    """Hits over k, also when the ranked list is shorter than k."""
+    return F.expr(f"size(filter(hits, r -> r <= {k})) / double({k})")
 
 
-def precision_at_k(hits: Column, k: int) -> Column:
-    return F.size(_within(hits, k)) / F.lit(float(k))
+def recall_at_k(k: int) -> Column:
+    return F.expr(f"size(filter(hits, r -> r <= {k})) / double(greatest(n_rel, 1))")
 
 
-def recall_at_k(hits: Column, n_rel: Column, k: int) -> Column:
-    return F.size(_within(hits, k)) / F.greatest(n_rel, F.lit(1)).cast("double")
+def mrr_at_k(k: int) -> Column:
+    return F.expr(f"if(get(hits, 0) <= {k}, 1D / get(hits, 0), 0D)")
 
 
-def mrr_at_k(hits: Column, k: int) -> Column:
-    first = F.get(hits, F.lit(0))
-    return F.when(first <= k, F.lit(1.0) / first).otherwise(F.lit(0.0))
+def ndcg_at_k(k: int) -> Column:
+    gain = f"aggregate(filter(hits, r -> r <= {k}), 0D, (acc, r) -> acc + 1D / log2(r + 1D))"
+    ideal = f"aggregate(sequence(1, int(least(n_rel, {k}))), 0D, (acc, r) -> acc + 1D / log2(r + 1D))"
+    return F.expr(f"if(n_rel > 0, {gain} / {ideal}, 0D)")
 
 
-def _discount(rank: Column) -> Column:
-    return F.lit(1.0) / F.log2(rank + F.lit(1.0))
-
-
-def ndcg_at_k(hits: Column, n_rel: Column, k: int) -> Column:
-    gain = F.aggregate(_within(hits, k), F.lit(0.0), lambda acc, r: acc + _discount(r))
-    ideal_ranks = F.sequence(F.lit(1), F.least(n_rel, F.lit(k)).cast("int"))
-    ideal = F.aggregate(ideal_ranks, F.lit(0.0), lambda acc, r: acc + _discount(r))
-    return F.when(n_rel > 0, gain / ideal).otherwise(F.lit(0.0))
-
-
-def map_at_k(hits: Column, n_rel: Column, k: int) -> Column:
-    precisions = F.transform(_within(hits, k), lambda r, i: (i + 1.0) / r)
-    total = F.aggregate(precisions, F.lit(0.0), lambda acc, p: acc + p)
-    return F.when(n_rel > 0, total / F.least(n_rel, F.lit(k))).otherwise(F.lit(0.0))
+def map_at_k(k: int) -> Column:
+    precisions = f"transform(filter(hits, r -> r <= {k}), (r, i) -> (i + 1D) / r)"
+    total = f"aggregate({precisions}, 0D, (acc, p) -> acc + p)"
+    return F.expr(f"if(n_rel > 0, {total} / least(n_rel, {k}), 0D)")
 
 
 def metric_columns(cutoffs: Cutoffs, with_precision: bool = True) -> dict[str, Column]:
     """Metric name to expression, in report order; nDCG and MRR are not taken at 1."""
-    hits, n_rel = F.col("hits"), F.col("n_rel")
     beyond_first = [k for k in cutoffs.top_k if k != 1]
-    out = {f"accuracy_{k}": accuracy_at_k(hits, k) for k in cutoffs.top_k}
+    out = {f"accuracy_{k}": accuracy_at_k(k) for k in cutoffs.top_k}
     if with_precision:
-        out |= {f"precision_{k}": precision_at_k(hits, k) for k in cutoffs.top_k}
-    out |= {f"ndcg_{k}": ndcg_at_k(hits, n_rel, k) for k in beyond_first}
-    out |= {f"mrr_{k}": mrr_at_k(hits, k) for k in beyond_first}
-    out |= {f"recall_{k}": recall_at_k(hits, n_rel, k) for k in cutoffs.recalls}
-    out[f"map_{cutoffs.map_at_k}"] = map_at_k(hits, n_rel, cutoffs.map_at_k)
+        out |= {f"precision_{k}": precision_at_k(k) for k in cutoffs.top_k}
+    out |= {f"ndcg_{k}": ndcg_at_k(k) for k in beyond_first}
+    out |= {f"mrr_{k}": mrr_at_k(k) for k in beyond_first}
+    out |= {f"recall_{k}": recall_at_k(k) for k in cutoffs.recalls}
+    out[f"map_{cutoffs.map_at_k}"] = map_at_k(cutoffs.map_at_k)
     return out
 
 
