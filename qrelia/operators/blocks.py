@@ -1,6 +1,6 @@
 """Exhaustive scoring of documents against queries, keeping only top-k rows.
 
-The reference scores every document for every query. Here the query side is cut
+Exact evaluation scores every document for every query. The query side is cut
 into blocks of bounded size; each block is broadcast and the documents stream
 past it in Arrow batches. A task turns a batch into a small score matrix and
 emits only rows that can still be among the best k of a query, so pair scores
@@ -102,11 +102,13 @@ def block_topk(
     queries: DataFrame,
     make_scorer: Callable[[pa.Table], Scorer],
     k: int,
+    reuse_docs: bool = False,
 ) -> DataFrame:
     """Run of the best ``k`` documents per (truncate_dim, query).
 
     ``docs`` has a string ``doc_id``, ``queries`` a string ``query_id``; their other
-    columns are what the scorer reads.
+    columns are what the scorer reads. With ``reuse_docs``, documents that were dear
+    to compute are written before a second pass would compute them again.
     """
     queries = durable(queries)
     n, size = measured_size(queries)
@@ -114,6 +116,8 @@ def block_topk(
     if passes == 1:
         return _one_pass(docs, queries, make_scorer, k)[0]
 
+    if reuse_docs:
+        docs = durable(docs)
     block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     runs = []
     for i in range(passes):

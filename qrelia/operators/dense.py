@@ -54,14 +54,19 @@ def vector_length(df: DataFrame) -> int:
 
 
 def dense_rank(
-    corpus: DataFrame, queries: DataFrame, k: int, dims: Sequence[int] | None = None
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int,
+    dims: Sequence[int] | None = None,
+    computed: bool = False,
 ) -> DataFrame:
     """The best ``k`` documents per (truncate_dim, query).
 
     ``corpus(doc_id, vector)``, ``queries(query_id, vector)``. All dimensions are
     scored in the same pass over the corpus; none given means the full vector.
+    ``computed`` says that the vectors come out of an encoder and not of a table.
     """
     dims = [int(d) for d in dims or ()] or [vector_length(queries)]
     docs = corpus.select("doc_id", "vector").where("vector IS NOT NULL")
     asked = queries.select("query_id", "vector").where("vector IS NOT NULL")
-    return block_topk(docs, asked, lambda table: DenseScorer(table, dims), k)
+    return block_topk(docs, asked, lambda table: DenseScorer(table, dims), k, computed)

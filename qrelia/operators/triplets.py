@@ -18,10 +18,13 @@ def triplet_projection(df: DataFrame, hard_negatives: bool = True) -> DataFrame:
     return df.select(*names)
 
 
+def text_columns(df: DataFrame) -> list[str]:
+    return [n for n in ("query", "positive", "negative") if n in df.columns]
+
+
 def texts_array(df: DataFrame) -> Column:
     """``[query, positive(, negative)]`` of a triplet table."""
-    names = [n for n in ("query", "positive", "negative") if n in df.columns]
-    return F.array(*names)
+    return F.array(*text_columns(df))
 
 
 def validation_head(df: DataFrame, n: int | None) -> DataFrame:
@@ -40,10 +43,16 @@ def evaluator_payload(df: DataFrame, n: int | None = None) -> DataFrame:
     )
 
 
-def sentence_columns(df: DataFrame, texts: str = "texts", label: str | None = None) -> DataFrame:
-    """Spread a text array over ``sentence_0..``; keep labels only if some are not 0."""
-    first = df.select(F.size(texts)).first()
-    n = first[0] if first else 0
+def sentence_columns(
+    df: DataFrame, texts: str = "texts", label: str | None = None, n: int | None = None
+) -> DataFrame:
+    """Spread a text array over ``sentence_0..``; keep labels only if some are not 0.
+
+    The number of columns is ``n``, or else the array size in the first row.
+    """
+    if n is None:
+        first = df.select(F.size(texts)).first()
+        n = first[0] if first else 0
     columns = [F.get(texts, F.lit(i)).alias(f"sentence_{i}") for i in range(n)]
     others = [c for c in df.columns if c not in (texts, label)]
     if label is not None and not df.where(F.col(label) != 0).isEmpty():

@@ -41,9 +41,10 @@ def dense_metrics(
     qrels: DataFrame,
     cutoffs: Cutoffs,
     dims: Sequence[int],
+    computed: bool = False,
 ) -> DataFrame:
     """One row per truncation dimension of given vectors, in the order of ``dims``."""
-    run = dense_rank(corpus, queries, cutoffs.max_k, dims)
+    run = dense_rank(corpus, queries, cutoffs.max_k, dims, computed)
     averaged = run_metrics(run, queries, qrels, dims, cutoffs)
     order = F.array_position(F.array(*[F.lit(int(d)) for d in dims]), F.col("truncate_dim"))
     return averaged.withColumn("system", F.lit("cosine")).withColumn("seq", order.cast("int"))
@@ -82,7 +83,7 @@ def evaluate_dense(
     if not dims:
         dims = [settings.encoder()([""]).shape[1]]
     dense = dense_metrics(
-        encode(data.corpus), encode(data.queries), data.qrels, settings.cutoffs, dims
+        encode(data.corpus), encode(data.queries), data.qrels, settings.cutoffs, dims, computed=True
     )
     if not run_bm25:
         return dense

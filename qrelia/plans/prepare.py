@@ -12,6 +12,7 @@ from qrelia.operators.positions import with_row_position
 from qrelia.operators.triplets import (
     sentence_columns,
     split_by_query,
+    text_columns,
     texts_array,
     validation_head,
 )
@@ -54,10 +55,11 @@ def prepare_training(triplets: DataFrame, settings: PrepareSettings) -> Prepared
     in_batch = batches.where("batch_id IS NOT NULL").withColumnRenamed("row_id", POS)
     packed = train.select(POS, texts_array(train).alias("texts")).join(in_batch, POS)
     held_out = validation_head(rows.where("split = 'validation'"), settings.validation_subset)
+    n = len(text_columns(rows))
     return Prepared(
         rows,
-        sentence_columns(packed),
-        sentence_columns(held_out.select(POS, texts_array(held_out).alias("texts"))),
+        sentence_columns(packed, n=n),
+        sentence_columns(held_out.select(POS, texts_array(held_out).alias("texts")), n=n),
     )
 
 

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_KEY = "spark.qrelia.scratch"
+_local_folders: list[tempfile.TemporaryDirectory] = []
 
 
 def local_session(cpus: int | None = None, app: str = "qrelia") -> SparkSession:
@@ -32,22 +33,33 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for durable intermediates.
 
     The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
-    temporary folder is used, which is only sound when every task runs on this
-    machine.
+    temporary folder is used until this process ends, which is only sound when
+    every task runs on this machine.
     """
     chosen = spark.conf.get(_SCRATCH_KEY, None)
     if chosen:
         return chosen
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="qrelia-")
+        _local_folders.append(tempfile.TemporaryDirectory(prefix="qrelia-", ignore_cleanup_errors=True))
+        shared = _local_folders[-1].name
     chosen = f"{shared.rstrip('/')}/qrelia-{uuid.uuid4().hex}"
     spark.conf.set(_SCRATCH_KEY, chosen)
+    _delete_at_session_end(spark, chosen)
     return chosen
 
 
+def _delete_at_session_end(spark: SparkSession, path: str) -> None:
+    """Have the file system drop this session's own folder when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -65,7 +77,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     ``key`` is a column of mostly different values. Only a small or oddly written
     input is shuffled by this: a large one already has many more splits than
-    cores and is returned as it is.
+    cores and is returned as it is. No partition count is given, so adaptive
+    execution merges the partitions of a tiny input again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores else df

@@ -109,10 +109,9 @@ def dedup_corpus_last_wins(corpus: DataFrame) -> DataFrame:
         .where("_n > 1")
         .select("doc_id", "_first", "_last")
     )
-    repeated = durable(repeated)
     if repeated.isEmpty():
         return corpus
-    looked_up = lookup_join(corpus, repeated, "doc_id", "left")
+    looked_up = lookup_join(corpus, durable(repeated), "doc_id", "left")
     return looked_up.where(F.col("_last").isNull() | (F.col(POS) == F.col("_last"))).select(
         "doc_id", "text", F.coalesce("_first", POS).alias(POS)
     )
@@ -148,8 +147,14 @@ def subset_corpus(corpus: DataFrame, required: DataFrame, extra_docs: int | None
 
 
 def qrels_in_corpus(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Judgements whose document is in the corpus; ids only, no texts are read."""
-    return qrels.join(corpus.select("doc_id"), "doc_id", "left_semi").select(*qrels.columns)
+    """Judgements whose document is in the corpus.
+
+    Judged ids are looked for among the corpus ids, not the other way round: the
+    corpus is then neither shuffled nor read beyond its ids.
+    """
+    judged = qrels.select("doc_id").distinct()
+    present = durable(lookup_join(corpus.select("doc_id"), judged, "doc_id", "semi").distinct())
+    return lookup_join(qrels, present, "doc_id", "semi").select(*qrels.columns)
 
 
 def queries_with_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -209,10 +214,10 @@ def load_beir(
     docs = subset_corpus(docs, positive_qrels(judged), extra_corpus_docs)
     if not unique_doc_ids:
         docs = dedup_corpus_last_wins(docs)
-    judged = dedup_last_wins(judged, ["query_id", "doc_id"], "score").drop(POS)
     # Queries and judgements are read several times from here on; the corpus is not
     # written, because streaming it again is cheaper than storing it.
-    judged = durable(qrels_in_corpus(judged, docs))
+    judged = durable(dedup_last_wins(judged, ["query_id", "doc_id"], "score").drop(POS))
+    judged = qrels_in_corpus(judged, docs)
     kept = durable(queries_with_qrels(dedup_last_wins(selected, ["query_id"], "text"), judged))
     return RetrievalData(docs, kept, judged)
 
