@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from qrelia.operators.positions import with_row_position
 from qrelia.session import durable
 
-MAX_ROUNDS = 12
+MAX_ROUNDS = 40
+STALE_ROUNDS = 3  # rounds in a row that may place nothing
 _CANDIDATES_PER_SLOT = 2
 _SHORT_LIST = 100_000  # batch numbers
 
@@ -52,9 +53,10 @@ def no_duplicate_batches(
     There are ``floor(rows / batch_size)`` batches. Rows are first dealt out like
     cards in the order of their query, which puts the rows of a query into
     different batches. Each batch then keeps what fits; the others are dealt to
-    batches that still have room, for a bounded number of rounds. A batch never
+    batches that still have room, until nothing more finds a place. A batch never
     holds more than ``batch_size`` rows or looks at more than a fixed multiple
-    of that per round, so no group grows with the data.
+    of that per round, so no group grows with the data; rows it did not look at
+    are dealt again.
     """
     rows = df.select(
         F.col(row_id).cast("long").alias("row_id"),
@@ -75,6 +77,7 @@ def no_duplicate_batches(
     )
     pending = dealt.select("row_id", "keys", (F.col("_p") % n_batches).alias("batch"))
     finished: list[DataFrame] = []
+    n_left, stale = n, 0
 
     for round_no in range(MAX_ROUNDS):
         open_state = _play_round(open_state, pending, batch_size, seed + round_no)
@@ -82,6 +85,10 @@ def no_duplicate_batches(
         placed = open_state.select(F.explode("ids").alias("row_id"))
         open_state = open_state.where(F.size("ids") < batch_size)
         left = durable(pending.select("row_id", "keys").join(placed, "row_id", "left_anti"))
+        before, n_left = n_left, left.count()
+        stale = stale + 1 if n_left == before else 0
+        if n_left == 0 or stale == STALE_ROUNDS:
+            break
         pending = _next_deal(open_state, left, seed + round_no + 1)
         if pending is None:
             break
@@ -116,8 +123,6 @@ def _play_round(state: DataFrame, pending: DataFrame, batch_size: int, salt: int
 
 def _next_deal(open_state: DataFrame, left: DataFrame, salt: int) -> DataFrame | None:
     """Deal the remaining rows to batches with room; None when nothing can be placed."""
-    if left.isEmpty():
-        return None
     n_open = open_state.count()
     if n_open == 0:
         return None
@@ -138,6 +143,8 @@ def _next_deal(open_state: DataFrame, left: DataFrame, salt: int) -> DataFrame |
         if left.isEmpty():
             return None
     numbered = _number_batches(open_state.select("batch"), n_open)
+    if n_open <= _SHORT_LIST:
+        numbered = F.broadcast(numbered)  # two numbers per batch
     drawn = left.withColumn("_i", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.lit(n_open)))
     return drawn.join(numbered, "_i").select("row_id", "keys", "batch")
 

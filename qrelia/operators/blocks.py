@@ -112,7 +112,12 @@ def block_topk(
     """
     queries = durable(queries)
     n, size = measured_size(queries)
-    passes = max(1, math.ceil(n / BLOCK_QUERIES), math.ceil(size / BLOCK_BYTES))
+    passes = max(
+        1,
+        math.ceil(n / BLOCK_QUERIES),
+        math.ceil(size / BLOCK_BYTES),
+        math.ceil(n * k / MATRIX_CELLS),  # best scores a task remembers
+    )
     if passes == 1:
         return _one_pass(docs, queries, make_scorer, k)[0]
 

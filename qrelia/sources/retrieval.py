@@ -49,7 +49,8 @@ class RetrievalSpec:
     """Where one evaluation dataset lives and what its columns are called.
 
     ``beir`` reads three tables below ``dataset`` (one folder each); ``squad``
-    reads one table. ``split`` is a subfolder, if given.
+    reads one table. ``split`` is a subfolder, if given. ``unique_doc_ids`` says that
+    no document id repeats, which saves looking for repeated ones.
     """
 
     dataset: str
@@ -74,6 +75,7 @@ class RetrievalSpec:
     id_col: str = "id"
     title_col: str = "title"
     eval_batch_size: int | None = None
+    unique_doc_ids: bool = False
 
     @property
     def label(self) -> str:
@@ -172,12 +174,8 @@ def load_beir(
     spec: RetrievalSpec | None = None,
     limit: int | None = None,
     extra_corpus_docs: int | None = None,
-    unique_doc_ids: bool = False,
 ) -> RetrievalData:
-    """Apply the loading rules to three tables that carry ``pos``.
-
-    ``unique_doc_ids`` skips the search for repeated document ids.
-    """
+    """Apply the loading rules to three tables that carry ``pos``."""
     spec = spec or RetrievalSpec(dataset="")
     query_id = resolve_col(queries.columns, spec.query_id_col, ID_ALIASES, "query id")
     query_text = resolve_col(queries.columns, spec.query_text_col, TEXT_ALIASES, "query text")
@@ -212,7 +210,7 @@ def load_beir(
 
     # A document stays required even if a later judgement row lowers its score.
     docs = subset_corpus(docs, positive_qrels(judged), extra_corpus_docs)
-    if not unique_doc_ids:
+    if not spec.unique_doc_ids:
         docs = dedup_corpus_last_wins(docs)
     # Queries and judgements are read several times from here on; the corpus is not
     # written, because streaming it again is cheaper than storing it.
