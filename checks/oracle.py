@@ -9,6 +9,7 @@ from checks.queries import (
     ENCODER_DIMS,
     LOSS_BATCH,
     PATIENCE,
+    SCORE_ROUND,
     SEED,
     SPLIT_SIZE,
     TEXT_BATCH,
@@ -414,7 +415,7 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT query_id, term, query_tf, df, round(idf, 6) AS idf FROM qt JOIN idf USING (term)"
     )
     q["cross_score"] = ctes(LABELS, dense_run([64])) + (
-        "SELECT truncate_dim, query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM run"
+        f"SELECT truncate_dim, query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run"
     )
     q["join_run_qrels"] = ctes(loaded(BENCH_RAW), BM25_RUN) + (
         """SELECT r.query_id, r.doc_id, rank::INTEGER AS rank, CASE WHEN j.score > 0 THEN 1 ELSE 0 END AS rel
@@ -427,10 +428,10 @@ def oracle_sql() -> dict[str, str]:
     )
     q["bm25_idf"] = ctes(loaded(BENCH_RAW), BM25) + "SELECT term, df, round(idf, 6) AS idf FROM idf"
     q["bm25_score"] = ctes(loaded(BENCH_RAW), BM25_RUN) + (
-        "SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM run WHERE round(score, 9) <> 0"
+        f"SELECT query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run WHERE round(score, 9) <> 0"
     )
     q["bm25_topk"] = ctes(loaded(CHAT_RAW), BM25_RUN) + (
-        "SELECT truncate_dim, query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM run"
+        f"SELECT truncate_dim, query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run"
     )
     for kind in ("accuracy", "precision", "recall", "mrr", "ndcg", "map"):
         names = [n for n in metric_exprs() if n.rsplit("_", 1)[0] == kind]
@@ -452,6 +453,10 @@ def oracle_sql() -> dict[str, str]:
         "SELECT split, count(*) AS n_rows FROM split_rows GROUP BY 1 UNION ALL SELECT 'loaded', count(*) FROM split_rows"
     )
     q["split_by_query"] = ctes(SPLIT) + "SELECT pos, query, split FROM split_rows"
+    q["prepare_validation"] = ctes(SPLIT) + (
+        f"""SELECT pos, query AS sentence_0, {nt('positive')} AS sentence_1, {nt('negative')} AS sentence_2
+        FROM split_rows WHERE split = 'validation'"""
+    )
     q["pool_vectors"] = ctes(LABELS) + "SELECT mode, label, (i - 1)::INTEGER AS i, round(x, 6) AS x FROM modes"
     q["in_batch_loss"] = loss_sql()
     q["rank_topk"] = """

@@ -48,6 +48,7 @@ ENCODER_DIMS = (64, 16)
 LOSS_BATCH = 32
 TEXT_BATCH = 16
 PATIENCE = 4
+SCORE_ROUND = 4  # digits of a score; sums differ in their last bits between engines
 SPLIT_SIZE, SEED = 0.1, 42
 
 
@@ -374,7 +375,7 @@ def q_join_postings(spark, d):
 @query("cross_score")
 def q_cross_score(spark, d):
     data = t.label_retrieval(spark, d)
-    return _rounded(dense.dense_rank(data.corpus, data.queries, 100))
+    return _rounded(dense.dense_rank(data.corpus, data.queries, 100), SCORE_ROUND)
 
 
 @query("join_run_qrels")
@@ -412,13 +413,13 @@ def q_bm25_idf(spark, d):
 def q_bm25_score(spark, d):
     data = _bench(spark, d)
     run = bm25.bm25_rank(data.corpus, data.queries, 100, pad_zero_scores=False)
-    return _rounded(run.drop("truncate_dim"))
+    return _rounded(run.drop("truncate_dim"), SCORE_ROUND)
 
 
 @query("bm25_topk")
 def q_bm25_topk(spark, d):
     data = t.load(spark, d, t.CHAT)
-    return _rounded(bm25.bm25_rank(data.corpus, data.queries, 100))
+    return _rounded(bm25.bm25_rank(data.corpus, data.queries, 100), SCORE_ROUND)
 
 
 # --- metrics ------------------------------------------------------------------------------------
@@ -609,12 +610,19 @@ def q_evaluate_all(spark, d):
     )
 
 
+def _prepared(spark, d):
+    rows = trim_triplets(t.text_triplets(spark, d))
+    return prepare.prepare_training(rows, prepare.PrepareSettings(SPLIT_SIZE, None, TEXT_BATCH, SEED))
+
+
+@query("prepare_validation")
+def q_prepare_validation(spark, d):
+    return _prepared(spark, d).validation
+
+
 @query("prepare_training")
 def q_prepare_training(spark, d):
-    rows = trim_triplets(t.text_triplets(spark, d))
-    ready = prepare.prepare_training(
-        rows, prepare.PrepareSettings(SPLIT_SIZE, None, TEXT_BATCH, SEED)
-    )
+    ready = _prepared(spark, d)
     train = ready.train.withColumn("part", F.lit("train"))
     held_out = ready.validation.withColumn("part", F.lit("validation"))
     return train.unionByName(held_out, allowMissingColumns=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def with_row_position(df: DataFrame, order_by: list[str], name: str) -> DataFram
     for i in range(max(rows, default=0) + 1):
         offsets.append(total)
         total += rows.get(i, 0)
-    offset = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), part)
+    offset = F.get(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), part)
     row_in_part = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return ordered.withColumn(name, offset + row_in_part).drop("_mid")
 
