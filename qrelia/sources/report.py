@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qrelia.operators.metrics import Cutoffs, metric_columns
+from qrelia.session import durable
 
 # Heading of each metric in the Markdown table, in table order.
 HEADINGS = {
@@ -131,6 +132,30 @@ def write_lines(lines: DataFrame, path: str, order_by: Sequence[str], column: st
     lines.orderBy(*order_by).select(column).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_results_markdown(results: DataFrame, path: str, cutoffs: Cutoffs) -> None:
+    """``path/folder=<name>/`` with the table of each dataset."""
+    lines = results_markdown(results, cutoffs).withColumn("folder", safe_name(F.col("dataset")))
+    ordered = lines.repartition("folder").sortWithinPartitions("folder", "line_no")
+    ordered.select("folder", "line").write.mode("overwrite").partitionBy("folder").text(path)
+
+
+def write_artifacts(
+    results: DataFrame,
+    path: str,
+    cutoffs: Cutoffs,
+    model_path: str,
+    dims: Sequence[int],
+    datasets: Sequence[str],
+) -> None:
+    """JSON and Markdown per dataset, combined JSON, and the report of a model."""
+    results = durable(results)
+    write_results_json(results, path, cutoffs, model_path)
+    write_results_markdown(results, f"{path}/tables", cutoffs)
+    title = model_path.rstrip("/").rsplit("/", 1)[-1]
+    card = results_card(results, cutoffs, title, dims, datasets)
+    write_lines(card, f"{path}/card", ["section", "line_no"])
+
+
 # --- metric log ----------------------------------------------------------------------
 
 METRIC_LOG_SCHEMA = "epoch double, steps long, validation_loss string"

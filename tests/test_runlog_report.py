@@ -103,6 +103,24 @@ def test_evaluate_all_and_reports(spark, tmp_path):
     assert text[text.index("### team/one") + 2].startswith("| method")
 
 
+def test_all_artifacts(spark, tmp_path):
+    rows = [(d, "test", s, "bm25" if s == 0 else "cosine", -1 if s == 0 else 8 * s, 0.5) for d in ("team/one", "two") for s in range(4)]
+    results = spark.createDataFrame(rows, "dataset string, split string, seq int, system string, truncate_dim int, accuracy_1 double")
+    cutoffs = Cutoffs((1,), (5,), 10)
+    report.write_artifacts(results.repartition(3), str(tmp_path), cutoffs, "runs/model", (8, 16, 24), ["team/one", "two"])
+
+    def text(folder):
+        part = next(f for f in os.listdir(tmp_path / folder) if f.startswith("part-"))
+        return (tmp_path / folder / part).read_text().splitlines()
+
+    table = text("tables/folder=team_one")
+    assert [line.split(" | ")[0] for line in table] == ["| method", "|---|---|---|---|", "| BM25", "| 8", "| 16", "| 24"]
+    assert text("tables/folder=two") == table
+    assert text("card")[0] == "# model" and text("card").count(table[2]) == 2
+    first = json.loads(text("datasets/folder=two")[0])["results"][1]
+    assert first == {"truncate_dim": 8, "cosine_accuracy@1": 0.5}
+
+
 def test_missing_metric_is_zero(spark):
     rows = spark.createDataFrame([("d", 0, "bm25", -1)], "dataset string, seq int, system string, truncate_dim int")
     lines = report.results_markdown(rows, Cutoffs((1,), (5,), 10)).orderBy("line_no").collect()
