@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_KEY = "spark.qrelia.scratch"
 _local_folders: list[tempfile.TemporaryDirectory] = []
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int | None = None, app: str = "qrelia") -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
     n = cpus or os.cpu_count() or 1
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.driver.memory", "8g")
@@ -27,6 +30,23 @@ def local_session(cpus: int | None = None, app: str = "qrelia") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions run in tasks refer to it by name; it need not be installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _local_folders.append(tempfile.TemporaryDirectory(prefix="qrelia-", ignore_cleanup_errors=True))
+    package = Path(__file__).parent
+    archive = f"{_local_folders[-1].name}/{package.name}"
+    context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:
