@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from qrelia.llm import substring_dedup as substrings
+from qrelia.llm import suffix_dedup as suffixes
 from qrelia.llm.html_main_text import extract_main_text
 from qrelia.llm.quality_rules import quality_rules
 from qrelia.llm.tables import table
@@ -25,6 +27,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.substring_dedup(docs, finish=substrings.digest_words, fields=substrings.DIGEST)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffixes.suffix_dedup(docs, finish=suffixes.digest_bytes, fields=suffixes.DIGEST)
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -37,6 +49,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op9_html_main_text": op9_html_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
