@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from qrelia.llm import substring_dedup as substrings
 from qrelia.llm import suffix_dedup as suffixes
+from qrelia.llm.decontamination import find_contamination
 from qrelia.llm.html_main_text import extract_main_text
+from qrelia.llm.packing import pack_documents
 from qrelia.llm.quality_rules import quality_rules
 from qrelia.llm.tables import table
 from qrelia.llm.url_filter import ALLOW, BLOCK, filter_urls
@@ -32,11 +35,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(docs, finish=substrings.digest_words, fields=substrings.DIGEST)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return suffixes.suffix_dedup(docs, finish=suffixes.digest_bytes, fields=suffixes.DIGEST)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -50,7 +61,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_packing": op7_packing,
     "op9_html_main_text": op9_html_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
