@@ -11,6 +11,7 @@ from qrelia.llm import substring_dedup as substrings
 from qrelia.llm import suffix_dedup as suffixes
 from qrelia.llm.decontamination import find_contamination
 from qrelia.llm.html_main_text import extract_main_text
+from qrelia.llm.order_minhash import near_duplicates
 from qrelia.llm.packing import pack_documents
 from qrelia.llm.quality_rules import quality_rules
 from qrelia.llm.tables import table
@@ -25,6 +26,10 @@ URL_RULES = [
 ]
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -59,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
