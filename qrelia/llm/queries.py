@@ -11,8 +11,10 @@ from qrelia.llm import substring_dedup as substrings
 from qrelia.llm import suffix_dedup as suffixes
 from qrelia.llm.decontamination import find_contamination
 from qrelia.llm.html_main_text import extract_main_text
+from qrelia.llm.lm_scoring import score_texts
 from qrelia.llm.order_minhash import near_duplicates
 from qrelia.llm.packing import pack_documents
+from qrelia.llm.quality_classifier import classify
 from qrelia.llm.quality_rules import quality_rules
 from qrelia.llm.tables import table
 from qrelia.llm.url_filter import ALLOW, BLOCK, filter_urls
@@ -49,10 +51,19 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(docs, finish=suffixes.digest_bytes, fields=suffixes.DIGEST)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -69,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_packing": op7_packing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_html_main_text": op9_html_main_text,
     "op10_quality_rules": op10_quality_rules,
 }
