@@ -163,7 +163,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
     The leader's sequence is sent once for every ``PAIRS_PER_SALT`` members, members in between.
     """
     leaders = pairs.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("n"))
-    leaders = leaders.withColumn("salts", F.ceil(F.col("n") / PAIRS_PER_SALT).cast("int"))
+    leaders = durable(leaders).withColumn("salts", F.ceil(F.col("n") / PAIRS_PER_SALT).cast("int"))
     left = sequences.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "seq")
     heads = leaders.join(left, ["a1", "a2"]).select("a1", "a2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "seq")
     none = F.lit(None).cast("long")
@@ -203,12 +203,13 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
         drawn.groupBy("k1", "k2").agg(F.min("d").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     )
     entries = texts.select(F.explode("keys").alias("key"), "k1", "k2", "n")
-    company = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Sides that are written before a join let Spark split the other side where a key is hot.
+    company = durable(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = durable(entries.join(company, "key"))
-    centre = rows.groupBy("k1", "k2").agg(F.sum("size").alias("company"))
+    centre = durable(rows.groupBy("k1", "k2").agg(F.sum("size").alias("company")))
     ranked = rows.join(centre, ["k1", "k2"])
     rank = F.struct("company", "k1", "k2")
-    best = ranked.groupBy("key").agg(F.max(F.struct("company", "k1", "k2", "n")).alias("c"))
+    best = durable(ranked.groupBy("key").agg(F.max(F.struct("company", "k1", "k2", "n")).alias("c")))
     pairs = (
         ranked.join(best, "key")
         .where((rank != F.struct("c.company", "c.k1", "c.k2")) & (F.least("n", "c.n") >= similarity * F.greatest("n", "c.n")))
