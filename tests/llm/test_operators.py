@@ -158,7 +158,7 @@ def test_cascade_does_not_depend_on_its_order(spark):
 
 def test_contaminated_documents(spark):
     items = [(i, prose(300 + i, 12 + 3 * i)) for i in range(8)] + [(50, "two words"), (51, None), (52, ""), (53, prose(302, 18))]
-    docs = [(i, prose(400 + i, 80)) for i in range(6)] + [(None, None), (7, ""), (8, items[0][1])]
+    docs = [(i, prose(400 + i, 80)) for i in range(1, 6)] + [(None, None), (7, ""), (8, items[0][1])]
     hit = items[5][1].split()
     hit[4], hit[11], hit[20] = "x", "y", "z"
     docs += [(20, prose(1, 30) + " " + items[3][1].upper() + " " + prose(2, 30)), (21, " ".join(hit)), (21, " ".join(hit)), (22, " ".join(hit[:12])), (23, "say two words here")]
