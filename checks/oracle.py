@@ -134,12 +134,13 @@ vector_triplets AS (
 
 BM25 = f"""
 tok AS (SELECT doc_id, unnest({toks('lower(text)')}) AS term FROM corpus),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT c.doc_id, coalesce(sum(tf), 0)::DOUBLE AS dl FROM corpus c LEFT JOIN tf USING (doc_id) GROUP BY 1),
 st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-raw_idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf),
+raw_idf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, st),
+mean_idf AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw_idf),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw_idf, mean_idf),
 qt AS (SELECT query_id, term, count(*) AS query_tf
        FROM (SELECT query_id, unnest({toks('lower(text)')}) AS term FROM queries) GROUP BY ALL)
 """
@@ -382,8 +383,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["sentence_columns"] = (
         ctes(TEXT_TRIPLETS)
-        + """SELECT pos, query AS sentence_0, positive AS sentence_1, negative AS sentence_2, quality AS label
-        FROM text_triplets t JOIN labels l ON l.doc_id = t.pos"""
+        + """SELECT pos, query AS sentence_0, positive AS sentence_1, negative AS sentence_2,
+        coalesce(quality, 0) AS label FROM text_triplets t LEFT JOIN labels l ON l.doc_id = t.pos"""
     )
     q["truncate_normalize"] = """
         WITH h AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS h FROM embeddings),
@@ -428,7 +429,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["bm25_idf"] = ctes(loaded(BENCH_RAW), BM25) + "SELECT term, df, round(idf, 6) AS idf FROM idf"
     q["bm25_score"] = ctes(loaded(BENCH_RAW), BM25_RUN) + (
-        f"SELECT query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run WHERE round(score, 9) <> 0"
+        f"""SELECT query_id, doc_id, round(score, {SCORE_ROUND}) AS score,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM matched QUALIFY rank <= {TOP}"""
     )
     q["bm25_topk"] = ctes(loaded(CHAT_RAW), BM25_RUN) + (
         f"SELECT truncate_dim, query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run"
@@ -463,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT user_id AS query_id, event_id AS doc_id, value AS score,
                row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, event_id)::INTEGER AS rank
         FROM events QUALIFY rank <= 10"""
-    q["cumulative_hits"] = ctes(LABELS, dense_run([16])) + (
+    q["cumulative_hits"] = ctes(LABELS, dense_run([64])) + (
         """SELECT query_id, doc_id, rank::INTEGER AS rank, (j.doc_id IS NOT NULL)::INTEGER AS rel,
         sum((j.doc_id IS NOT NULL)::INTEGER) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS hits
         FROM run LEFT JOIN qrels j USING (query_id, doc_id)"""
@@ -477,6 +479,15 @@ def oracle_sql() -> dict[str, str]:
     q["no_duplicate_batches_rules"] = ctes(TEXT_TRIPLETS) + (
         f"SELECT count(*) AS n_rows, count(*) // {TEXT_BATCH} AS n_batches, 0::BIGINT AS oversized, 0::BIGINT AS repeated_texts FROM text_triplets"
     )
+    q["no_duplicate_batches"] = ctes(TEXT_TRIPLETS) + (
+        f"SELECT count(*) AS n_rows, count(*) // {TEXT_BATCH} AS n_batches, 0::BIGINT AS oversized, 0::BIGINT AS repeated_texts, 0::BIGINT AS placeable FROM text_triplets"
+    )
+    q["prepare_training"] = ctes(SPLIT) + (
+        f"""SELECT count(*) FILTER (split = 'train') AS n_rows, count(*) FILTER (split = 'train') // {TEXT_BATCH} AS n_batches,
+        0::BIGINT AS oversized, 0::BIGINT AS repeated_texts, 0::BIGINT AS placeable,
+        count(*) FILTER (split = 'train') AS train_and_unplaced, count(*) FILTER (split = 'validation') AS n_validation,
+        0::BIGINT AS shared_queries FROM split_rows"""
+    )
     q["encode_texts"] = f"""
         SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % {ENCODER_DIM})::INTEGER AS i,
                sum(1 - 2 * (('0x' || substr(md5(w), 9, 1))::INTEGER % 2))::DOUBLE AS x
@@ -499,6 +510,6 @@ def oracle_sql() -> dict[str, str]:
         f"""{fixed} UNION ALL SELECT unnest(['### ' || dataset, '', '']) FROM results UNION ALL SELECT line FROM md"""
     )
     q["append_metric_log"] = """
-        SELECT user_id::DOUBLE AS epoch, count(*) AS steps, printf('%.6f', avg(value)) AS validation_loss
+        SELECT user_id::DOUBLE AS epoch, count(*) AS steps, printf('%.6f', sum(value::DECIMAL(18,2))::DOUBLE / count(*)) AS validation_loss
         FROM events GROUP BY user_id"""
     return q

@@ -20,7 +20,7 @@ from qrelia.functions.text import (
 )
 from qrelia.functions.vectors import dot_score, truncate_normalize
 from qrelia.operators import bm25, dense, metrics, ranking, runlog, triplets
-from qrelia.operators.batching import no_duplicate_batches, text_keys
+from qrelia.operators.batching import no_duplicate_batches, placeable_rows, text_keys
 from qrelia.operators.encode import encode_texts, hashing_encoder
 from qrelia.operators.loss import in_batch_loss
 from qrelia.operators.metrics import Cutoffs
@@ -167,7 +167,9 @@ def q_results_card(spark, d):
 def q_append_metric_log(spark, d):
     path = _fresh(spark, "log")
     per_user = t.table(spark, d, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("steps"), F.avg("value").alias("validation_loss")
+        F.count(F.lit(1)).alias("steps"),
+        # Values have two decimals: a decimal sum does not depend on the order of its terms.
+        (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("validation_loss"),
     )
     rows = per_user.withColumn("epoch", F.col("user_id").cast("double"))
     report.append_metric_log(rows.where("steps <= 60"), path)
@@ -243,7 +245,8 @@ def q_evaluator_payload(spark, d):
 def q_sentence_columns(spark, d):
     df = t.text_triplets(spark, d)
     labels = t.table(spark, d, "labels").select(F.col("doc_id").alias("pos"), "quality")
-    rows = df.select("pos", triplets.texts_array(df).alias("texts")).join(labels, "pos")
+    rows = df.select("pos", triplets.texts_array(df).alias("texts")).join(labels, "pos", "left")
+    rows = rows.withColumn("quality", F.coalesce("quality", F.lit(0)))
     return triplets.sentence_columns(rows, "texts", "quality")
 
 
@@ -503,7 +506,7 @@ def q_split_by_query(spark, d):
 @query("cumulative_hits")
 def q_cumulative_hits(spark, d):
     data = t.label_retrieval(spark, d)
-    run = dense.dense_rank(data.corpus, data.queries, 100, [16])
+    run = dense.dense_rank(data.corpus, data.queries, 100, [64])
     judged = ranking.join_run_qrels(run, data.qrels)
     return ranking.cumulative_hits(judged).select("query_id", "doc_id", "rank", "rel", "hits")
 
@@ -560,30 +563,41 @@ def _batches(spark, d):
     return rows, no_duplicate_batches(rows, triplets.texts_array(rows), TEXT_BATCH, "pos")
 
 
-@query("no_duplicate_batches")
-def q_no_duplicate_batches(spark, d):
-    return _batches(spark, d)[1]
-
-
-
-@query("no_duplicate_batches_rules")
-def q_no_duplicate_batches_rules(spark, d):
+def _batch_rules(rows, batches):
     """Row and batch counts, and how often a rule of the batches is broken."""
-    rows, batches = _batches(spark, d)
-    batches = durable(batches)
-    keyed = rows.select(F.col("pos").alias("row_id"), F.explode(text_keys(triplets.texts_array(rows))).alias("key"))
+    texts = triplets.texts_array(rows)
+    keyed = rows.select(F.col("pos").alias("row_id"), F.explode(text_keys(texts)).alias("key"))
     in_batch = batches.where("batch_id IS NOT NULL")
     repeated = keyed.join(in_batch, "row_id").groupBy("batch_id", "key").count().where("count > 1")
     sizes = in_batch.groupBy("batch_id").count()
     n_rows = batches.agg(F.count(F.lit(1)).alias("n_rows"))
+    placeable = placeable_rows(rows, texts, batches, TEXT_BATCH, "pos")
     return n_rows.select(
         "n_rows",
         sizes.agg(F.count(F.lit(1))).scalar().alias("n_batches"),
         sizes.where(F.col("count") > TEXT_BATCH).agg(F.count(F.lit(1))).scalar().alias("oversized"),
         repeated.agg(F.count(F.lit(1))).scalar().alias("repeated_texts"),
+        placeable.agg(F.count(F.lit(1))).scalar().alias("placeable"),
     )
 
 
+@query("no_duplicate_batches")
+def q_no_duplicate_batches(spark, d):
+    rows, batches = _batches(spark, d)
+    return _batch_rules(rows, durable(batches))
+
+
+@query("no_duplicate_batches_rules")
+def q_no_duplicate_batches_rules(spark, d):
+    rows, batches = _batches(spark, d)
+    return _batch_rules(rows, durable(batches)).drop("placeable")
+
+
+@query("no_duplicate_batches_rows")
+def q_no_duplicate_batches_rows(spark, d):
+    return _batches(spark, d)[1]
+
+
 @query("encode_texts")
 def q_encode_texts(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", "text")
@@ -622,6 +636,23 @@ def q_prepare_validation(spark, d):
 
 @query("prepare_training")
 def q_prepare_training(spark, d):
+    """Counts of both parts, queries they share, and broken rules of the batches."""
+    ready = _prepared(spark, d)
+    train = ready.rows.where("split = 'train'")
+    held_out = ready.rows.where("split = 'validation'")
+    shared = train.select("query").distinct().join(held_out.select("query").distinct(), "query")
+    unplaced = ready.batches.where("batch_id IS NULL").agg(F.count(F.lit(1))).scalar()
+    written = ready.train.agg(F.count(F.lit(1))).scalar()
+    return _batch_rules(train, ready.batches).select(
+        "*",
+        (written + unplaced).alias("train_and_unplaced"),
+        ready.validation.agg(F.count(F.lit(1))).scalar().alias("n_validation"),
+        shared.agg(F.count(F.lit(1))).scalar().alias("shared_queries"),
+    )
+
+
+@query("prepare_training_rows")
+def q_prepare_training_rows(spark, d):
     ready = _prepared(spark, d)
     train = ready.train.withColumn("part", F.lit("train"))
     held_out = ready.validation.withColumn("part", F.lit("validation"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from qrelia.operators.positions import with_row_position
 from qrelia.session import durable
 
-MAX_ROUNDS = 40
-STALE_ROUNDS = 3  # rounds in a row that may place nothing
+_PRODUCTIVE = 0.05  # share of the pending rows that dealing at random has to place, else it is done exactly
 _CANDIDATES_PER_SLOT = 2
 _SHORT_LIST = 100_000  # batch numbers
 
@@ -53,7 +52,9 @@ def no_duplicate_batches(
     There are ``floor(rows / batch_size)`` batches. Rows are first dealt out like
     cards in the order of their query, which puts the rows of a query into
     different batches. Each batch then keeps what fits; the others are dealt to
-    batches that still have room, until nothing more finds a place. A batch never
+    batches that still have room. Once dealing at random places little, every row is dealt to a
+    batch that holds none of its texts, found by counting the batches that do. The end
+    is proved: every batch is full, or every row left shares a text with every open batch. A batch never
     holds more than ``batch_size`` rows or looks at more than a fixed multiple
     of that per round, so no group grows with the data; rows it did not look at
     are dealt again.
@@ -77,21 +78,22 @@ def no_duplicate_batches(
     )
     pending = dealt.select("row_id", "keys", (F.col("_p") % n_batches).alias("batch"))
     finished: list[DataFrame] = []
-    n_left, stale = n, 0
+    left, n_left, round_no = dealt.select("row_id", "keys"), n, 0
 
-    for round_no in range(MAX_ROUNDS):
+    while pending is not None:
         open_state = _play_round(open_state, pending, batch_size, seed + round_no)
         finished.append(open_state.where(F.size("ids") >= batch_size))
         placed = open_state.select(F.explode("ids").alias("row_id"))
         open_state = open_state.where(F.size("ids") < batch_size)
-        left = durable(pending.select("row_id", "keys").join(placed, "row_id", "left_anti"))
+        left = durable(left.join(placed, "row_id", "left_anti"))
         before, n_left = n_left, left.count()
-        stale = stale + 1 if n_left == before else 0
-        if n_left == 0 or stale == STALE_ROUNDS:
-            break
-        pending = _next_deal(open_state, left, seed + round_no + 1)
-        if pending is None:
+        n_open = open_state.count()
+        round_no += 1
+        if n_left == 0 or n_open == 0:
             break
+        deal = _deal_at_random if before - n_left > _PRODUCTIVE * before else _deal_where_free
+        # Each row of an exact deal fits when it arrives, so a batch takes at least the first.
+        pending = deal(open_state, left, n_open, seed + round_no)
 
     placed = reduce(DataFrame.unionByName, [*finished, open_state]).select(
         F.explode("ids").alias("row_id"), F.col("batch").alias("batch_id")
@@ -121,14 +123,27 @@ def _play_round(state: DataFrame, pending: DataFrame, batch_size: int, salt: int
     )
 
 
-def _next_deal(open_state: DataFrame, left: DataFrame, salt: int) -> DataFrame | None:
-    """Deal the remaining rows to batches with room; None when nothing can be placed."""
-    n_open = open_state.count()
-    if n_open == 0:
-        return None
-    # A text held by every open batch rules its rows out for good. A batch holds
-    # at most batch_size rows, so there can be only that many times the row width
-    # of such texts.
+def _deal_at_random(open_state: DataFrame, left: DataFrame, n_open: int, salt: int) -> DataFrame:
+    numbered = _number_batches(open_state.select("batch"), n_open)
+    if n_open <= _SHORT_LIST:
+        numbered = F.broadcast(numbered)  # two numbers per batch
+    drawn = left.withColumn("_i", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.lit(n_open)))
+    return drawn.join(numbered, "_i").select("row_id", "keys", "batch")
+
+
+def blocked_batches(open_state: DataFrame, numbered: DataFrame, left: DataFrame) -> DataFrame:
+    """Distinct ``(row_id, _i)``: open batch ``_i`` holds a text of the row.
+
+    A text that every open batch holds rules its rows out for good. A batch holds at
+    most batch_size rows, so there are only that many times the row width of such
+    texts; their rows stay out of the join by not being in ``left``.
+    """
+    held = open_state.select("batch", F.explode("keys").alias("key")).join(numbered, "batch")
+    wanted = left.select("row_id", F.explode("keys").alias("key"))
+    return wanted.join(held.select("key", "_i"), "key").select("row_id", "_i").distinct()
+
+
+def _without_ruled_out(open_state: DataFrame, left: DataFrame, n_open: int) -> DataFrame:
     everywhere = (
         open_state.select(F.explode("keys").alias("key"))
         .groupBy("key")
@@ -137,16 +152,52 @@ def _next_deal(open_state: DataFrame, left: DataFrame, salt: int) -> DataFrame |
         .select("key")
         .collect()
     )
-    if everywhere:
-        ruled_out = F.array(*[F.lit(r["key"]) for r in everywhere])
-        left = left.where(~F.arrays_overlap("keys", ruled_out))
-        if left.isEmpty():
-            return None
-    numbered = _number_batches(open_state.select("batch"), n_open)
-    if n_open <= _SHORT_LIST:
-        numbered = F.broadcast(numbered)  # two numbers per batch
-    drawn = left.withColumn("_i", F.pmod(F.xxhash64("row_id", F.lit(salt)), F.lit(n_open)))
-    return drawn.join(numbered, "_i").select("row_id", "keys", "batch")
+    if not everywhere:
+        return left
+    return left.where(~F.arrays_overlap("keys", F.array(*[F.lit(r["key"]) for r in everywhere])))
+
+
+def _deal_where_free(open_state: DataFrame, left: DataFrame, n_open: int, salt: int) -> DataFrame | None:
+    """Deal every row that fits somewhere to one of its free batches; None if there is no such row.
+
+    A row with f free batches takes the k-th of them, k by hash: batch number k plus the number
+    of blocking batches before it.
+    """
+    left = durable(_without_ruled_out(open_state, left, n_open))
+    numbered = durable(_number_batches(open_state.select("batch"), n_open))
+    blocked = durable(blocked_batches(open_state, numbered, left))
+    counts = blocked.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"))
+    free = F.lit(n_open) - F.coalesce("n", F.lit(0))
+    turn = F.xxhash64("row_id", F.lit(salt))
+    fitting = left.join(counts, "row_id", "left").where(free > 0).withColumn("_k", F.pmod(turn, free))
+    fitting = durable(fitting.select("row_id", "keys", "_k"))
+    if fitting.isEmpty():
+        return None
+    nth = F.row_number().over(Window.partitionBy("row_id").orderBy("_i")) - 1
+    passed = (
+        blocked.withColumn("_before", F.col("_i") - nth)
+        .join(fitting.select("row_id", "_k"), "row_id")
+        .where("_before <= _k")
+        .groupBy("row_id")
+        .agg(F.count(F.lit(1)).alias("_skip"))
+    )
+    at = fitting.join(passed, "row_id", "left").withColumn("_i", F.col("_k") + F.coalesce("_skip", F.lit(0)))
+    return at.join(numbered, "_i").select("row_id", "keys", "batch")
+
+
+def placeable_rows(rows: DataFrame, texts: Column, batches: DataFrame, batch_size: int, row_id: str = "row_id") -> DataFrame:
+    """Rows without a batch that share no text with some batch that has room; none if the end was proved."""
+    keyed = rows.select(F.col(row_id).cast("long").alias("row_id"), text_keys(texts).alias("keys")).join(batches, "row_id")
+    keyed = durable(keyed)
+    state = keyed.where("batch_id IS NOT NULL").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.flatten(F.collect_list("keys")).alias("keys"))
+    total = keyed.count() // batch_size
+    every = keyed.sparkSession.range(total).select(F.col("id").alias("batch_id"))
+    state = every.join(state, "batch_id", "left").where(F.coalesce("n", F.lit(0)) < batch_size)
+    state = durable(state.select(F.col("batch_id").alias("batch"), F.coalesce("keys", F.array().cast("array<long>")).alias("keys")))
+    n_open = state.count()
+    waiting = keyed.where("batch_id IS NULL").select("row_id", "keys")
+    counts = blocked_batches(state, _number_batches(state.select("batch"), n_open), waiting).groupBy("row_id").count()
+    return waiting.join(counts, "row_id", "left").where(F.coalesce("count", F.lit(0)) < n_open).select("row_id")
 
 
 def _number_batches(batches: DataFrame, n: int) -> DataFrame:

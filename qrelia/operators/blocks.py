@@ -27,6 +27,7 @@ from qrelia.session import durable
 
 BLOCK_QUERIES = 16_384
 BLOCK_BYTES = 64 << 20
+MERGE_TASKS = 1_000  # from more tasks than this, candidates are merged in two levels
 MATRIX_CELLS = 4_000_000  # largest score matrix held by a task
 
 RUN_SCHEMA = "truncate_dim int, query_id string, doc_id string, score double"
@@ -71,7 +72,8 @@ def emit_topk(scorer: Scorer, batches: Iterator[pa.RecordBatch], k: int):
         for dim, start, scores in scorer.matrices(batch):
             exact, scores = scores, np.round(scores, SCORE_DIGITS)
             so_far = best.setdefault(dim, np.full((n_queries, k), -np.inf))
-            keep = best_per_row(scores, k) & (scores >= so_far.min(axis=1, keepdims=True))
+            # A scorer marks cells that are no candidates by minus infinity.
+            keep = best_per_row(scores, k) & (scores >= so_far.min(axis=1, keepdims=True)) & (scores > -np.inf)
             q, d = np.nonzero(keep)
             if not len(q):
                 continue
@@ -139,4 +141,6 @@ def _one_pass(docs, query_block, make_scorer, k):
         yield from emit_topk(make_scorer(sent.value), batches, k)
 
     candidates = docs.mapInArrow(score, RUN_SCHEMA)
-    return rank_topk(candidates, k, by=("truncate_dim", "query_id")), sent
+    # Every task sends at least k rows for a query; from many tasks they are merged in two levels.
+    many = docs.rdd.getNumPartitions() > MERGE_TASKS
+    return rank_topk(candidates, k, by=("truncate_dim", "query_id"), two_levels=many), sent

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,8 @@ def query_weights(queries: DataFrame, index: Bm25Index) -> DataFrame:
 class Bm25Scorer:
     """Scores documents given as token lists with a length norm."""
 
-    def __init__(self, queries: pa.Table):
+    def __init__(self, queries: pa.Table, only_matches: bool = False):
+        self.only_matches = only_matches
         self.query_ids = queries.column("query_id").combine_chunks()
         terms = queries.column("terms").combine_chunks()
         encoded = terms.flatten().dictionary_encode()
@@ -152,7 +154,9 @@ class Bm25Scorer:
                 cell,
                 weights=gain[lo:hi][entry] * self.weight[at],
                 minlength=n_queries * width,
-            )
+            ).astype(float)  # without any entry numpy makes integers
+            if self.only_matches:
+                flat[np.bincount(cell, minlength=len(flat)) == 0] = -np.inf
             yield BM25_DIM, start, flat.reshape(n_queries, width)
             start = stop
 
@@ -176,7 +180,8 @@ def bm25_rank(
     """The best ``k`` documents per query as (truncate_dim=-1, query_id, doc_id, score, rank).
 
     All documents are ranked, so a query matching fewer than ``k`` documents is
-    filled with score-0 ones by id; ``pad_zero_scores=False`` leaves those out.
+    filled with score-0 ones by id; ``pad_zero_scores=False`` ranks only documents that
+    share a term with the query, whatever its weight.
     """
     index = bm25_index(corpus)
     tokens = bm25_tokenize(F.col("text"))
@@ -184,5 +189,5 @@ def bm25_rank(
     docs = corpus.select("doc_id", tokens.alias("tokens")).withColumn(
         "norm", F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length)
     )
-    run = block_topk(docs, query_weights(queries, index), Bm25Scorer, k)
-    return run if pad_zero_scores else run.where("score <> 0")
+    scorer = partial(Bm25Scorer, only_matches=not pad_zero_scores)
+    return block_topk(docs, query_weights(queries, index), scorer, k, reuse_docs=True)

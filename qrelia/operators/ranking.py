@@ -20,16 +20,18 @@ def rank_topk(
     by: Sequence[str] = ("query_id",),
     score: str = "score",
     doc_id: str = "doc_id",
+    two_levels: bool = False,
 ) -> DataFrame:
     """The best ``k`` rows per query with a 1-based ``rank``.
 
-    Spark cuts each input partition to k rows per query before the shuffle up to
-    a configured k; above it, a salted first pass does the same.
+    Two levels: salted by document, then per query, so that one query's candidates from very many
+    tasks do not meet in one. Spark cuts each input partition to k rows before either
+    shuffle up to a configured k.
     """
     order = [F.round(F.col(score), SCORE_DIGITS).desc(), F.col(doc_id)]
     spark = scores.sparkSession
-    pre_cut = int(spark.conf.get("spark.sql.window.group.limit.threshold", "1000"))
-    if k > pre_cut:
+    pre_cut = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > pre_cut or two_levels:
         salt = F.pmod(F.xxhash64(doc_id), F.lit(_SALTS))
         salted = Window.partitionBy(*by, salt).orderBy(*order)
         scores = scores.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k)

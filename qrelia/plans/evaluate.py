@@ -9,6 +9,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qrelia.functions.text import max_tokens
 from qrelia.operators.bm25 import BM25_DIM, bm25_rank
 from qrelia.operators.dense import dense_rank
 from qrelia.operators.encode import Encoder, encode_texts
@@ -26,6 +27,7 @@ class EvalSettings:
     truncate_dims: Sequence[int] = ()
     encoder: Callable[[], Encoder] | None = None
     batch_size: int = 128
+    max_tokens: int | None = None  # words of a text that are encoded; None: all
 
 
 def bm25_metrics(data: RetrievalData, cutoffs: Cutoffs) -> DataFrame:
@@ -76,9 +78,14 @@ def evaluate_dense(
     """Rank encoded texts at every truncation dimension, with the BM25 row first."""
     if settings.encoder is None:
         raise ValueError("an encoder is needed to rank texts by vectors")
-    encode = partial(
-        encode_texts, text="text", factory=settings.encoder, batch_size=batch_size or settings.batch_size
-    )
+
+    def encode(texts: DataFrame) -> DataFrame:
+        if settings.max_tokens is not None:
+            texts = texts.withColumn("text", max_tokens(F.col("text"), settings.max_tokens))
+        return encode_texts(
+            texts, "text", settings.encoder, batch_size=batch_size or settings.batch_size
+        )
+
     dims = list(settings.truncate_dims)
     if not dims:
         dims = [settings.encoder()([""]).shape[1]]
@@ -90,9 +97,21 @@ def evaluate_dense(
     return union_systems([bm25_metrics(data, settings.cutoffs), dense])
 
 
-def evaluate_bm25(specs: Sequence[RetrievalSpec], load: Loader, cutoffs: Cutoffs) -> DataFrame:
-    """BM25 on every dataset, one row each."""
-    return union_datasets([(s, bm25_metrics(load(s), cutoffs)) for s in specs])
+def _specs(specs: Sequence[RetrievalSpec], default: RetrievalSpec | None) -> list[RetrievalSpec]:
+    specs = list(specs) or ([default] if default else [])
+    if not specs:
+        raise ValueError("no dataset to evaluate")
+    return specs
+
+
+def evaluate_bm25(
+    specs: Sequence[RetrievalSpec],
+    load: Loader,
+    cutoffs: Cutoffs,
+    default: RetrievalSpec | None = None,
+) -> DataFrame:
+    """BM25 on every dataset, or on ``default`` if none is listed; one row each."""
+    return union_datasets([(s, bm25_metrics(load(s), cutoffs)) for s in _specs(specs, default)])
 
 
 def evaluate_all(
@@ -103,9 +122,9 @@ def evaluate_all(
     run_bm25: bool = True,
 ) -> DataFrame:
     """Dense evaluation and BM25 on every dataset, or on ``default`` if none is listed."""
-    specs = list(specs) or ([default] if default else [])
-    if not specs:
-        raise ValueError("no dataset to evaluate")
     return union_datasets(
-        [(s, evaluate_dense(load(s), settings, s.eval_batch_size, run_bm25)) for s in specs]
+        [
+            (s, evaluate_dense(load(s), settings, s.eval_batch_size, run_bm25))
+            for s in _specs(specs, default)
+        ]
     )

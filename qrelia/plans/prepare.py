@@ -30,11 +30,15 @@ class PrepareSettings:
 
 @dataclass
 class Prepared:
-    """train(batch_id, pos, sentence_*) without repeats in a batch; validation(pos, sentence_*)."""
+    """train(batch_id, pos, sentence_*) without repeats in a batch; validation(pos, sentence_*).
+
+    ``batches(row_id, batch_id)`` also has the training rows that fit into no batch, with a NULL batch.
+    """
 
     rows: DataFrame
     train: DataFrame
     validation: DataFrame
+    batches: DataFrame
 
 
 def prepare_training(triplets: DataFrame, settings: PrepareSettings) -> Prepared:
@@ -60,6 +64,7 @@ def prepare_training(triplets: DataFrame, settings: PrepareSettings) -> Prepared
         rows,
         sentence_columns(packed, n=n),
         sentence_columns(held_out.select(POS, texts_array(held_out).alias("texts")), n=n),
+        batches,
     )
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from qrelia.operators.metrics import Cutoffs, metric_columns
 from qrelia.session import durable
@@ -71,6 +73,12 @@ def write_results_json(results: DataFrame, path: str, cutoffs: Cutoffs, model_pa
     ).coalesce(1).write.mode("overwrite").json(f"{path}/combined")
 
 
+@F.pandas_udf(StringType())
+def six_decimals(values: pd.Series) -> pd.Series:
+    """The exact number rounded to six decimals, ties to even; the tables have a few rows."""
+    return values.map(lambda x: None if pd.isna(x) else "%.6f" % x)
+
+
 # --- Markdown ----------------------------------------------------------------------
 
 
@@ -90,7 +98,7 @@ def results_markdown(results: DataFrame, cutoffs: Cutoffs) -> DataFrame:
     heads = ["method", *[h for h, _ in metrics]]
     fixed = ["| " + " | ".join(heads) + " |", "|" + "|".join("---" for _ in heads) + "|"]
     cells = [
-        F.format_string("%.6f", F.coalesce(F.col(c), F.lit(0.0)))
+        six_decimals(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
         if c in results.columns
         else F.lit("0.000000")
         for _, c in metrics
@@ -164,5 +172,5 @@ METRIC_LOG_SCHEMA = "epoch double, steps long, validation_loss string"
 def append_metric_log(rows: DataFrame, path: str, metric: str = "validation_loss") -> None:
     """Append (epoch, steps, metric with 6 decimals) to a CSV log; each file has its header."""
     rows.select(
-        "epoch", "steps", F.format_string("%.6f", F.col(metric)).alias(metric)
+        "epoch", "steps", six_decimals(F.col(metric).cast("double")).alias(metric)
     ).write.mode("append").option("header", True).csv(path)

@@ -86,6 +86,35 @@ def test_bm25_without_padding(spark):
         assert {d for _, d, _ in got.get(q, [])} == {d for d in docs if scores[q, d] != 0}
 
 
+@pytest.mark.parametrize(
+    "docs,want",
+    [
+        ({"a": "a", "b": "a", "c": "a", "d": ""}, ["a", "b"]),  # negative weights rank below 0
+        ({"a": "a", "b": "a", "c": "b", "d": "c"}, ["a", "b"]),  # the term's weight is exactly 0
+        ({"a": "b", "b": "c", "c": "a"}, ["c"]),
+    ],
+)
+def test_matches_are_found_whatever_their_weight(spark, docs, want):
+    corpus = spark.createDataFrame(list(docs.items()), "doc_id string, text string")
+    asked = spark.createDataFrame([("q", "a")], "query_id string, text string")
+    got = ranked(bm25.bm25_rank(corpus, asked, 2, pad_zero_scores=False))["q"]
+    assert [(r, d) for r, d, _ in got] == list(enumerate(want, 1))
+
+
+@pytest.mark.parametrize("k,limit,levels", [(3, "1000", True), (60, "50", False), (1500, "1000", False)])
+def test_two_levels_give_the_same_ranks(spark, k, limit, levels):
+    rows = [(q, f"d{i:04d}", float(i * 7 % 13)) for q in "ab" for i in range(2000)]
+    df = spark.createDataFrame(rows, "query_id string, doc_id string, score double").repartition(9)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+    try:
+        got = ranking.rank_topk(df, k, two_levels=levels).collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    for q in "ab":
+        want = sorted(((-s, d) for x, d, s in rows if x == q))[:k]
+        assert [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [d for _, d in want]
+
+
 def test_tiny_corpus_with_negative_mean_idf(spark):
     docs = {"b": "x y", "a": "x y", "c": "x"}
     corpus = spark.createDataFrame(list(docs.items()), "doc_id string, text string")

@@ -143,3 +143,29 @@ def test_append_metric_log(spark, tmp_path):
         report.append_metric_log(row, path)
     back = spark.read.schema(report.METRIC_LOG_SCHEMA).option("header", True).csv(path).orderBy("steps").collect()
     assert [tuple(r) for r in back] == [(0.5, 250, "1.234568"), (1.0, 500, "1.000000")]
+
+
+def test_six_decimals_round_the_exact_number_half_to_even(spark):
+    df = spark.createDataFrame([(0.0078125,), (0.0234375,), (2 / 3,), (None,)], "x double")
+    got = [r[0] for r in df.select(report.six_decimals("x")).collect()]
+    assert got == ["0.007812", "0.023438", "0.666667", None]
+
+
+def test_bm25_falls_back_to_the_default_dataset():
+    with pytest.raises(ValueError):
+        evaluate.evaluate_bm25([], None, Cutoffs())
+
+
+def test_encoded_texts_are_cut(spark):
+    def frame(rows, key):
+        return spark.createDataFrame(rows, f"{key} string, text string")
+
+    corpus = [("a", "x y"), ("b", "x z w")]
+    qrels = spark.createDataFrame([("q", "b", 1)], "query_id string, doc_id string, score int")
+    data = RetrievalData(frame(corpus, "doc_id"), frame([("q", "x z w")], "query_id"), qrels)
+    cutoffs = Cutoffs([1], [1], 1)
+    results = []
+    for n in (None, 1):
+        settings = evaluate.EvalSettings(cutoffs, (16,), hashing_encoder(16), max_tokens=n)
+        results.append(evaluate.evaluate_dense(data, settings, run_bm25=False).first()["accuracy_1"])
+    assert results == [1.0, 0.0]  # cut to one word, both documents are equal and the id decides

@@ -12,6 +12,7 @@ from qrelia.operators.batching import no_duplicate_batches
 from qrelia.operators.encode import encode_texts, hashing_encoder
 from qrelia.operators.loss import in_batch_loss
 from qrelia.operators.pooling import pool_vectors
+from qrelia.session import durable
 from qrelia.operators.triplets import (
     evaluator_payload,
     sentence_columns,
@@ -90,9 +91,8 @@ def check_batches(rows, got, size):
     return members
 
 
-@pytest.mark.parametrize("size,rounds", [(4, 12), (7, 12), (16, 12), (4, 1), (500, 12)])
-def test_batches_hold_no_text_twice(spark, monkeypatch, size, rounds):
-    monkeypatch.setattr(batching, "MAX_ROUNDS", rounds)
+@pytest.mark.parametrize("size", [4, 16, 500])
+def test_batches_hold_no_text_twice(spark, size):
     rows, df = triplets(spark)
     out = no_duplicate_batches(df, texts_array(df), size, "pos").collect()
     assert len(out) == len(rows)
@@ -116,6 +116,21 @@ def test_text_shared_by_more_rows_than_batches(spark):
     assert sum(1 for m in members.values() for i in m if i >= 50) == 30
 
 
+def test_no_row_is_left_that_fits(spark):
+    rows = [
+        (i, f"q{i}", f"p{i}", "shared" if i < 100 else "common" if i < 300 else f"n{i}") for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    batches = durable(no_duplicate_batches(df, texts_array(df), 4, "pos"))
+    got = {r["row_id"]: r["batch_id"] for r in batches.collect()}
+    members = check_batches(rows, got, 4)
+    held = {b: {t for i in ids for t in rows[i][1:]} for b, ids in members.items()}
+    room = [b for b in range(100) if len(members.get(b, ())) < 4]
+    left = [i for i, b in got.items() if b is None]
+    assert not [i for i in left for b in room if not held.get(b, set()) & set(rows[i][1:])]
+    assert batching.placeable_rows(df, texts_array(df), batches, 4, "pos").count() == 0
+
+
 def test_row_repeating_its_own_text_is_allowed(spark):
     rows = [(i, f"q{i}", f"Q{i} ", f"q{i}") for i in range(8)]
     df = spark.createDataFrame(rows, SCHEMA)
