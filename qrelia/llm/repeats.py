@@ -30,8 +30,8 @@ from qrelia.llm.textarrays import Prefix, ranges, raw, signed, slices
 from qrelia.session import durable
 
 #: Names with more spans than this are compared by a Spark aggregation, not inside one task.
-SPANS_IN_TASK = 20_000
-_FLUSH_BYTES = 4_000_000
+SPANS_IN_TASK = 5_000
+_FLUSH_BYTES = 2_000_000
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -55,12 +55,20 @@ class Repeats:
     """What is looked for.
 
     ``parse(bytes, offsets, depth)`` makes units, their prefix hashes and anchors. ``earlier`` asks for a copy in a
-    row of smaller id; otherwise any other place will do.
+    row of smaller id; otherwise any other place will do. ``same(parsed, starts, width)`` numbers the different
+    windows among those that start at ``starts``.
     """
 
     width: int
     parse: Callable[[np.ndarray, np.ndarray, int], Parsed]
     earlier: bool
+    same: Callable[[Parsed, np.ndarray, int], np.ndarray]
+
+
+def same_by_hash(p: Parsed, starts: np.ndarray, width: int) -> np.ndarray:
+    """Windows told apart by two hashes."""
+    pair = np.rec.fromarrays([p.prefix.hashes(starts, starts + width), Prefix(p.symbols, 1).hashes(starts, starts + width)])
+    return np.unique(pair, return_inverse=True)[1]
 
 
 def owned(p: Parsed, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,10 +144,16 @@ def _occurrences(find: Repeats):
         for batch in batches:
             for first, body, at in slices(batch.column(2)):
                 row, name, span, s0, s1 = _spans(find.parse(body, at, ANCHORS), find.width)
-                take = pa.array(first + row)
-                columns = [batch.column(0).take(take), batch.column(1).take(take)]
-                columns += [pa.array(x) for x in (signed(name), signed(span), _pack(s0, s1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_d", "_k", "name", "span", "s"])
+                # A name that stands several times in a document, as in periodic texts, is one row.
+                order = np.lexsort((s0, span, name, row))
+                row, name, span, s = row[order], name[order], span[order], _pack(s0, s1)[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1]) | (span[1:] != span[:-1])
+                at = np.flatnonzero(new)
+                take = pa.array(first + row[at])
+                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(signed(name[at])), pa.array(signed(span[at]))]
+                places = pa.ListArray.from_arrays(pa.array(np.r_[at, len(row)].astype(np.int32)), pa.array(s))
+                yield pa.RecordBatch.from_arrays([*columns, places], names=["_d", "_k", "name", "span", "s"])
 
     return emit
 
@@ -161,8 +175,7 @@ def _window_answers(find: Repeats, rows: list[tuple], sizes: tuple) -> list[np.n
     p = find.parse(body, at, HASHES)
     count = np.maximum(np.diff(p.units) - find.width + 1, 0)
     starts, owner = ranges(p.units[:-1], count), np.repeat(np.arange(len(rows)), count)
-    pair = np.rec.fromarrays([p.prefix.hashes(starts, starts + find.width), Prefix(p.symbols, 1).hashes(starts, starts + find.width)])
-    _, group = np.unique(pair, return_inverse=True)
+    group = find.same(p, starts, find.width)
     total = np.zeros(group.max() + 1 if len(group) else 0, np.int64)
     if find.earlier:
         total += np.iinfo(np.int64).max
@@ -298,21 +311,23 @@ def _arrow(fields: Sequence[T.StructField]) -> list[pa.DataType]:
 def _open_rows(find: Repeats, shared: DataFrame, limit: int) -> DataFrame:
     """Per document the answered windows ``s`` and the spans still to be compared."""
     turn = F.xxhash64("_d", "_k", "s")
-    value = F.min("_d") if find.earlier else F.count(F.lit(1))
-    groups = shared.groupBy("name", "span").agg(value.alias("v"), F.min(turn).alias("r"))
-    several = groups.groupBy("name").agg(F.count(F.lit(1)).alias("spans"))
-    known = groups.join(several, "name")
+    value = F.min("_d") if find.earlier else F.sum(F.size("s"))
+    groups = durable(shared.groupBy("name", "span").agg(value.cast("long").alias("v"), F.min(turn).alias("r")))
+    several = durable(groups.groupBy("name").agg(F.count(F.lit(1)).alias("spans")))
+    known = durable(groups.join(several, "name"))
     good = F.col("v") < F.col("_d") if find.earlier else F.col("v") >= 2
     asks = ~good & (F.col("spans") > 1)
-    sends = (F.col("spans") > 1) & (~good | (F.col("r") == turn))
-    # Of equal spans one speaks for all; the others that ask bring only themselves.
+    # Of equal spans one speaks for all; those that ask bring themselves.
+    speaks = (F.col("spans") > 1) & good & (F.col("r") == turn)
     v = F.col("_d") if find.earlier else F.col("v")
-    span = F.struct("name", "s", v.alias("v"), asks.alias("ask"), (F.col("spans") > limit).alias("many"))
+    many = F.col("spans") > limit
+    sent = F.when(asks, F.col("s")).when(speaks, F.slice("s", 1, 1)).otherwise(F.array().cast("array<long>"))
+    spans = F.transform(sent, lambda s: F.struct(F.col("name"), s.alias("s"), v.alias("v"), asks.alias("ask"), many.alias("many")))
     return (
         shared.join(known, ["name", "span"])
-        .select("_d", "_k", F.when(good, F.col("s")).alias("s"), F.when(sends, span).alias("w"))
+        .select("_d", "_k", F.when(good, F.col("s")).alias("s"), F.when(asks | speaks, spans).alias("w"))
         .groupBy("_d", "_k")
-        .agg(F.collect_set("s").alias("_s"), F.collect_list("w").alias("_w"))
+        .agg(F.flatten(F.collect_list("s")).alias("_s"), F.flatten(F.collect_list("w")).alias("_w"))
     )
 
 
@@ -338,11 +353,12 @@ def apply_repeats(
     plain = base.select("_d", "_k", "_text")
     named = plain.mapInArrow(_names(find), "name long, d long, n long").groupBy("name")
     if find.earlier:
-        shared_names = named.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("name")
+        shared_names = named.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b")
     else:
-        shared_names = named.agg(F.sum("n").alias("n")).where("n > 1").select("name")
-    occurrences = plain.mapInArrow(_occurrences(find), "_d long, _k long, name long, span long, s long")
-    shared = durable(occurrences.join(shared_names, "name", "left_semi"))
+        shared_names = named.agg(F.sum("n").alias("n")).where("n > 1")
+    occurrences = plain.mapInArrow(_occurrences(find), "_d long, _k long, name long, span long, s array<long>")
+    # A written side lets Spark split the other side of the join where a name is hot.
+    shared = durable(occurrences.join(durable(shared_names.select("name")), "name", "left_semi"))
     known = _open_rows(find, shared, spans_in_task)
 
     extra, none = len(keep), [T.StructField(f.name, f.dataType) for f in base.schema.fields[: len(keep)]]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from qrelia.llm.repeats import ANCHORS, UNITS, Parsed, Repeats, apply_repeats
+from qrelia.llm.repeats import ANCHORS, UNITS, Parsed, Repeats, apply_repeats, same_by_hash
 from qrelia.llm.textarrays import Prefix, U, mix, ranges, words
 
 ROUNDS = 3
@@ -110,4 +110,4 @@ def substring_dedup(
     docs: DataFrame, width: int = 50, keep: Sequence[str] = ("doc_id",), finish=kept_words, fields: Sequence[T.StructField] = tuple(TEXTS), **options
 ) -> DataFrame:
     """The ``keep`` columns and what is left of each text (or what ``finish`` makes of it)."""
-    return apply_repeats(docs, Repeats(width, parse_words, True), finish, fields, keep=keep, **options)
+    return apply_repeats(docs, Repeats(width, parse_words, True, same_by_hash), finish, fields, keep=keep, **options)

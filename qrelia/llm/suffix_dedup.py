@@ -1,4 +1,19 @@
-"""Suffix-array dedup of byte strings."""
+"""Suffix-array dedup of byte strings by merging Burrows-Wheeler transforms.
+
+A window of ``width`` bytes repeats if it starts anywhere else too. Repeats are found by anchors (see ``repeats``): places chosen by
+a hash of 16 bytes. Names that occur once rule their windows out and equal spans answer each other; what is
+left, spans of many documents with a common anchor, is merged in a task.
+
+The merge is an interleave refinement over the spans' Burrows-Wheeler transforms. A block is a set of suffixes that agree in the
+symbols seen so far, and blocks are numbered in lexicographic order. A round takes, for every suffix, the symbol before it and the
+suffix's block: blocks of (symbol, block) are the order of the suffixes one symbol longer. A stable
+distribution by symbol is all that is needed, no suffix is sorted anew. The round in which two neighbours
+part gives the length of what they have in common; suffixes still in one block after ``width`` bytes are a repeated interval.
+Symbols are stretches of up to ``SYMBOL`` bytes, named in order by doubling, so that few rounds are enough.
+
+Null texts are empty. Null ids and repeated rows are no special case: a row's copy is another place. Empty tables give
+empty results; extra columns are only kept when asked for.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +28,55 @@ from qrelia.llm.repeats import ANCHORS, UNITS, Parsed, Repeats, apply_repeats
 from qrelia.llm.textarrays import Prefix, U, mix, ranges
 
 GRAM, TAIL, GAP = 16, 40, 32
+SYMBOL = 128
+
+
+def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs (high, low) in order."""
+    return np.unique(high * (np.int64(low.max()) + 1) + low, return_inverse=True)[1]
+
+
+def symbol_names(body: np.ndarray, size: int) -> dict[int, np.ndarray]:
+    """For 1, 2, 4, ... ``size``: the rank of the stretch of so many bytes at every place.
+
+    Bytes after the end count as 0; stretches that reach beyond it are not used.
+    """
+    names = {1: body.astype(np.int64)}
+    n = 1
+    while n < size:
+        one = names[n]
+        names[2 * n] = _ranks(one, np.append(one[n:], np.zeros(min(n, len(one)), np.int64)))
+        n *= 2
+    return names
+
+
+def interleave(body: np.ndarray, starts: np.ndarray, width: int, symbol: int = SYMBOL) -> tuple[np.ndarray, np.ndarray]:
+    """(block, depth) of every window start.
+
+    Blocks are numbered in the order of their windows. ``depth`` tells how many of a window's last bytes, in whole
+    symbols, agree with another window's: the round in which the two were parted, ``width`` if never.
+    """
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    names = symbol_names(body, min(symbol, 1 << (width.bit_length() - 1)))
+    # The last bytes of the window first: the suffixes' blocks grow to the left, symbol by symbol.
+    sizes = []
+    left = width
+    for size in sorted(names, reverse=True):
+        sizes += [size] * (left // size)
+        left %= size
+    at, block, depth = starts + width, np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    alone = np.zeros(len(starts), bool)
+    for size in reversed(sizes):
+        at = at - size
+        block = _ranks(names[size][at], block)
+        alone |= np.bincount(block)[block] == 1
+        depth += np.where(alone, 0, size)
+    return block, depth
+
+
+def same_by_interleave(p: Parsed, starts: np.ndarray, width: int) -> np.ndarray:
+    return interleave(p.symbols, starts, width)[0]
 
 
 def parse_bytes(body: np.ndarray, offsets: np.ndarray, depth: int) -> Parsed:
@@ -64,4 +128,4 @@ def suffix_dedup(
     docs: DataFrame, width: int = 400, keep: Sequence[str] = ("doc_id",), finish=kept_text, fields: Sequence[T.StructField] = tuple(TEXTS), **options
 ) -> DataFrame:
     """The ``keep`` columns and what is left of each text (or what ``finish`` makes of it)."""
-    return apply_repeats(docs, Repeats(width, parse_bytes, False), finish, fields, keep=keep, **options)
+    return apply_repeats(docs, Repeats(width, parse_bytes, False, same_by_interleave), finish, fields, keep=keep, **options)
