@@ -175,7 +175,7 @@ def quality_rules(
     total = df.count()
     share = min(1.0, sample_rows / total) if total else 1.0
     counted = base_counts(df, text)
-    sample = durable(base_counts(df.sample(fraction=share, seed=seed).coalesce(8), text).where(~base_failed()))
+    sample = durable(base_counts(df.sample(fraction=share, seed=seed), text).where(~base_failed()))
     order = [m["rule"] for m in cascade_order(sample, rules)]
     judged = counted.withColumn("base_failed", base_failed()).withColumn("failed_rule", cascade(rules, order))
     return judged.withColumn("kept", F.col("failed_rule").isNull())
