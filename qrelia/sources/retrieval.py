@@ -154,14 +154,16 @@ def qrels_in_corpus(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     Judged ids are looked for among the corpus ids, not the other way round: the
     corpus is then neither shuffled nor read beyond its ids.
     """
-    judged = qrels.select("doc_id").distinct()
-    present = durable(lookup_join(corpus.select("doc_id"), judged, "doc_id", "semi").distinct())
+    judged = durable(qrels.select("doc_id").distinct())
+    # Distinct before the lookup: an id that very many rows share is then one row, not one task's load.
+    ids = corpus.select("doc_id").distinct()
+    present = durable(lookup_join(ids, judged, "doc_id", "semi"))
     return lookup_join(qrels, present, "doc_id", "semi").select(*qrels.columns)
 
 
 def queries_with_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """Queries that still have a judgement of any score."""
-    return lookup_join(queries, qrels.select("query_id").distinct(), "query_id", "semi")
+    return lookup_join(queries, durable(qrels.select("query_id").distinct()), "query_id", "semi")
 
 
 # --- three-table layout ------------------------------------------------------
