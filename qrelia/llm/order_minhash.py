@@ -11,7 +11,8 @@ are near duplicates if aligned / (all shingles of both - aligned) is at least ``
 
 Equal texts are one text from the start. In each bucket the most central text (the one with most company over all its sketches) is
 aligned with all others, and components are formed; then every pair of a bucket that is still in different components
-is aligned too, in blocks, so that no link that a bucket shows is lost.
+is aligned too, in blocks, so that no link that a bucket shows is lost. Before that, texts and pairs drop out that too many
+shingles found in no other text keep from being near; this bound is exact.
 Texts shorter than five words have one shingle, their words; texts without words only equal themselves.
 
 Null texts are empty texts; null ids count as larger than all others. Repeated rows fall into one class. Empty tables
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qrelia.llm.components import connected_components
-from qrelia.llm.textarrays import Prefix, U, mix, signed, slices, words
+from qrelia.llm.textarrays import Prefix, U, mix, raw, signed, slices, words
 from qrelia.session import durable
 
 SHINGLE = 5
@@ -175,21 +176,51 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
     return rows.mapInArrow(_align(similarity), "a1 long, a2 long, b1 long, b2 long")
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of one bucket that lie in different components (``key, k1, k2, n, root``).
+def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = np.array([len(x) // 4 for x in batch.column(1).to_pylist()], np.int64)
+        body, _ = raw(batch.column(1))
+        owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+        yield pa.RecordBatch.from_arrays([owner, pa.array(np.frombuffer(body.tobytes(), np.int32))], names=["k1", "shingle"])
+
+
+def _split_buckets(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    roots = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return rows.join(durable(roots.where("lo < hi").select("key")), "key", "left_semi")
+
+
+def _possible(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """``rows`` with ``own``, and without texts that cannot be near any other.
+
+    ``own`` counts the shingles that no other text of ``rows`` has; none of them can be aligned. Texts that merely
+    share a passage, or copies edited too much, drop out here, however many there are.
+    """
+    texts = durable(rows.select("k1", "k2").distinct())
+    shingle = sequences.join(texts, ["k1", "k2"], "left_semi").select("k1", "seq").mapInArrow(_single_shingles, "k1 long, shingle int")
+    counted = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"))
+    own = durable(counted.where("n = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
+    with_own = rows.join(own, "k1", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return with_own.where(F.col("n") - F.col("own") >= similarity * F.col("n"))
+
+
+def _cross_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of one bucket that lie in different components and can be near (``key, k1, k2, n, own, root``).
 
     A bucket is cut into blocks of about ``BLOCK`` texts; a row is sent to every pair of blocks that
     it takes part in, and pairs are formed within these.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    cut = rows.join(sizes.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    cut = rows.join(durable(sizes.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))), "key")
     cut = cut.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), "blocks").cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = cut.select("key", "k1", "k2", "n", "root", "block", others.alias("other"))
-    sent = sent.select("key", "k1", "k2", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sent = cut.select("key", "k1", "k2", "n", "own", "root", "block", others.alias("other"))
+    sent = sent.select("key", "k1", "k2", "n", "own", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     a, b = sent.alias("a"), sent.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")]
-    near = F.least("a.n", "b.n") >= SIMILARITY * F.greatest("a.n", "b.n")
+    # At most ``most`` shingles can be aligned; the texts' own ones all stay over.
+    most = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    near = (most >= similarity * (most + F.col("a.own") + F.col("b.own"))) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
     order = F.struct("a.k1", "a.k2") < F.struct("b.k1", "b.k2")
     facing = (F.col("a.block") != F.col("b.block")) | (F.col("a.i") == F.col("a.j"))
     joined = a.join(b, [*same, near, order, facing, F.col("a.root") != F.col("b.root")])
@@ -224,7 +255,8 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
     roots = connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
     roots = durable(roots)
     placed = rows.withColumn("node", node("k1", "k2")).join(roots, "node", "left").select("key", "k1", "k2", "n", F.coalesce("root", "node").alias("root"))
-    more = _verified(durable(_cross_pairs(placed)), sequences, similarity)
+    split = durable(_possible(durable(_split_buckets(placed)), sequences, similarity))
+    more = _verified(durable(_cross_pairs(split, similarity)), sequences, similarity)
     links = durable(links.unionByName(more))
     roots = durable(connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b"))))
     grouped = texts.select("k1", "k2", "text_id", "copies", node("k1", "k2").alias("node")).join(roots, "node", "left")
