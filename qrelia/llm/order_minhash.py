@@ -228,7 +228,11 @@ def _cross_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(k1, k2, copies, text_id, class_id) for every different text of ``_keys``."""
+    """(k1, k2, copies, text_id, class_id, class_size, class_key, is_first) for every different text of ``_keys``.
+
+    Ids may be null or stand on several texts, so only ``class_key``, from the root of the component, tells classes
+    apart. ``is_first`` is true for one text of each class, the least (text_id, k1, k2).
+    """
     drawn = keyed.mapInArrow(_sketched, "d long, k1 long, k2 long, n long, keys array<long>")
     texts = durable(
         drawn.groupBy("k1", "k2").agg(F.min("d").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -261,25 +265,30 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
     roots = durable(connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b"))))
     grouped = texts.select("k1", "k2", "text_id", "copies", node("k1", "k2").alias("node")).join(roots, "node", "left")
     grouped = grouped.select("k1", "k2", "text_id", "copies", F.coalesce("root", "node").alias("root"))
-    classes = grouped.groupBy("root").agg(F.min("text_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return grouped.join(classes, "root").select("k1", "k2", "copies", "text_id", "class_id", "class_size")
+    classes = grouped.groupBy("root").agg(F.min(F.struct("text_id", "k1", "k2")).alias("first"), F.sum("copies").alias("class_size"))
+    is_first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    class_key = F.concat(*(F.lpad(F.hex(f"root.{k}"), 16, "0") for k in ("k1", "k2")))
+    found = grouped.join(classes, "root")
+    return found.select("k1", "k2", "copies", "text_id", F.col("first.text_id").alias("class_id"), "class_size", class_key.alias("class_key"), is_first.alias("is_first"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_id (least id with the same text), class_id (least id of the near-duplicate class), class_size."""
+    """doc_id, text_id (least id with the same text), class_id (least id of the near-duplicate class), class_size, class_key.
+
+    Classes that share their least id have different ``class_key``.
+    """
     keyed = _keys(docs, doc_id, text)
     found = near_duplicate_texts(keyed, similarity)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k1"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)).alias("k2"))
-    return rows.join(found, ["k1", "k2"]).select("doc_id", "text_id", "class_id", "class_size")
+    return rows.join(found, ["k1", "k2"]).select("doc_id", "text_id", "class_id", "class_size", "class_key")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, the one of least id; all columns stay as they are."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = durable(near_duplicate_texts(_keys(docs, doc_id, text), similarity))
-    # The least id of a class may stand on several texts and rows; the least text of them stays.
-    first = found.where("text_id = class_id").groupBy("class_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    kept = found.join(first, "class_id").where((F.struct("k1", "k2") == F.col("k")) & (F.col("text_id") == F.col("class_id")))
+    # Ids do not tell classes apart: each class keeps its first text, and of that text's rows one of least id.
+    kept = found.where("is_first")
     kept = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("text_id").alias("_d"), F.col("copies").alias("_copies"))
     keyed = docs.withColumns({"_k1": F.xxhash64(body), "_k2": F.xxhash64(body, F.lit(1)), "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))})
     rows = keyed.join(kept, ["_k1", "_k2", "_d"])

@@ -65,6 +65,26 @@ def test_one_row_of_each_class_stays(spark):
     assert order_minhash.drop_near_duplicates(frame(spark, [])).collect() == []
 
 
+def unrelated_rows():
+    """Different texts without an id, with one id, and near copies among them."""
+    base = prose(900, 100)
+    return [(None, prose(901, 60)), (None, prose(902, 60)), (None, prose(903, 60)), (None, base), (None, base + " end"), (4, prose(904, 60)), (4, prose(905, 60)), (4, prose(905, 60)), (5, None), (None, "")]
+
+
+def test_classes_of_unrelated_texts_with_null_or_equal_ids(spark):
+    rows = unrelated_rows()
+    kept = order_minhash.drop_near_duplicates(frame(spark, rows)).collect()
+    base = rows[3][1]
+    texts = {r.text or "" for r in kept}
+    assert len(kept) == 7 and len(texts & {base, base + " end"}) == 1
+    assert texts - {base, base + " end"} == {t or "" for _, t in rows} - {base, base + " end"}
+    assert [r.doc_id for r in kept if not r.text] == [5]
+    got = order_minhash.near_duplicates(frame(spark, rows)).collect()
+    sizes = collections.Counter(r.class_key for r in got)
+    assert len(got) == len(rows) and sorted(sizes.values()) == [1, 1, 1, 1, 2, 2, 2]
+    assert all(r.class_size == sizes[r.class_key] for r in got)
+
+
 def test_alignment_is_banded():
     a = np.arange(100, dtype=np.uint32)
     assert order_minhash.aligned_similarity(a, a) == 1
