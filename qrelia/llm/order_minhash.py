@@ -22,6 +22,7 @@ give empty results; extra columns are only kept by ``drop_near_duplicates``, whi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,8 @@ def _longest_rising(values: np.ndarray) -> int:
 def aligned_similarity(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Aligned share within the band that ``similarity`` leaves; 0 where it cannot be reached."""
     total = len(a) + len(b)
-    most = (1 - similarity) / (1 + similarity) * total  # unaligned shingles of both, at most
+    share = Fraction(str(similarity))
+    most = total * (share.denominator - share.numerator) // (share.denominator + share.numerator)  # unaligned shingles of both, at most
     if not total or abs(len(a) - len(b)) > most:
         return 0.0
     ua, ia = np.unique(a, return_index=True)

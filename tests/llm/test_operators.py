@@ -92,6 +92,16 @@ def test_alignment_is_banded():
     assert order_minhash.aligned_similarity(a, a[10:]) == pytest.approx(0.9)
 
 
+def test_exact_ties_are_near():
+    for m in (1, 2, 7, 100, 1999):
+        a = np.arange(5 * m, dtype=np.uint32)
+        assert order_minhash.aligned_similarity(a, a[: 4 * m]) == 0.8
+        assert order_minhash.aligned_similarity(a, a[: 4 * m - 1]) == 0
+    text = prose(60, 49).split()
+    one, two = ([hash(s) & 0xFFFFFFFF for s in labelled_shingles(" ".join(t))] for t in (text, [*text[:24], "other", *text[25:]]))
+    assert len(one) == 45 and order_minhash.aligned_similarity(np.array(one, np.uint32), np.array(two, np.uint32)) == 0.8
+
+
 def test_components_of_a_chain(spark):
     from qrelia.llm.components import connected_components
 
