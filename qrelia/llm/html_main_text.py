@@ -68,6 +68,11 @@ class _TreeBuilder(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
+    def parse_marked_section(self, i, report=1):
+        # As in browsers, ``<![`` opens a comment up to the next ``>``; the base class raises for unknown keywords
+        # and seeks the end of known ones over any distance.
+        return self.parse_bogus_comment(i, report)
+
     def _open(self, tag: str, skip: bool) -> None:
         self.at = Element(tag, self.at, skip)
         self.at.parent.children.append(self.at)
@@ -139,11 +144,8 @@ def _unwanted(tag: str, attrs) -> bool:
 
 def parse(html: str) -> Element:
     builder = _TreeBuilder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except AssertionError:  # the parser's word for a malformed declaration; what came before stays
-        pass
+    builder.feed(html)
+    builder.close()
     return builder.root
 
 

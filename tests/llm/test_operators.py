@@ -149,6 +149,13 @@ def test_main_text_of_pages(spark):
     assert got == {1: (text, len(text)), 2: ("", 0), 3: ("", 0), None: ("just text", 9), 5: ("deep", 4), 6: ("deep, deep", 10)}
 
 
+def test_text_after_a_declaration_stays():
+    for mark in ("<![x y]>", "<![ foo ]>", "<![5]>", "<![>", "<![if !IE]>", "<![endif]>", "<![if x>", "<![cdata[ x>", "<!foo [x]>", "<!>"):
+        assert html_main_text.main_text(f"<article><p>First part {mark}second part.</p><p>Third, part.</p></article>") == "First part second part. Third, part."
+    assert html_main_text.main_text("<p>open a <![5] b") == "open a <![5] b"
+    assert html_main_text.main_text("<p>a <![5 b<p>c</p>") == "a c"
+
+
 # ---- quality rules --------------------------------------------------------------------------------------------
 
 
