@@ -103,23 +103,20 @@ def overlaps(bench: Benchmark, names: np.ndarray, rows: np.ndarray, similarity:
         low = np.searchsorted(seeds.hashes, hashes, "left")
         n = np.searchsorted(seeds.hashes, hashes, "right") - low
         hit = ranges(low, n)
-        found.append(np.stack([seeds.item[hit], np.repeat(at, n) - seeds.at[hit]], 1))
-    lines = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        at = np.repeat(at, n)
+        # The row of the hit; the laid-over item may reach into the rows around it.
+        row = np.searchsorted(rows, at, "right") - 1
+        found.append(np.stack([row, seeds.item[hit], at - seeds.at[hit]], 1))
+    lines = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
     if not len(lines):
         return (np.empty(0, np.int64),) * 4
-    item, start = lines[:, 0], lines[:, 1]
+    row, item, start = lines.T
     size = np.diff(bench.first)[item]
-    # The row is the one of a hit, which lies inside the laid-over item.
-    row = np.searchsorted(rows, np.clip(start, 0, None), "right") - 1
-    options = []
-    for r in (row, np.minimum(np.searchsorted(rows, np.minimum(start + size - 1, len(names) - 1), "right") - 1, len(rows) - 2)):
-        low, high = np.maximum(start, rows[r]), np.minimum(start + size, rows[r + 1])
-        n = np.maximum(high - low, 0)
-        owner = np.repeat(np.arange(len(item)), n)
-        same = names[ranges(low, n)] == bench.names[ranges(bench.first[item] + low - start, n)]
-        options.append((r, np.bincount(owner[same], minlength=len(item))))
-    row = np.where(options[1][1] > options[0][1], options[1][0], options[0][0])
-    agree = np.maximum(options[0][1], options[1][1])
+    low, high = np.maximum(start, rows[row]), np.minimum(start + size, rows[row + 1])
+    n = high - low
+    owner = np.repeat(np.arange(len(item)), n)
+    same = names[ranges(low, n)] == bench.names[ranges(bench.first[item] + low - start, n)]
+    agree = np.bincount(owner[same], minlength=len(item))
     good = agree >= similarity * size
     row, item, start, agree = row[good], item[good], start[good], agree[good]
     order = np.lexsort((start, -agree, item, row))

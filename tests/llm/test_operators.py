@@ -218,6 +218,18 @@ def test_contaminated_documents(spark):
     assert decontamination.decontaminate(frame(spark, []), bench).collect() == []
 
 
+def test_item_cut_at_both_ends_between_others():
+    item = prose(310, 20).split()
+    bench = decontamination.index_benchmark([1], [" ".join(item)])
+    cut = " ".join(item[1:-1])
+    for texts in ([cut], [prose(311, 30), cut, prose(312, 30)], [cut, "", cut, cut]):
+        body = "".join(texts).encode()
+        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        row, found, start, agree = decontamination.overlaps(bench, *decontamination.names_of(np.frombuffer(body, np.uint8), at), 0.8)
+        assert row.tolist() == [i for i, t in enumerate(texts) if t == cut]
+        assert set(found) == {0} and set(start) == {-1} and set(agree) == {18}
+
+
 # ---- language model -------------------------------------------------------------------------------------------
 
 
