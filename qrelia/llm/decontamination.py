@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 from qrelia.llm.textarrays import Prefix, U, mix, ranges, slices, words
 
 MASKS = ("11111", "110111", "1101011", "10110101", "1001101001")
+#: Also for items of less than SHORT words, where one or two replaced words can leave no stretch for MASKS.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+SHORT = 11
 SIMILARITY = 0.8
 #: The benchmark is broadcast in blocks of about so many characters, one pass over the documents each.
 BLOCK_CHARS = 20_000_000
@@ -79,11 +82,12 @@ def index_benchmark(ids: list, texts: Sequence[str | None], masks: Sequence[str]
     size = np.diff(first)
     shortest = min(map(len, masks))
     seeds = []
-    for mask in [*masks, *("1" * n for n in range(1, shortest))]:
+    for mask in [*masks, *SHORT_MASKS, *("1" * n for n in range(1, min(shortest, 4)))]:
         where, hashes = _masked(names, first, mask)
         item = np.searchsorted(first, where, "right") - 1
-        if len(mask) < shortest:
-            short = size[item] == len(mask)
+        if mask in SHORT_MASKS or len(mask) < shortest:
+            # Items of four words are sought as a whole by the shortest of these masks.
+            short = size[item] < SHORT if mask in SHORT_MASKS else size[item] == len(mask)
             where, hashes, item = where[short], hashes[short], item[short]
         if len(where):
             order = np.argsort(hashes, kind="stable")

@@ -230,6 +230,18 @@ def test_item_cut_at_both_ends_between_others():
         assert set(found) == {0} and set(start) == {-1} and set(agree) == {18}
 
 
+def test_replaced_words_in_short_items():
+    import itertools
+
+    for n in range(4, 15):
+        item = prose(330 + n, 40).split()[:n]
+        bench = decontamination.index_benchmark([1], [" ".join(item)])
+        texts = [" ".join("other" if k in out else w for k, w in enumerate(item)) for m in range(n // 5 + 1) for out in itertools.combinations(range(n), m)]
+        body, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+        row, *_ = decontamination.overlaps(bench, *decontamination.names_of(body, at), 0.8)
+        assert row.tolist() == list(range(len(texts)))
+
+
 # ---- language model -------------------------------------------------------------------------------------------
 
 
