@@ -1,13 +1,13 @@
-"""Suffix-array dedup of byte strings by merging Burrows-Wheeler transforms.
+"""Suffix-array dedup of byte strings by rank doubling over anchored spans.
 
 A window of ``width`` bytes repeats if it starts anywhere else too. Repeats are found by anchors (see ``repeats``): places chosen by
 a hash of 16 bytes. Names that occur once rule their windows out and equal spans answer each other; what is
-left, spans of many documents with a common anchor, is merged in a task.
+left, spans of many documents with a common anchor, is ranked in a task.
 
-The merge is an interleave refinement over the spans' Burrows-Wheeler transforms. A block is a set of suffixes that agree in the
+Rank doubling replaces a merge of Burrows-Wheeler transforms; none is built. A block is a set of suffixes that agree in the
 symbols seen so far, and blocks are numbered in lexicographic order. A round takes, for every suffix, the symbol before it and the
-suffix's block: blocks of (symbol, block) are the order of the suffixes one symbol longer. A stable
-distribution by symbol is all that is needed, no suffix is sorted anew. The round in which two neighbours
+suffix's block: blocks of (symbol, block) are the order of the suffixes one symbol longer, found by
+a full sort of these pairs in every round. The round in which two neighbours
 part gives the length of what they have in common; suffixes still in one block after ``width`` bytes are a repeated interval.
 Symbols are stretches of up to ``SYMBOL`` bytes, named in order by doubling, so that few rounds are enough.
 
