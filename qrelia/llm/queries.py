@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from qrelia.llm import substring_dedup as substrings
 from qrelia.llm import suffix_dedup as suffixes
+from qrelia.llm.conversation_repair import conversation_digests, damage, repair_conversations
 from qrelia.llm.decontamination import find_contamination
 from qrelia.llm.html_main_text import extract_main_text
 from qrelia.llm.lm_scoring import score_texts
@@ -16,7 +17,9 @@ from qrelia.llm.order_minhash import near_duplicates
 from qrelia.llm.packing import pack_documents
 from qrelia.llm.quality_classifier import classify
 from qrelia.llm.quality_rules import quality_rules
+from qrelia.llm.spelling_variants import spelling_variants
 from qrelia.llm.tables import table
+from qrelia.llm.token_files import token_file_digests
 from qrelia.llm.url_filter import ALLOW, BLOCK, filter_urls
 
 URL_RULES = [
@@ -74,6 +77,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), damage_every=199)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = damage(table(spark, sf_dir, "conversations"))
+    return conversation_digests(repair_conversations(hurt, present="present"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_url_filter": op2_url_filter,
@@ -85,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_main_text": op9_html_main_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_token_files": op13_token_files,
 }
