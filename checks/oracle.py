@@ -482,6 +482,14 @@ def oracle_sql() -> dict[str, str]:
     q["no_duplicate_batches"] = ctes(TEXT_TRIPLETS) + (
         f"SELECT count(*) AS n_rows, count(*) // {TEXT_BATCH} AS n_batches, 0::BIGINT AS oversized, 0::BIGINT AS repeated_texts, 0::BIGINT AS placeable FROM text_triplets"
     )
+    different = f"len(list_distinct([lower(trim(x)) for x in [query, {nt('positive')}, {nt('negative')}] if x IS NOT NULL]))::BIGINT"
+    q["no_duplicate_batches_rows"] = ctes(TEXT_TRIPLETS) + (
+        f"SELECT pos, {different} AS n_texts, 0::BIGINT AS repeats FROM text_triplets"
+    )
+    q["prepare_training_rows"] = ctes(SPLIT) + (
+        f"""SELECT pos, split AS part, query AS sentence_0, {nt('positive')} AS sentence_1, {nt('negative')} AS sentence_2,
+        CASE split WHEN 'train' THEN {different} ELSE 0 END AS n_texts, 0::BIGINT AS repeats FROM split_rows"""
+    )
     q["prepare_training"] = ctes(SPLIT) + (
         f"""SELECT count(*) FILTER (split = 'train') AS n_rows, count(*) FILTER (split = 'train') // {TEXT_BATCH} AS n_batches,
         0::BIGINT AS oversized, 0::BIGINT AS repeated_texts, 0::BIGINT AS placeable,

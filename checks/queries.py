@@ -559,7 +559,7 @@ def q_union_datasets(spark, d):
 
 
 def _batches(spark, d):
-    rows = trim_triplets(t.text_triplets(spark, d))
+    rows = durable(trim_triplets(t.text_triplets(spark, d)))  # read by the batches and by the check of their rules
     return rows, no_duplicate_batches(rows, triplets.texts_array(rows), TEXT_BATCH, "pos")
 
 
@@ -581,6 +581,17 @@ def _batch_rules(rows, batches):
     )
 
 
+def _row_rules(rows, batches):
+    """(pos, n_texts, repeats) per row: its different texts, and how often other rows of its batch hold one of them."""
+    keyed = rows.select("pos", text_keys(triplets.texts_array(rows)).alias("keys"))
+    held = keyed.withColumnRenamed("pos", "row_id").join(batches.where("batch_id IS NOT NULL"), "row_id")
+    held = held.select("row_id", "batch_id", F.explode("keys").alias("key"))
+    others = held.groupBy("batch_id", "key").agg((F.count(F.lit(1)) - 1).alias("others"))
+    repeats = held.join(others, ["batch_id", "key"]).groupBy(F.col("row_id").alias("pos")).agg(F.sum("others").alias("repeats"))
+    counted = keyed.join(repeats, "pos", "left")
+    return counted.select("pos", F.size("keys").cast("long").alias("n_texts"), F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats"))
+
+
 @query("no_duplicate_batches")
 def q_no_duplicate_batches(spark, d):
     rows, batches = _batches(spark, d)
@@ -595,7 +606,8 @@ def q_no_duplicate_batches_rules(spark, d):
 
 @query("no_duplicate_batches_rows")
 def q_no_duplicate_batches_rows(spark, d):
-    return _batches(spark, d)[1]
+    rows, batches = _batches(spark, d)
+    return _row_rules(rows, durable(batches))
 
 
 @query("encode_texts")
@@ -625,7 +637,7 @@ def q_evaluate_all(spark, d):
 
 
 def _prepared(spark, d):
-    rows = trim_triplets(t.text_triplets(spark, d))
+    rows = durable(trim_triplets(t.text_triplets(spark, d)))
     return prepare.prepare_training(rows, prepare.PrepareSettings(SPLIT_SIZE, None, TEXT_BATCH, SEED))
 
 
@@ -653,10 +665,17 @@ def q_prepare_training(spark, d):
 
 @query("prepare_training_rows")
 def q_prepare_training_rows(spark, d):
+    """Every row of both parts with its sentences; training rows that fit into no batch are added to the written ones."""
     ready = _prepared(spark, d)
-    train = ready.train.withColumn("part", F.lit("train"))
-    held_out = ready.validation.withColumn("part", F.lit("validation"))
-    return train.unionByName(held_out, allowMissingColumns=True)
+    train = ready.rows.where("split = 'train'")
+    left = train.join(ready.batches.where("batch_id IS NULL").select(F.col("row_id").alias("pos")), "pos")
+    names = ["query", "positive", "negative"]
+    left = left.select("pos", *[F.col(c).alias(f"sentence_{i}") for i, c in enumerate(names)])
+    columns = ["pos", *[f"sentence_{i}" for i in range(3)]]
+    both = ready.train.select(*columns).unionByName(left).join(_row_rules(train, ready.batches), "pos")
+    none = F.lit(0).cast("long")
+    held_out = ready.validation.select(*columns, none.alias("n_texts"), none.alias("repeats"), F.lit("validation").alias("part"))
+    return both.withColumn("part", F.lit("train")).unionByName(held_out)
 
 
 # --- loading rules over a natural limit ---------------------------------------------------------------------------

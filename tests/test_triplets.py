@@ -201,3 +201,48 @@ def test_encode_texts(spark):
     assert plain == other
     assert plain[1] == plain[3] == [0.0] * 8
     assert sum(x * x for x in plain[0]) == pytest.approx(1)
+
+
+def test_set_bits_are_counted_in_order():
+    rng = np.random.default_rng(1)
+    bits = rng.random((200, 64)) < rng.random((200, 1)) ** 2
+    bits[0] = False
+    turn = rng.integers(0, 1 << 40, 200)
+    got = batching.nth_set_bit(np.packbits(bits, axis=1, bitorder="little"), turn)
+    for row, k, place in zip(bits, turn, got):
+        places = np.flatnonzero(row)
+        assert place == (places[k % len(places)] if len(places) else -1)
+
+
+def test_bitmaps_never_make_more_rows_than_texts(spark, monkeypatch):
+    """Texts that nearly every batch holds: a join of rows and batches would have 300 x 90 rows."""
+    made, wanted = [], []
+    real = batching.texts_held
+
+    def counted(state, left):
+        joined = real(state, left)
+        made.append(joined.count())
+        wanted.append(left.agg(F.sum(F.size("keys"))).first()[0] or 0)
+        return joined
+
+    monkeypatch.setattr(batching, "texts_held", counted)
+    rows = [(i, f"q{i % 3}", f"p{i % 5}", f"n{i % 290}") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = no_duplicate_batches(df, texts_array(df), 4, "pos").collect()
+    check_batches(rows, {r["row_id"]: r["batch_id"] for r in out}, 4)
+    assert made and all(m <= w for m, w in zip(made, wanted))
+
+
+@pytest.mark.parametrize("window", [8, 16])
+def test_rows_go_on_to_the_next_window(spark, monkeypatch, window):
+    """The bitmaps are 4 KB whatever the window, so a short window only makes more of them."""
+    monkeypatch.setattr(batching, "WINDOW_BATCHES", window)
+    rows = [(i, f"q{i % 30}", f"p{i % 40}", "shared" if i % 2 else f"n{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    batches = durable(no_duplicate_batches(df, texts_array(df), 4, "pos"))
+    got = {r["row_id"]: r["batch_id"] for r in batches.collect()}
+    members = check_batches(rows, got, 4)
+    held = {b: {t for i in ids for t in rows[i][1:]} for b, ids in members.items()}
+    room = [b for b in range(75) if len(members.get(b, ())) < 4]
+    assert not [i for i, b in got.items() if b is None for r in room if not held.get(r, set()) & set(rows[i][1:])]
+    assert batching.placeable_rows(df, texts_array(df), batches, 4, "pos").count() == 0
