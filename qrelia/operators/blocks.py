@@ -6,11 +6,17 @@ past it in Arrow batches. A task turns a batch into a small score matrix and
 emits only rows that can still be among the best k of a query, so pair scores
 never become rows and the documents are never shuffled. More queries than one
 block means more passes over the documents, each of them bound by arithmetic.
+
+A task that knows nothing of the others emits k rows per query. Of a table with many splits, a few
+are therefore ranked first; the k-th best row of each query found there is a floor that is
+broadcast with the queries, and no task emits a row that ranks behind it. The floor comes from documents
+of the corpus, so it holds whichever splits were looked at.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
@@ -18,6 +24,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,8 @@ from qrelia.session import durable
 
 BLOCK_QUERIES = 16_384
 BLOCK_BYTES = 64 << 20
+PILOT_SPLITS = 16  # ranked first to find the floors
+MANY_SPLITS = 4 * PILOT_SPLITS  # fewer splits are ranked in one go
 MERGE_TASKS = 1_000  # from more tasks than this, candidates are merged in two levels
 MATRIX_CELLS = 4_000_000  # largest score matrix held by a task
 
@@ -62,18 +71,49 @@ def best_per_row(scores: np.ndarray, k: int) -> np.ndarray:
     return above | (tied & (np.cumsum(tied, axis=1) <= room))
 
 
-def emit_topk(scorer: Scorer, batches: Iterator[pa.RecordBatch], k: int):
-    """Rows that may be among the k best of their query, judged by this task alone."""
+class Floors:
+    """The k-th best row of each query among some documents, by truncation dimension."""
+
+    def __init__(self, found: pa.Table, query_ids: pa.Array):
+        self.scores: dict[int, np.ndarray] = {}
+        self.doc_ids: dict[int, list[bytes]] = {}
+        place = {q: i for i, q in enumerate(query_ids.to_pylist())}
+        for dim, query, score, doc_id in zip(*(found.column(c).to_pylist() for c in ("truncate_dim", "query_id", "score", "doc_id"))):
+            scores = self.scores.setdefault(dim, np.full(len(place), -np.inf))
+            ids = self.doc_ids.setdefault(dim, [b""] * len(place))
+            scores[place[query]], ids[place[query]] = score, doc_id.encode()
+
+    def reached(self, dim: int, scores: np.ndarray, doc_ids: list[bytes]) -> np.ndarray:
+        """Mask of cells that do not rank behind the floor; ``doc_ids`` belong to the columns and ascend."""
+        if dim not in self.scores:
+            return np.ones(scores.shape, bool)
+        floor = self.scores[dim][:, None]
+        above = scores > floor
+        tied = scores == floor
+        rows = np.flatnonzero(tied.any(axis=1))
+        upto = np.array([bisect_right(doc_ids, self.doc_ids[dim][q]) for q in rows], np.int64)
+        above[rows] |= tied[rows] & (np.arange(scores.shape[1]) < upto[:, None])
+        return above
+
+
+def emit_topk(scorer: Scorer, batches: Iterator[pa.RecordBatch], k: int, floors: Floors | None = None):
+    """Rows that may be among the k best of their query, judged by this task and the floors alone."""
     n_queries = len(scorer.query_ids)
     best: dict[int, np.ndarray] = {}  # per dimension: the k best scores of each query so far
     for batch in batches:
         batch = batch.take(pc.sort_indices(batch.column("doc_id")))
         doc_ids = batch.column("doc_id")
+        ascending = doc_ids.cast(pa.binary()).to_pylist() if floors else []
         for dim, start, scores in scorer.matrices(batch):
             exact, scores = scores, np.round(scores, SCORE_DIGITS)
             so_far = best.setdefault(dim, np.full((n_queries, k), -np.inf))
             # A scorer marks cells that are no candidates by minus infinity.
-            keep = best_per_row(scores, k) & (scores >= so_far.min(axis=1, keepdims=True)) & (scores > -np.inf)
+            possible = (scores >= so_far.min(axis=1, keepdims=True)) & (scores > -np.inf)
+            if floors:
+                possible &= floors.reached(dim, scores, ascending[start : start + scores.shape[1]])
+                if not possible.any():
+                    continue
+            keep = best_per_row(scores, k) & possible
             q, d = np.nonzero(keep)
             if not len(q):
                 continue
@@ -134,13 +174,43 @@ def block_topk(
     return reduce(DataFrame.unionByName, runs)
 
 
-def _one_pass(docs, query_block, make_scorer, k):
-    sent = docs.sparkSession.sparkContext.broadcast(query_block.toArrow())
+def estimated_splits(df: DataFrame) -> int:
+    """How many splits a scan has, from the size that the optimizer knows; 1 if it knows none."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= int(spark.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1))):
+        return 1
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return size // spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split) + 1
+
+
+def candidates(docs: DataFrame, sent, make_scorer: Callable, k: int, floors=None, splits: int | None = None) -> DataFrame:
+    """Rows of the tasks; ``splits`` leaves all others out, ``floors`` are a broadcast of rows that bound the rest."""
 
     def score(batches: Iterator[pa.RecordBatch]):
-        yield from emit_topk(make_scorer(sent.value), batches, k)
+        if splits is not None and TaskContext.get().partitionId() >= splits:
+            return
+        scorer = make_scorer(sent.value)
+        bounds = Floors(floors.value, scorer.query_ids) if floors is not None else None
+        yield from emit_topk(scorer, batches, k, bounds)
+
+    return docs.mapInArrow(score, RUN_SCHEMA)
 
-    candidates = docs.mapInArrow(score, RUN_SCHEMA)
-    # Every task sends at least k rows for a query; from many tasks they are merged in two levels.
-    many = docs.rdd.getNumPartitions() > MERGE_TASKS
-    return rank_topk(candidates, k, by=("truncate_dim", "query_id"), two_levels=many), sent
+
+def find_floors(docs: DataFrame, sent, make_scorer: Callable, k: int, splits: int = PILOT_SPLITS) -> pa.Table:
+    """The k-th best row of each query among the first splits; at most one row per query of the block and dimension."""
+    some = rank_topk(candidates(docs, sent, make_scorer, k, splits=splits), k, by=("truncate_dim", "query_id"))
+    rounded = F.round("score", SCORE_DIGITS).alias("score")
+    return some.where(F.col("rank") == k).select("truncate_dim", "query_id", rounded, "doc_id").toArrow()
+
+
+def _one_pass(docs, query_block, make_scorer, k):
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(query_block.toArrow())
+    splits = estimated_splits(docs)
+    floors = None
+    if splits >= MANY_SPLITS:
+        floors = context.broadcast(find_floors(docs, sent, make_scorer, k))
+    # From many tasks candidates are merged in two levels.
+    many = splits > MERGE_TASKS
+    return rank_topk(candidates(docs, sent, make_scorer, k, floors), k, by=("truncate_dim", "query_id"), two_levels=many), sent

@@ -217,3 +217,60 @@ def test_cumulative_hits(spark):
     qrels = spark.createDataFrame([("q", "d2", 1), ("q", "d4", 3), ("q", "d5", 0)], "query_id string, doc_id string, score int")
     rows = ranking.cumulative_hits(ranking.join_run_qrels(run, qrels)).orderBy("rank").collect()
     assert [(r["rel"], r["hits"]) for r in rows] == [(0, 0), (1, 1), (0, 1), (1, 2), (0, 2)]
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_floors_cut_what_tasks_emit(spark, monkeypatch, tied):
+    """64 splits: without floors every task would send k rows per query."""
+    rng = np.random.default_rng(4)
+    k, n_splits, n_queries = 10, 64, 12
+    vectors = rng.normal(size=(64 * 60, 4))
+    if tied:  # a handful of different vectors, so that nearly every score is tied
+        vectors = vectors[rng.integers(0, 9, len(vectors))]
+    docs = [(f"d{i:05d}", v.tolist()) for i, v in enumerate(vectors)]
+    queries = [(f"q{i}", rng.normal(size=4).tolist()) for i in range(n_queries)]
+    corpus = spark.createDataFrame(docs, "doc_id string, vector array<double>").repartition(n_splits)
+    asked = spark.createDataFrame(queries, "query_id string, vector array<double>")
+    emitted = []
+    real = blocks.candidates
+
+    def counted(*args, **kwargs):
+        out = real(*args, **kwargs)
+        emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocks, "candidates", counted)
+    assert blocks.estimated_splits(corpus) == 1  # nothing is known of its size
+    want = ranked(dense.dense_rank(corpus, asked, k))
+    monkeypatch.setattr(blocks, "estimated_splits", lambda df: n_splits)
+    assert ranked(dense.dense_rank(corpus, asked, k)) == want
+    free, pilot, bounded = emitted
+    assert free >= n_splits * k * n_queries * 0.9
+    assert pilot <= blocks.PILOT_SPLITS * 60 * n_queries
+    assert bounded < free / 4
+
+
+def test_floors_with_padding_and_short_lists(spark, monkeypatch):
+    """Queries with fewer matches than k are filled by id: all those scores are tied at 0."""
+    docs, queries = random_corpus(400)
+    corpus = spark.createDataFrame(list(docs.items()), "doc_id string, text string").repartition(64)
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
+    scores = brute_bm25(docs, queries)
+    want = brute_rank(scores, queries, docs, 30)
+    monkeypatch.setattr(blocks, "estimated_splits", lambda df: 64)
+    got = ranked(bm25.bm25_rank(corpus, asked, 30))
+    assert {q: [d for _, d, _ in rows] for q, rows in got.items()} == want
+    short = ranked(bm25.bm25_rank(corpus, asked, 10_000, pad_zero_scores=False))
+    assert {q: {d for _, d, _ in rows} for q, rows in short.items()} == {q: m for q in queries if (m := {d for d in docs if scores[q, d] != 0})}
+
+
+def test_floors_compare_ids_as_bytes():
+    import pyarrow as pa
+
+    found = pa.table({"truncate_dim": [4], "query_id": ["b"], "score": [1.0], "doc_id": ["é"]})
+    floors = blocks.Floors(found, pa.array(["a", "b"]))
+    ids = sorted(x.encode() for x in ["z", "é", "ö", "a"])
+    scores = np.array([[0.0, 1.0, 2.0, 0.5], [1.0, 1.0, 1.0, 1.0]])
+    assert floors.reached(4, scores, ids).tolist() == [[True] * 4, [True, True, True, False]]
+    assert floors.reached(8, scores, ids).all()
+    assert not floors.reached(4, scores - 1.5, ids)[1].any()
