@@ -435,6 +435,7 @@ def oracle_sql() -> dict[str, str]:
     q["bm25_topk"] = ctes(loaded(CHAT_RAW), BM25_RUN) + (
         f"SELECT truncate_dim, query_id, doc_id, round(score, {SCORE_ROUND}) AS score, rank::INTEGER AS rank FROM run"
     )
+    q["bm25_topk_stored"] = q["bm25_topk"]
     for kind in ("accuracy", "precision", "recall", "mrr", "ndcg", "map"):
         names = [n for n in metric_exprs() if n.rsplit("_", 1)[0] == kind]
         q[f"{kind}_at_k"] = ctes(LABELS, dense_run(DIMS), per_query()) + (

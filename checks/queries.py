@@ -19,7 +19,7 @@ from qrelia.functions.text import (
     normalize_text,
 )
 from qrelia.functions.vectors import dot_score, truncate_normalize
-from qrelia.operators import bm25, dense, metrics, ranking, runlog, triplets
+from qrelia.operators import bm25, bm25_store, dense, metrics, ranking, runlog, triplets
 from qrelia.operators.batching import no_duplicate_batches, placeable_rows, text_keys
 from qrelia.operators.encode import encode_texts, hashing_encoder
 from qrelia.operators.loss import in_batch_loss
@@ -425,6 +425,16 @@ def q_bm25_topk(spark, d):
     return _rounded(bm25.bm25_rank(data.corpus, data.queries, 100), SCORE_ROUND)
 
 
+@query("bm25_topk_stored")
+def q_bm25_topk_stored(spark, d):
+    """The ranking of ``bm25_topk`` from an index that was written before."""
+    data = t.load(spark, d, t.CHAT)
+    folder = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    bm25_store.stored_index(data.corpus, folder, data.fingerprint)
+    index = bm25_store.stored_index(data.corpus, folder, data.fingerprint)
+    return _rounded(bm25_store.rank_by_index(index, data.queries, 100), SCORE_ROUND)
+
+
 # --- metrics ------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from qrelia.functions.text import max_tokens
 from qrelia.operators.bm25 import BM25_DIM, bm25_rank
+from qrelia.operators.bm25_store import rank_by_index, stored_index
 from qrelia.operators.dense import dense_rank
 from qrelia.operators.encode import Encoder, encode_texts
 from qrelia.operators.metrics import Cutoffs, run_metrics
@@ -28,11 +29,19 @@ class EvalSettings:
     encoder: Callable[[], Encoder] | None = None
     batch_size: int = 128
     max_tokens: int | None = None  # words of a text that are encoded; None: all
+    index_dir: str | None = None  # where BM25 indexes are kept for later evaluations; None: nowhere
 
 
-def bm25_metrics(data: RetrievalData, cutoffs: Cutoffs) -> DataFrame:
-    """One row: BM25 over the whole corpus, ``truncate_dim`` -1."""
-    run = bm25_rank(data.corpus, data.queries, cutoffs.max_k)
+def bm25_metrics(data: RetrievalData, cutoffs: Cutoffs, index_dir: str | None = None) -> DataFrame:
+    """One row: BM25 over the whole corpus, ``truncate_dim`` -1.
+
+    With ``index_dir``, the corpus is indexed there once; later calls read the index only.
+    """
+    if index_dir:
+        index = stored_index(data.corpus, index_dir, data.fingerprint)
+        run = rank_by_index(index, data.queries, cutoffs.max_k)
+    else:
+        run = bm25_rank(data.corpus, data.queries, cutoffs.max_k)
     averaged = run_metrics(run, data.queries, data.qrels, [BM25_DIM], cutoffs, with_precision=False)
     return averaged.withColumn("system", F.lit("bm25")).withColumn("seq", F.lit(0))
 
@@ -94,7 +103,7 @@ def evaluate_dense(
     )
     if not run_bm25:
         return dense
-    return union_systems([bm25_metrics(data, settings.cutoffs), dense])
+    return union_systems([bm25_metrics(data, settings.cutoffs, settings.index_dir), dense])
 
 
 def _specs(specs: Sequence[RetrievalSpec], default: RetrievalSpec | None) -> list[RetrievalSpec]:
@@ -109,9 +118,10 @@ def evaluate_bm25(
     load: Loader,
     cutoffs: Cutoffs,
     default: RetrievalSpec | None = None,
+    index_dir: str | None = None,
 ) -> DataFrame:
     """BM25 on every dataset, or on ``default`` if none is listed; one row each."""
-    return union_datasets([(s, bm25_metrics(load(s), cutoffs)) for s in _specs(specs, default)])
+    return union_datasets([(s, bm25_metrics(load(s), cutoffs, index_dir)) for s in _specs(specs, default)])
 
 
 def evaluate_all(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -102,3 +103,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(key) if df.rdd.getNumPartitions() < cores else df
+
+
+def files_fingerprint(tables: list[DataFrame], what: str = "") -> str:
+    """Digest of ``what`` and of name, length and time of all files below ``tables``; no file is read."""
+    spark = tables[0].sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    seen = hashlib.sha256(what.encode())
+    for table in tables:
+        files = sorted(table.inputFiles())
+        if not files:
+            seen.update(uuid.uuid4().bytes)  # not from files: equal to no other
+        wanted = {f.rsplit("/", 1)[1] for f in files}
+        for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+            at = path_of(folder)
+            for status in at.getFileSystem(conf).listStatus(at):
+                name = status.getPath().toUri().getRawPath()
+                if name.rsplit("/", 1)[1] in wanted or status.getPath().getName() in wanted:
+                    seen.update(f"{name}|{status.getLen()}|{status.getModificationTime()}\n".encode())
+    return seen.hexdigest()

@@ -22,7 +22,7 @@ from qrelia.operators.positions import (
     nth_position,
     with_row_position,
 )
-from qrelia.session import durable
+from qrelia.session import durable, files_fingerprint
 from qrelia.sources.tables import (
     ID_ALIASES,
     POS,
@@ -37,11 +37,15 @@ from qrelia.sources.tables import (
 
 @dataclass
 class RetrievalData:
-    """corpus(doc_id, text, pos), queries(query_id, text, pos), qrels(query_id, doc_id, score)."""
+    """corpus(doc_id, text, pos), queries(query_id, text, pos), qrels(query_id, doc_id, score).
+
+    ``fingerprint`` is equal for equal corpora loaded from unchanged files.
+    """
 
     corpus: DataFrame
     queries: DataFrame
     qrels: DataFrame
+    fingerprint: str | None = None
 
 
 @dataclass
@@ -316,14 +320,15 @@ def load_spec(
 
     read = read or from_files
     if spec.format == "squad":
-        return load_squad(read(""), spec, limit)
+        table = read("")
+        found = load_squad(table, spec, limit)
+        found.fingerprint = files_fingerprint([table], repr((spec, limit)))
+        return found
     if spec.format != "beir":
         raise ValueError(f"unknown dataset format: {spec.format!r}")
-    return load_beir(
-        read(spec.corpus_config),
-        read(spec.queries_config),
-        read(spec.labels_config),
-        spec,
-        limit,
-        extra_corpus_docs,
-    )
+    tables = [read(spec.corpus_config), read(spec.queries_config), read(spec.labels_config)]
+    found = load_beir(*tables, spec, limit, extra_corpus_docs)
+    # A whole corpus does not depend on queries and judgements.
+    whole = extra_corpus_docs is None
+    found.fingerprint = files_fingerprint(tables[:1] if whole else tables, repr((spec, None if whole else (limit, extra_corpus_docs))))
+    return found
