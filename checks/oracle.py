@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.queries import (
+    CHECKPOINT_DIMS,
     CUTOFFS,
     DIMS,
     ENCODER_DIM,
@@ -343,6 +344,40 @@ def loss_sql() -> str:
     ) + "SELECT count(*) AS n_batches, round(avg(l), 6) AS loss FROM bl"
 
 
+def validation_sql() -> str:
+    points = ", ".join(f"({100 * i}, {d})" for i, d in enumerate(CHECKPOINT_DIMS, 1))
+    texts = " UNION ALL ".join(
+        f"SELECT r // {LOSS_BATCH} AS b, r, '{side}' AS side, {text} AS text FROM held"
+        for side, text in (("a", "query"), ("p", nt("positive")), ("n", nt("negative")))
+    )
+    return ctes(
+        SPLIT,
+        "held AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS r, * FROM split_rows WHERE split = 'validation')",
+        f"texts AS ({texts})",
+        f"points AS (SELECT * FROM (VALUES {points}) t(step, d))",
+        f"""used AS (SELECT b, r, side, w, count(*) AS c FROM (SELECT b, r, side, unnest({toks('lower(text)')}) AS w FROM texts) GROUP BY ALL)""",
+        """cells AS (SELECT step, b, r, side, ('0x' || substr(md5(w), 1, 8))::BIGINT % d AS i,
+                   sum(c * (1 - 2 * (('0x' || substr(md5(w), 9, 1))::INTEGER % 2)))::DOUBLE AS x
+                   FROM used, points GROUP BY ALL HAVING x <> 0)""",
+        "unit AS (SELECT step, b, r, side, i, x / sqrt(sum(x * x) OVER (PARTITION BY step, b, r, side)) AS x FROM cells)",
+        """dots AS (SELECT a.step, a.r, c.r AS other, c.side, sum(a.x * c.x) AS s FROM unit a JOIN unit c USING (step, b, i)
+                  WHERE a.side = 'a' AND c.side <> 'a' GROUP BY ALL)""",
+        """pairs AS (SELECT points.step, a.b, a.r, c.r AS other, c.side, 20 * coalesce(dots.s, 0) AS s
+                   FROM texts a JOIN texts c ON a.b = c.b CROSS JOIN points LEFT JOIN dots
+                     ON dots.step = points.step AND dots.r = a.r AND dots.other = c.r AND dots.side = c.side
+                   WHERE a.side = 'a' AND c.side <> 'a')""",
+        """runs AS (SELECT 'triplets' AS run_id, * FROM pairs UNION ALL SELECT 'pairs', * FROM pairs WHERE side = 'p')""",
+        "rows_ AS (SELECT run_id, step, b, r, ln(sum(exp(s))) - max(s) FILTER (other = r AND side = 'p') AS l FROM runs GROUP BY ALL)",
+        """lg AS (SELECT run_id, step, printf('%.6f', avg(l))::DOUBLE AS value
+                FROM (SELECT run_id, step, b, avg(l) AS l FROM rows_ GROUP BY ALL) GROUP BY ALL)""",
+        """imp AS (SELECT *, row_number() OVER run AS k, coalesce(value < min(value) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+                 FROM lg WINDOW run AS (PARTITION BY run_id ORDER BY step))""",
+        "waits AS (SELECT *, k - max(CASE WHEN improved THEN k END) OVER (PARTITION BY run_id ORDER BY step) AS wait FROM imp)",
+        "stops AS (SELECT run_id, min(step) FILTER (wait >= 2) AS stop FROM waits GROUP BY 1)",
+    ) + """SELECT run_id, any_value(stop)::BIGINT AS stop_step, arg_min(step, (value, step))::BIGINT AS best_step, min(value) AS best_value
+        FROM waits JOIN stops USING (run_id) WHERE stop IS NULL OR step <= stop GROUP BY 1"""
+
+
 # --- all ----------------------------------------------------------------------------------------------
 
 
@@ -487,6 +522,7 @@ def oracle_sql() -> dict[str, str]:
     q["no_duplicate_batches_rows"] = ctes(TEXT_TRIPLETS) + (
         f"SELECT pos, {different} AS n_texts, 0::BIGINT AS repeats FROM text_triplets"
     )
+    q["validation_loss"] = validation_sql()
     q["prepare_training_rows"] = ctes(SPLIT) + (
         f"""SELECT pos, split AS part, query AS sentence_0, {nt('positive')} AS sentence_1, {nt('negative')} AS sentence_2,
         CASE split WHEN 'train' THEN {different} ELSE 0 END AS n_texts, 0::BIGINT AS repeats FROM split_rows"""

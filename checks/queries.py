@@ -25,7 +25,7 @@ from qrelia.operators.encode import encode_texts, hashing_encoder
 from qrelia.operators.loss import in_batch_loss
 from qrelia.operators.metrics import Cutoffs
 from qrelia.operators.pooling import pool_vectors
-from qrelia.plans import evaluate, prepare
+from qrelia.plans import evaluate, prepare, validation
 from qrelia.session import durable, scratch_dir
 from qrelia.sources import report, retrieval
 from qrelia.sources.tables import (
@@ -48,6 +48,7 @@ ENCODER_DIMS = (64, 16)
 LOSS_BATCH = 32
 TEXT_BATCH = 16
 PATIENCE = 4
+CHECKPOINT_DIMS = (8, 64, 32, 24)  # of the models of a run, one per evaluation
 SCORE_ROUND = 4  # digits of a score; sums differ in their last bits between engines
 SPLIT_SIZE, SEED = 0.1, 42
 
@@ -673,6 +674,21 @@ def q_prepare_training(spark, d):
     )
 
 
+@query("validation_loss")
+def q_validation_loss(spark, d):
+    """Held-out texts to stop and best step of two runs, whose models are hashing encoders of changing size."""
+    held_out = validation.numbered(_prepared(spark, d).validation)
+    path = _fresh(spark, "validation")
+    settings = validation.LossSettings(batch_size=LOSS_BATCH)
+    for run, columns in (("triplets", held_out.columns), ("pairs", [c for c in held_out.columns if c != "sentence_2"])):
+        points = [validation.Checkpoint(i / 2, 100 * i, hashing_encoder(dim)) for i, dim in enumerate(CHECKPOINT_DIMS, 1)]
+        rows = held_out.select(*columns)
+        first = validation.log_checkpoint(rows, run, validation.Checkpoint(0.5, 100, hashing_encoder(1)), path, settings)
+        validation.log_checkpoint(rows, run, points[0], path, settings, number=first)  # the first try is replaced
+        validation.log_run(rows, run, points, path, settings)
+    return _rounded(validation.judge_runs(spark, path, 2))
+
+
 @query("prepare_training_rows")
 def q_prepare_training_rows(spark, d):
     """Every row of both parts with its sentences; training rows that fit into no batch are added to the written ones."""

@@ -26,18 +26,20 @@ def batch_loss(anchor: np.ndarray, candidates: np.ndarray) -> float:
 
 
 def batch_losses(
-    triplets: DataFrame, batch_size: int, dims: Sequence[int] | None = None
+    triplets: DataFrame, batch_size: int, dims: Sequence[int] | None = None, numbered: bool = False
 ) -> DataFrame:
     """``(truncate_dim, batch_id, loss)`` of consecutive batches in ``pos`` order.
 
     Columns: pos, anchor, positive and optionally negative vectors. Rows are
     grouped by runs of whole batches, so a group has a fixed size and one call
-    serves many batches.
+    serves many batches. ``numbered`` says that ``pos`` counts the rows from 0, which saves
+    sorting the vectors.
     """
     names = [c for c in ("anchor", "positive", "negative") if c in triplets.columns]
     dims = list(dims or ()) or [vector_length(triplets.select(F.col("anchor").alias("vector")))]
     per_group = max(1, _ROWS_PER_TASK_GROUP // batch_size) * batch_size
-    numbered = with_row_position(triplets.select("pos", *names), ["pos"], "_p").drop("pos")
+    rows = triplets.select("pos", *names)
+    counted = rows.withColumnRenamed("pos", "_p") if numbered else with_row_position(rows, ["pos"], "_p").drop("pos")
 
     def losses(table: pa.Table) -> pa.Table:
         table = table.sort_by("_p")
@@ -55,18 +57,18 @@ def batch_losses(
         )
 
     group = F.floor(F.col("_p") / per_group).alias("_group")
-    keyed = numbered.withColumn("_group", group)
+    keyed = counted.withColumn("_group", group)
     return keyed.groupBy("_group").applyInArrow(
         losses, "truncate_dim int, batch_id long, loss double"
     )
 
 
 def in_batch_loss(
-    triplets: DataFrame, batch_size: int, dims: Sequence[int] | None = None
+    triplets: DataFrame, batch_size: int, dims: Sequence[int] | None = None, numbered: bool = False
 ) -> DataFrame:
     """One row ``(n_batches, loss)``: mean over batches of the loss summed over dims."""
     per_batch = (
-        batch_losses(triplets, batch_size, dims)
+        batch_losses(triplets, batch_size, dims, numbered)
         .groupBy("batch_id")
         .agg(F.sum("loss").alias("loss"))
     )
