@@ -401,9 +401,10 @@ def oracle_sql() -> dict[str, str]:
     q["load_squad_limited"] = ctes(qa_loaded(400)) + PARTS
     q["resolve_col"] = ctes(CHAT_RAW) + "SELECT query_id, doc_id, score FROM raw_qrels"
 
+    q["read_split"] = "SELECT CASE conv_id % 2 WHEN 1 THEN 'test' ELSE 'train' END AS split, conv_id, turn, role, text FROM conversations"
     q["normalize_text"] = f"SELECT doc_id, {nt('text')} AS text FROM documents"
     q["corpus_text"] = "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE source || chr(10) || text END AS text FROM documents"
-    q["falsy_to_empty"] = "SELECT d.doc_id, coalesce(quality::VARCHAR, '') AS title, '' AS missing FROM documents d LEFT JOIN labels USING (doc_id)"
+    q["falsy_to_empty"] = "SELECT d.doc_id, CASE WHEN quality <> 0 THEN quality::VARCHAR ELSE '' END AS title, '' AS missing FROM documents d LEFT JOIN labels USING (doc_id)"
     q["cast_ids"] = "SELECT event_id::VARCHAR AS doc_id, user_id::VARCHAR AS query_id, trunc(value)::INTEGER AS score FROM events"
     q["bm25_tokenize"] = f"SELECT doc_id, len({toks('lower(text)')})::INTEGER AS n_tokens, array_to_string({toks('lower(text)')}, '|') AS tokens FROM documents"
     q["max_tokens"] = f"SELECT doc_id, array_to_string({toks('text')}[1:128], ' ') AS text FROM documents"

@@ -27,7 +27,7 @@ from qrelia.operators.metrics import Cutoffs
 from qrelia.operators.pooling import pool_vectors
 from qrelia.plans import evaluate, prepare, validation
 from qrelia.session import durable, scratch_dir
-from qrelia.sources import report, retrieval
+from qrelia.sources import report, retrieval, splits
 from qrelia.sources.tables import (
     QREL_DOC_ALIASES,
     QREL_QUERY_ALIASES,
@@ -182,6 +182,18 @@ def q_append_metric_log(spark, d):
 # --- scalar functions ----------------------------------------------------------------
 
 
+@query("read_split")
+def q_read_split(spark, d):
+    """Two named splits of JSON lines, which Spark's own reader would give no order."""
+    turns = t.table(spark, d, "conversations")
+    path = _fresh(spark, "splits")
+    for name, odd in (("train", 0), ("test", 1)):
+        turns.where(F.col("conv_id") % 2 == odd).select("conv_id", "turn", "role", "text").write.json(f"{path}/turns/{name}")
+    parts = [splits.read_split(spark, path, "turns", name, "json").withColumn("split", F.lit(name)) for name in (None, "train")]
+    rows = parts[0].withColumn("split", F.lit("test")).unionByName(parts[1])
+    return rows.select("split", "conv_id", "turn", "role", "text")
+
+
 @query("normalize_text")
 def q_normalize_text(spark, d):
     return t.table(spark, d, "documents").select("doc_id", normalize_text(F.col("text")).alias("text"))
@@ -563,7 +575,7 @@ def q_union_datasets(spark, d):
             data.corpus, data.queries.where(of_mode), data.qrels.where(of_mode), CUTOFFS, DIMS
         )
         parts.append((retrieval.RetrievalSpec(dataset="labels", name=mode, split="all"), swept))
-    return _rounded(evaluate.union_datasets(parts))
+    return _rounded(evaluate.union_datasets(parts).drop("place"))
 
 
 # --- batches, encoding, whole evaluations ----------------------------------------------------------------------
@@ -637,13 +649,13 @@ def q_evaluate_dense(spark, d):
 
 @query("evaluate_bm25")
 def q_evaluate_bm25(spark, d):
-    return _rounded(_bm25_results(spark, d))
+    return _rounded(_bm25_results(spark, d).drop("place"))
 
 
 @query("evaluate_all")
 def q_evaluate_all(spark, d):
     return _rounded(
-        evaluate.evaluate_all([t.BENCH, t.CHAT], lambda s: t.load(spark, d, s), _settings())
+        evaluate.evaluate_all([t.BENCH, t.CHAT], lambda s: t.load(spark, d, s), _settings()).drop("place")
     )
 
 

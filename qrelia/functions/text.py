@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 # Fixed value: the code points str.split() treats as whitespace.
 WHITESPACE = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]+"
@@ -30,10 +31,13 @@ def max_tokens(c: Column, n: int) -> Column:
 
 
 def falsy_to_empty(df: DataFrame, name: str | None) -> Column:
-    """Column ``name`` as a string, with NULL or an absent column read as ''."""
+    """Column ``name`` as a string; NULL, an absent column, the number 0 and false are read as ''."""
     if name is None or name not in df.columns:
         return F.lit("")
-    return F.coalesce(df[name].cast("string"), F.lit(""))
+    text = F.coalesce(df[name].cast("string"), F.lit(""))
+    if isinstance(df.schema[name].dataType, (NumericType, BooleanType)):
+        return F.when(df[name].cast("double") == 0, "").otherwise(text)
+    return text
 
 
 def corpus_text(title: Column, text: Column) -> Column:

@@ -67,13 +67,14 @@ def union_systems(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def union_datasets(parts: Sequence[tuple[RetrievalSpec, DataFrame]]) -> DataFrame:
-    """Results of several datasets, each under its name and the split it was read from."""
+    """Results of several datasets, each under its name and the split it was read from.
+
+    ``place`` is a dataset's number in the list: names may repeat.
+    """
     return union_systems(
         [
-            df.withColumn("dataset", F.lit(spec.label)).withColumn(
-                "split", F.lit(spec.split).cast("string")
-            )
-            for spec, df in parts
+            df.withColumns({"dataset": F.lit(spec.label), "split": F.lit(spec.split).cast("string"), "place": F.lit(i)})
+            for i, (spec, df) in enumerate(parts)
         ]
     )
 

@@ -51,25 +51,31 @@ def _result_struct(df: DataFrame, cutoffs: Cutoffs) -> Column:
 
 def results_by_dataset(results: DataFrame, cutoffs: Cutoffs, model_path: str) -> DataFrame:
     """One row per dataset with its results as an ordered array."""
+    if "place" not in results.columns:
+        results = results.withColumn("place", F.lit(0))
     numbered = results.withColumn("_row", F.struct("seq", _result_struct(results, cutoffs).alias("r")))
-    return numbered.groupBy("dataset", "split").agg(
+    return numbered.groupBy("place", "dataset", "split").agg(
         F.transform(F.sort_array(F.collect_list("_row")), lambda x: x["r"]).alias("results")
     ).select(
         F.lit(model_path).alias("model_path"),
         "dataset",
         F.col("split").alias("eval_split"),
         "results",
+        "place",
     )
 
 
 def write_results_json(results: DataFrame, path: str, cutoffs: Cutoffs, model_path: str) -> None:
-    """``path/datasets/folder=<name>/`` per dataset, ``path/combined/`` with all of them."""
+    """``path/datasets/folder=<name>/`` per dataset, ``path/combined/`` with all of them in the order of the list."""
     each = results_by_dataset(results, cutoffs, model_path)
-    each.withColumn("folder", safe_name(F.col("dataset"))).write.mode("overwrite").partitionBy(
+    each.drop("place").withColumn("folder", safe_name(F.col("dataset"))).write.mode("overwrite").partitionBy(
         "folder"
     ).json(f"{path}/datasets")
     each.groupBy("model_path").agg(
-        F.sort_array(F.collect_list(F.struct("dataset", "results"))).alias("datasets")
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("place", "dataset", "results"))),
+            lambda x: F.struct(x["dataset"].alias("dataset"), x["results"].alias("results")),
+        ).alias("datasets")
     ).coalesce(1).write.mode("overwrite").json(f"{path}/combined")
 
 

@@ -23,6 +23,7 @@ from qrelia.operators.positions import (
     with_row_position,
 )
 from qrelia.session import durable, files_fingerprint
+from qrelia.sources.splits import DEFAULT_SPLITS, read_split, split_files
 from qrelia.sources.tables import (
     ID_ALIASES,
     POS,
@@ -53,8 +54,11 @@ class RetrievalSpec:
     """Where one evaluation dataset lives and what its columns are called.
 
     ``beir`` reads three tables below ``dataset`` (one folder each); ``squad``
-    reads one table. ``split`` is a subfolder, if given. ``unique_doc_ids`` says that
+    reads one table. ``split`` is a named split (see ``splits``); without one, the format's default split is read
+    where the dataset has it, and the table's own folder otherwise. ``unique_doc_ids`` says that
     no document id repeats, which saves looking for repeated ones.
+
+    Fixed values: the option names and defaults below are those that existing specifications use.
     """
 
     dataset: str
@@ -310,13 +314,15 @@ def load_spec(
 ) -> RetrievalData:
     """Load the dataset a spec describes; ``read`` maps a table name to a DataFrame with ``pos``.
 
-    The default reader takes ``{dataset}/{table}[/{split}]``; the question-answer
+    The default reader takes named splits of ``{dataset}/{table}``; the question-answer
     layout ignores ``extra_corpus_docs``.
     """
 
     def from_files(table: str) -> DataFrame:
-        path = "/".join(p for p in (spec.dataset, table, spec.split) if p)
-        return read_table(spark, path, spec.file_format, spec.order_by)
+        default = DEFAULT_SPLITS.get(spec.format, "")
+        if spec.split or split_files(spec.dataset, table, default, spec.file_format):
+            return read_split(spark, spec.dataset, table, spec.split, spec.file_format, spec.format, spec.order_by)
+        return read_table(spark, "/".join(p for p in (spec.dataset, table) if p), spec.file_format, spec.order_by)
 
     read = read or from_files
     if spec.format == "squad":

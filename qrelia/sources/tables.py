@@ -41,7 +41,7 @@ def with_order(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
 
 def read_table(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     fmt: str = "parquet",
     order_by: Sequence[str] | None = None,
     schema: str | None = None,
@@ -54,7 +54,7 @@ def read_table(
     reader = spark.read.schema(schema) if schema else spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.format(fmt).load(path)
+    df = reader.format(fmt).load(path if isinstance(path, str) else list(path))
     if order_by:
         return spread(with_order(df, order_by), POS)
     if fmt != "parquet":
@@ -92,12 +92,19 @@ def load_triplets(
     fmt: str = "parquet",
     hard_negatives: bool = True,
     order_by: Sequence[str] | None = None,
+    split: str | None = None,
+    config: str | None = None,
 ) -> DataFrame:
-    """One or several triplet datasets as ``(pos, query, positive[, negative], source)``."""
+    """One or several triplet datasets as ``(pos, query, positive[, negative], source)``.
+
+    A path is a table; with ``split`` it is a dataset with named splits (see ``splits``).
+    """
+    from qrelia.sources.splits import read_split
+
+    def read(path: str) -> DataFrame:
+        if split is None:
+            return read_table(spark, path, fmt, order_by)
+        return read_split(spark, path, config, split, fmt, "triplets", order_by)
+
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return union_sources(
-        [
-            (p, trim_triplets(read_table(spark, p, fmt, order_by), hard_negatives))
-            for p in paths
-        ]
-    )
+    return union_sources([(p, trim_triplets(read(p), hard_negatives)) for p in paths])

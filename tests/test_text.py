@@ -54,3 +54,9 @@ def test_score_is_cut_off(spark):
 def test_max_tokens(spark):
     df = spark.createDataFrame([("a  b\tc d",), ("a",), ("",)], "t string")
     assert [r[0] for r in df.select(max_tokens(F.col("t"), 3)).collect()] == ["a b c", "a", ""]
+
+
+def test_zero_and_false_are_empty(spark):
+    df = spark.createDataFrame([(0, 0.0, False, "0"), (7, 0.5, True, ""), (None, None, None, None)], "a int, b double, c boolean, d string")
+    got = [tuple(r) for r in df.select(*[falsy_to_empty(df, c) for c in df.columns]).collect()]
+    assert got == [("", "", "", "0"), ("7", "0.5", "true", ""), ("", "", "", "")]
