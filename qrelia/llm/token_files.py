@@ -37,6 +37,7 @@ END_ID = 1
 FRAME_IDS = 1 << 18
 LEVEL = 3
 READ_DOCUMENTS = 4_096  # neighbours that one task reads
+READ_IDS = 4 << 20  # read by one task, on average
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE = 0x184D2A5E
@@ -213,17 +214,19 @@ def document_index(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("file", "start").repartition("file").mapInArrow(look, types)
 
 
-def read_documents(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
+def read_documents(index: DataFrame, folder: str, with_ids: bool = False, tasks: int | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of the documents in ``index``.
 
     ``index`` is ``document_index`` or any rows of it, say those of wanted ids: only their frames are decompressed.
+    Spark cannot see from the short rows of the index how much there is to read, so ``tasks`` can say into how many it is dealt.
     """
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])
     types = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     kinds = pa.schema([(n, pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n in names])
     stretch = (F.col("number") / READ_DOCUMENTS).cast("long")
     rows = index.select("doc_id", "start", "file", "number", stretch.alias("stretch"))
-    ordered = rows.repartition("file", "stretch").sortWithinPartitions("file", "number")
+    keys = [c for c in (tasks, "file", "stretch") if c is not None]
+    ordered = rows.repartition(*keys).sortWithinPartitions("file", "number")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source, tokens = None, None, None
@@ -262,4 +265,5 @@ def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID, **
     """Write ``docs`` to token files in the session's shared folder and read every document back."""
     folder = f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     manifest = write_token_files(docs, folder, tokenizer, end_id, **names)
-    return read_documents(document_index(manifest, folder), folder)
+    n_ids = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    return read_documents(document_index(manifest, folder), folder, tasks=n_ids // READ_IDS + 1)
