@@ -3,8 +3,9 @@
 A page becomes a tree of block elements. Every paragraph gives points for its length and its
 commas to its parent, half to the grandparent and less further up; an element's points are discounted by the share of its
 text that stands inside links. The element with the most points is the article; its siblings that
-are good enough stay. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are cut from the tree before.
+are good enough stay. Elements for menus, page headers and footers, forms, scripts and styles are cut from the tree before. A class or id that
+speaks of a sidebar, notice, advert and the like only casts doubt: such an element is cut too, unless it holds more than half
+of the page's paragraph points (of reader comments: more than nine tenths). Words after "no-", "has-" and the like cast none.
 
 A page without any text, a null and an empty page give an empty string. Empty tables give empty results;
 repeated rows are judged one by one; columns of the input named like an output column are replaced by it.
@@ -41,19 +42,24 @@ _UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|"
     r"sidebar|side-bar|aside|footer|site-header|page-header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|"
-    r"comments?|commentlist|disqus|respond|replies|pager|pagination|skip-link|hidden)(?=$|[\s_-])",
+    r"pager|pagination|skip-link|hidden)(?=$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies)(?=$|[\s_-])", re.I)
+# "no-sidebar" or "has-banner" says something about the page around the element's own text.
+_MODIFIED = re.compile(r"(?:^|(?<=[\s_-]))(?:no|not|has|have|with|without)[_-][^\s]*", re.I)
+_MOST, _REST = 0.5, 0.1
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
 _WHITE = re.compile(r"\s+")
 _ASCII_COMMAS = ",،、，"
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "skip")
+    __slots__ = ("tag", "parent", "children", "skip", "doubt")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool = False):
+    def __init__(self, tag: str, parent: Element | None, skip: bool = False, doubt: float | None = None):
         self.tag, self.parent, self.skip = tag, parent, skip
+        self.doubt = doubt  # the share of the page's points from which on the element stays nevertheless
         self.children: list = []  # elements, or (text, in a link) pairs
 
 
@@ -73,8 +79,8 @@ class _TreeBuilder(HTMLParser):
         # and seeks the end of known ones over any distance.
         return self.parse_bogus_comment(i, report)
 
-    def _open(self, tag: str, skip: bool) -> None:
-        self.at = Element(tag, self.at, skip)
+    def _open(self, tag: str, skip: bool, doubt: float | None = None) -> None:
+        self.at = Element(tag, self.at, skip, doubt)
         self.at.parent.children.append(self.at)
         self.links = 0
 
@@ -101,8 +107,11 @@ class _TreeBuilder(HTMLParser):
                 self._close(CLOSED_BY_SAME[tag], SCOPES)
             if tag in VOID:
                 return
-            head = tag == "header" or any(k in ("class", "id") and v and "header" in v.lower().split() for k, v in attrs)
-            self._open(tag, tag in SKIPPED or _unwanted(tag, attrs) or (head and not self._inside_article()))
+            outside = not self._inside_article()
+            doubt = _doubt(tag, attrs)
+            if doubt is None and outside and any(k in ("class", "id") and v and "header" in v.lower().split() for k, v in attrs):
+                doubt = _MOST
+            self._open(tag, tag in SKIPPED or (tag == "header" and outside) or _hidden(tag, attrs), doubt)
 
     def handle_startendtag(self, tag, attrs):
         # In HTML the slash of a non-void element has no meaning.
@@ -128,20 +137,32 @@ class _TreeBuilder(HTMLParser):
         return False
 
 
-def _unwanted(tag: str, attrs) -> bool:
-    if tag in ("html", "body", "main", "article"):
+_CONTAINERS = ("html", "body", "main", "article")
+
+
+def _hidden(tag: str, attrs) -> bool:
+    """Not shown, or by its role no part of the article."""
+    if tag in _CONTAINERS:
         return False
     for name, value in attrs:
-        if not value:
-            if name == "hidden":
-                return True
-        elif (name in ("class", "id") and _UNWANTED.search(value)) or (name == "role" and value.lower() in _ROLES):
+        shown = value or ""
+        if name == "hidden" or (name == "aria-hidden" and shown == "true") or (name == "role" and shown.lower() in _ROLES):
             return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+        if name == "style" and re.search(r"display\s*:\s*none", shown, re.I):
             return True
     return False
 
 
+def _doubt(tag: str, attrs) -> float | None:
+    """The share of points that saves an element whose class or id has an unwanted word."""
+    if tag in _CONTAINERS:
+        return None
+    names = " ".join(_MODIFIED.sub("", value) for name, value in attrs if name in ("class", "id") and value)
+    if _COMMENTS.search(names):
+        return 1 - _REST
+    return _MOST if _UNWANTED.search(names) else None
+
+
 def parse(html: str) -> Element:
     builder = _TreeBuilder()
     builder.feed(html)
@@ -188,11 +209,32 @@ def _blocks(top: Element) -> list[str]:
     return out
 
 
+def _settle_doubts(root: Element) -> None:
+    """Cut elements with unwanted class words, except those that hold most of the page's paragraph points."""
+    nodes = _walk(root)
+    if all(n.doubt is None for n in nodes):
+        return
+    points: dict[Element, float] = {}
+    for node in nodes:
+        texts = [c for c in node.children if not isinstance(c, Element)]
+        size = sum(len(t.strip()) for t, _ in texts)
+        free = sum(len(t.strip()) for t, linked in texts if not linked)
+        commas = sum(t.count(c) for t, linked in texts if not linked for c in _ASCII_COMMAS)
+        points[node] = (1 + commas + min(size / 100, 3)) * free / size if size else 0.0
+    for node in reversed(nodes):
+        if node.parent is not None:
+            points[node.parent] += points[node]
+    for node in nodes:
+        if node.doubt is not None and points[node] <= node.doubt * points[root]:
+            node.skip = True
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by one space."""
     if not html:
         return ""
     root = parse(html)
+    _settle_doubts(root)
     nodes = _walk(root)
     chars: dict[Element, int] = dict.fromkeys(nodes, 0)
     linked: dict[Element, int] = dict.fromkeys(nodes, 0)
