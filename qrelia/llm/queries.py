@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qrelia.llm import substring_dedup as substrings
 from qrelia.llm import suffix_dedup as suffixes
@@ -51,7 +52,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return suffixes.suffix_dedup(docs, finish=suffixes.digest_bytes, fields=suffixes.DIGEST)
+    digests = suffixes.suffix_dedup(docs, finish=suffixes.digest_bytes, fields=suffixes.DIGEST)
+    return digests.withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

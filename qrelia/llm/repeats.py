@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qrelia.llm.textarrays import Prefix, ranges, raw, signed, slices
+from qrelia.operators.joins import broadcast_if_small
 from qrelia.session import durable
 
 #: Names with more spans than this are compared by a Spark aggregation, not inside one task.
 SPANS_IN_TASK = 5_000
+SLICE = 1 << 18  # bytes of text that a task looks at together; its arrays take about a hundred times that
 _FLUSH_BYTES = 2_000_000
 _LOW = np.int64(0xFFFFFFFF)
 
@@ -125,7 +127,7 @@ def _names(find: Repeats):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, body, at in slices(batch.column(2)):
+            for first, body, at in slices(batch.column(2), SLICE):
                 row, name, *_ = _spans(find.parse(body, at, ANCHORS), find.width)
                 if find.earlier:  # one row for each document and name
                     pair = np.unique(np.rec.fromarrays([signed(name), ids[first + row]]))
@@ -142,7 +144,7 @@ def _names(find: Repeats):
 def _occurrences(find: Repeats):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, body, at in slices(batch.column(2)):
+            for first, body, at in slices(batch.column(2), SLICE):
                 row, name, span, s0, s1 = _spans(find.parse(body, at, ANCHORS), find.width)
                 # A name that stands several times in a document, as in periodic texts, is one row.
                 order = np.lexsort((s0, span, name, row))
@@ -228,7 +230,7 @@ def _single_windows(find: Repeats):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, body, at in slices(batch.column(4)):
+            for first, body, at in slices(batch.column(4), SLICE):
                 p = find.parse(body, at, HASHES)
                 count = np.maximum(np.diff(p.units) - find.width + 1, 0)
                 starts, owner = ranges(p.units[:-1], count), np.repeat(np.arange(len(count)), count)
@@ -264,7 +266,7 @@ def _finish(find: Repeats, finish, extra: int, fields: Sequence[T.StructField]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, texts, answered, waiting = batch.columns[extra:]
-            for first, body, at in slices(texts):
+            for first, body, at in slices(texts, SLICE):
                 p = find.parse(body, at, UNITS)
                 n = len(at) - 1
                 done, kept, spans = [], [], []
@@ -308,10 +310,18 @@ def _arrow(fields: Sequence[T.StructField]) -> list[pa.DataType]:
     return [_ARROW[f.dataType.simpleString()] for f in fields]
 
 
+def _merge_copies(shared: DataFrame, copies: DataFrame) -> DataFrame:
+    """``shared`` with one row per span of a document, however often its id and text are repeated; ``m`` counts them."""
+    small = broadcast_if_small(copies)
+    same = ["_d", "_k", "name", "span"]
+    merged = shared.join(small, ["_d", "_k"], "left_semi").groupBy(*same).agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("m"))
+    return durable(shared.join(small, ["_d", "_k"], "left_anti").withColumn("m", F.lit(1).cast("long")).unionByName(merged))
+
+
 def _open_rows(find: Repeats, shared: DataFrame, limit: int) -> DataFrame:
     """Per document the answered windows ``s`` and the spans still to be compared."""
     turn = F.xxhash64("_d", "_k", "s")
-    value = F.min("_d") if find.earlier else F.sum(F.size("s"))
+    value = F.min("_d") if find.earlier else F.sum(F.size("s") * F.col("m"))
     groups = durable(shared.groupBy("name", "span").agg(value.cast("long").alias("v"), F.min(turn).alias("r")))
     several = durable(groups.groupBy("name").agg(F.count(F.lit(1)).alias("spans")))
     known = durable(groups.join(several, "name"))
@@ -359,6 +369,10 @@ def apply_repeats(
     occurrences = plain.mapInArrow(_occurrences(find), "_d long, _k long, name long, span long, s array<long>")
     # A written side lets Spark split the other side of the join where a name is hot.
     shared = durable(occurrences.join(durable(shared_names.select("name")), "name", "left_semi"))
+    # Rows that repeat id and text are compared once: their lists would grow with the square of their number.
+    copies = durable(base.groupBy("_d", "_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_d", "_k"))
+    repeated = not copies.isEmpty()
+    shared = _merge_copies(shared, copies) if repeated else shared.withColumn("m", F.lit(1).cast("long"))
     known = _open_rows(find, shared, spans_in_task)
 
     extra, none = len(keep), [T.StructField(f.name, f.dataType) for f in base.schema.fields[: len(keep)]]
@@ -373,7 +387,12 @@ def apply_repeats(
     columns = [*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *names]
 
     pending = first.where("_spans IS NOT NULL")
-    spans = pending.select("_d", "_k", F.inline("_spans"))
+    asking = pending.select("_d", "_k", "_spans")
+    if repeated:
+        small = broadcast_if_small(copies)
+        once = asking.join(small, ["_d", "_k"], "left_semi").groupBy("_d", "_k").agg(F.first("_spans").alias("_spans"))
+        asking = asking.join(small, ["_d", "_k"], "left_anti").unionByName(once)
+    spans = asking.select("_d", "_k", F.inline("_spans"))
     answers = _answers(find, spans).groupBy("_d", "_k").agg(F.flatten(F.collect_list("s")).alias("_a"))
     everything = F.concat(F.coalesce("_s", F.array()), F.coalesce("_a", F.array()))
     again = (
