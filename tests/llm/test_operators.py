@@ -379,3 +379,46 @@ def test_word_ids_equal_the_tokenizer():
     got = [ids[at[i] : at[i + 1]].tolist() for _, ids, at in encoded(pa.array(texts), path) for i in range(len(at) - 1)]
     tokenizer = Tokenizer.from_file(path)
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def paragraphs(n):
+    return "".join(f"<p>{prose(60 + i, 40)}, and, so on.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="layout no-sidebar">{}</div>',
+        '<div id=wrap class="has-banner">{}</div>',
+        '<div class="related-work">{}</div>',
+        '<section id="comments-policy">{}</section>',
+        '<div class="page with-sidebar"><div class="sidebar"><p>Aside, text.</p></div><div class="main-header">{}</div></div>',
+        '<div class="social widget">{}</div><div class="menu"><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>',
+    ],
+)
+def test_articles_are_not_lost_by_class_names(around):
+    """Pages without article or main, whose article stands in an element with an unwanted word."""
+    body = paragraphs(4)
+    want = re.sub(r"\s+", " ", re.sub(r"</?p>", " ", body)).strip()
+    page = f"<html><body><nav><a href=1>Home</a></nav>{around.format(body)}<footer>x</footer></body></html>"
+    assert html_main_text.main_text(page) == want
+
+
+def test_unwanted_parts_go_where_something_else_is_the_article():
+    body = paragraphs(3)
+    want = re.sub(r"\s+", " ", re.sub(r"</?p>", " ", body)).strip()
+    side = "<p>One, two, three words of the side.</p>"
+    for word in ("sidebar", "related", "newsletter", "cookie-notice", "site-header", "promo"):
+        assert html_main_text.main_text(f'<div id="content">{body}<div class="{word}">{side}</div></div>') == want
+        assert html_main_text.main_text(f'<div class="{word}">{side}</div><div id="content">{body}</div>') == want
+    # Reader comments may be longer than the article.
+    assert html_main_text.main_text(f'<div id="content">{body}</div><div class="comments">{paragraphs(12)}</div>') == want
+    assert html_main_text.main_text(f'<div id="content">{body}<p hidden>no</p><div role="navigation">{side}</div></div>') == want
+
+
+def test_pages_empty_table_and_repeated_rows(spark):
+    schema = "page_id long, url string, html string"
+    assert html_main_text.extract_main_text(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, "u", "<p>Same, page.</p>")] * 3 + [(1, None, None), (None, "u", "")]
+    got = html_main_text.extract_main_text(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.text, r.n_chars) for r in got) == [("", 0)] * 2 + [("Same, page.", 11)] * 3

@@ -123,3 +123,19 @@ def test_every_window_has_one_owner(tokens, width):
     alone = repeats.bare(p, width, s0, s1)
     windows = sorted([*textarrays.ranges(s0, s1 - s0 + 1).tolist(), *alone.tolist()])
     assert windows == list(range(max(len(tokens) - width + 1, 0)))
+
+
+@pytest.mark.parametrize("least", [None, 1])
+def test_very_many_equal_rows(spark, least):
+    """Equal rows with a null id, beside others, and for one case a row of the same text with a smaller id."""
+    text = prose(40, 900)
+    some = [(5, prose(41, 200)), (6, prose(42, 100) + " " + " ".join(text.split()[300:600])), (least, text), (None, text)]
+    rows = [(None, text)] * 1600 + some
+    df = frame(spark, rows).repartition(8)
+    few = brute_words(some, 50)  # more equal rows change nothing here
+    got = substrings.substring_dedup(df, finish=substrings.digest_words, fields=substrings.DIGEST).collect()
+    assert len(got) == len(rows)
+    assert {tuple(r) for r in got} == set(few)
+    cut = suffixes.suffix_dedup(df, finish=suffixes.digest_bytes, fields=suffixes.DIGEST).collect()
+    assert len(cut) == len(rows)
+    assert {tuple(r) for r in cut} == set(brute_bytes(some, 400))
