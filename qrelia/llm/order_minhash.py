@@ -10,9 +10,9 @@ longest chain of common shingles that rises in both texts within the band. Two t
 are near duplicates if aligned / (all shingles of both - aligned) is at least ``SIMILARITY``.
 
 Equal texts are one text from the start. In each bucket the most central text (the one with most company over all its sketches) is
-aligned with all others, and components are formed; then every pair of a bucket that is still in different components
-is aligned too, in blocks, so that no link that a bucket shows is lost. Before that, texts and pairs drop out that too many
-shingles found in no other text keep from being near; this bound is exact.
+aligned with all others, and components are formed. Buckets that still hold several components are searched for the links left:
+near texts have one of their rarest shingles in common, so pairs are formed by these only, and only in different components.
+This bound is exact: no link that a bucket shows is lost.
 Texts shorter than five words have one shingle, their words; texts without words only equal themselves.
 
 Null texts are empty texts; null ids count as larger than all others. Repeated rows fall into one class. Empty tables
@@ -26,11 +26,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qrelia.llm.components import connected_components
-from qrelia.llm.textarrays import Prefix, U, mix, raw, signed, slices, words
+from qrelia.llm.tables import fresh_names
+from qrelia.llm.textarrays import Prefix, U, mix, signed, slices, words
 from qrelia.session import durable
 
 SHINGLE = 5
@@ -38,7 +39,8 @@ PICKED = 4
 SKETCHES = 20
 SIMILARITY = 0.8
 PAIRS_PER_SALT = 500
-BLOCK = 200
+SLICE = 1 << 18  # bytes of text that a task looks at together
+MARK_BITS = 1 << 27  # of the bitmap of texts that share a sketch: 16 MB
 
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -92,7 +94,7 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, body, at in slices(batch.column(3)):
+        for first, body, at in slices(batch.column(3), SLICE):
             size, drawn = [], []
             for h in shingles(body, at):
                 size.append(len(h))
@@ -105,7 +107,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, 32-bit labelled shingles as bytes)"""
     for batch in batches:
-        for first, body, at in slices(batch.column(2)):
+        for first, body, at in slices(batch.column(2), SLICE):
             seq = [(h >> U(32)).astype(np.uint32).tobytes() for h in shingles(body, at)]
             yield pa.RecordBatch.from_arrays([*(c.slice(first, len(seq)) for c in batch.columns[:2]), pa.array(seq, pa.binary())], names=["k1", "k2", "seq"])
 
@@ -178,12 +180,18 @@ def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> Data
     return rows.mapInArrow(_align(similarity), "a1 long, a2 long, b1 long, b2 long")
 
 
+def _fraction(similarity: float) -> tuple[int, int]:
+    share = Fraction(str(similarity))
+    return share.numerator, share.denominator
+
+
 def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different shingles, one a row, behind the other columns of their text; the sequence comes last."""
     for batch in batches:
-        size = np.array([len(x) // 4 for x in batch.column(1).to_pylist()], np.int64)
-        body, _ = raw(batch.column(1))
-        owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-        yield pa.RecordBatch.from_arrays([owner, pa.array(np.frombuffer(body.tobytes(), np.int32))], names=["k1", "shingle"])
+        each = [np.unique(np.frombuffer(s, np.int32)) for s in batch.column(batch.num_columns - 1).to_pylist()]
+        owner = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+        columns = [c.take(owner) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int32), *each]))], names=[*batch.schema.names[:-1], "shingle"])
 
 
 def _split_buckets(rows: DataFrame) -> DataFrame:
@@ -192,43 +200,79 @@ def _split_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(durable(roots.where("lo < hi").select("key")), "key", "left_semi")
 
 
-def _possible(rows: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """``rows`` with ``own``, and without texts that cannot be near any other.
+def _possible(texts: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """``texts`` (k1, k2, n, r) without those that cannot be near any other.
 
-    ``own`` counts the shingles that no other text of ``rows`` has; none of them can be aligned. Texts that merely
-    share a passage, or copies edited too much, drop out here, however many there are.
+    Shingles that no other text of ``texts`` has cannot be aligned. Texts that merely share a passage, or copies
+    edited too much, drop out here, however many there are.
     """
-    texts = durable(rows.select("k1", "k2").distinct())
     shingle = sequences.join(texts, ["k1", "k2"], "left_semi").select("k1", "seq").mapInArrow(_single_shingles, "k1 long, shingle int")
-    counted = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"))
-    own = durable(counted.where("n = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
-    with_own = rows.join(own, "k1", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    return with_own.where(F.col("n") - F.col("own") >= similarity * F.col("n"))
+    counted = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("k1").alias("k1"))
+    own = durable(counted.where("f = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
+    p, q = _fraction(similarity)
+    return texts.join(own, "k1", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * q >= F.col("n") * p).drop("own")
 
 
-def _cross_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs of one bucket that lie in different components and can be near (``key, k1, k2, n, own, root``).
+def _prefixes(texts: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, k1, k2, n, r, after): the rarest shingles of each text, so many that near texts have one in common.
 
-    A bucket is cut into blocks of about ``BLOCK`` texts; a row is sent to every pair of blocks that
-    it takes part in, and pairs are formed within these.
+    All texts order their shingles alike: those that only one component has, then by frequency. ``after`` counts
+    the shared ones that follow; a common shingle with fewer than the alignment needs cannot be a pair's first.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    cut = rows.join(durable(sizes.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))), "key")
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), "blocks").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = cut.select("key", "k1", "k2", "n", "own", "root", "block", others.alias("other"))
-    sent = sent.select("key", "k1", "k2", "n", "own", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    a, b = sent.alias("a"), sent.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")]
-    # At most ``most`` shingles can be aligned; the texts' own ones all stay over.
-    most = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
-    near = (most >= similarity * (most + F.col("a.own") + F.col("b.own"))) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
+    p, q = _fraction(similarity)
+    each = sequences.join(texts, ["k1", "k2"]).select("k1", "k2", "n", "r", "seq").mapInArrow(_single_shingles, "k1 long, k2 long, n long, r long, shingle int")
+    counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    # A written side lets Spark split the other side where a shingle is hot.
+    shared = each.join(durable(counted.where("lo < hi").select("shingle", "f")), "shingle")
+    rarest_last = Window.partitionBy("k1", "k2").orderBy(F.col("f").desc(), F.col("shingle").desc())
+    ranked = shared.withColumn("after", F.row_number().over(rarest_last) - 1)
+    return ranked.where((F.col("after") + 1) * q >= F.col("n") * p).drop("f")
+
+
+def _cross_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs in different components that can be near, by a common shingle of their prefixes."""
+    p, q = _fraction(similarity)
+    several = prefixes.groupBy("shingle").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo < hi").select("shingle")
+    prefixes = durable(prefixes.join(durable(several), "shingle", "left_semi"))
+    a, b = prefixes.alias("a"), prefixes.alias("b")
+    # Aligned shingles are at most this common one and those that follow it in both.
+    near = (F.least("a.after", "b.after") + 1) * (p + q) >= (F.col("a.n") + F.col("b.n")) * p
     order = F.struct("a.k1", "a.k2") < F.struct("b.k1", "b.k2")
-    facing = (F.col("a.block") != F.col("b.block")) | (F.col("a.i") == F.col("a.j"))
-    joined = a.join(b, [*same, near, order, facing, F.col("a.root") != F.col("b.root")])
+    joined = a.join(b, [F.col("a.shingle") == F.col("b.shingle"), near, order, F.col("a.r") != F.col("b.r")])
     return joined.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).distinct()
 
 
+def _marked(keys: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap with a bit for every ``k1``; at most ``MARK_BITS`` bits, whatever the corpus."""
+    width = 32_768  # of Spark's bitmaps
+    bits = min(MARK_BITS, max(width, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod("k1", F.lit(bits)) + 1
+    found = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((bits // width, width // 8), np.uint8)
+    for row in found.toLocalIterator():
+        out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _sequences_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k1, k2, seq) of the texts ``wanted``.
+
+    Most texts share no sketch. A bitmap of bounded size spares them being cut into shingles and shuffled;
+    what it lets through by chance goes in the join.
+    """
+    marks = keyed.sparkSession.sparkContext.broadcast(_marked(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            slot = batch.column(0).to_numpy() % np.int64(len(bits) * 8)
+            marked = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            yield from _sequences([batch.filter(pa.array(marked.astype(bool)))])
+
+    plain = keyed.select("k1", "k2", "_text").mapInArrow(run, "k1 long, k2 long, seq binary")
+    return plain.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("seq").alias("seq"))
+
+
 def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(k1, k2, copies, text_id, class_id, class_size, class_key, is_first) for every different text of ``_keys``.
 
@@ -253,16 +297,15 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
         .select(F.col("c.k1").alias("a1"), F.col("c.k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
         .distinct()
     )
-    wanted = centre.select("k1", "k2")
-    plain = keyed.select("k1", "k2", "_text").mapInArrow(_sequences, "k1 long, k2 long, seq binary")
-    sequences = durable(plain.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("seq").alias("seq")))
+    sequences = durable(_sequences_of(keyed, centre.select("k1", "k2")))
     node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
     links = durable(_verified(durable(pairs), sequences, similarity))
     roots = connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
     roots = durable(roots)
     placed = rows.withColumn("node", node("k1", "k2")).join(roots, "node", "left").select("key", "k1", "k2", "n", F.coalesce("root", "node").alias("root"))
-    split = durable(_possible(durable(_split_buckets(placed)), sequences, similarity))
-    more = _verified(durable(_cross_pairs(split, similarity)), sequences, similarity)
+    split = durable(_split_buckets(placed).select("k1", "k2", "n", F.xxhash64("root").alias("r")).distinct())
+    prefixes = durable(_prefixes(durable(_possible(split, sequences, similarity)), sequences, similarity))
+    more = _verified(durable(_cross_pairs(prefixes, similarity)), sequences, similarity)
     links = durable(links.unionByName(more))
     roots = durable(connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b"))))
     grouped = texts.select("k1", "k2", "text_id", "copies", node("k1", "k2").alias("node")).join(roots, "node", "left")
@@ -290,10 +333,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     body = F.coalesce(F.col(text), F.lit(""))
     found = durable(near_duplicate_texts(_keys(docs, doc_id, text), similarity))
     # Ids do not tell classes apart: each class keeps its first text, and of that text's rows one of least id.
+    k1, k2, least, copies = fresh_names(docs, "k1", "k2", "least", "copies")
     kept = found.where("is_first")
-    kept = kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("text_id").alias("_d"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumns({"_k1": F.xxhash64(body), "_k2": F.xxhash64(body, F.lit(1)), "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))})
-    rows = keyed.join(kept, ["_k1", "_k2", "_d"])
-    single = rows.where("_copies = 1")
-    repeated = rows.where("_copies > 1").dropDuplicates(["_k1", "_k2", "_d"])
+    kept = kept.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("text_id").alias(least), F.col("copies").alias(copies))
+    keyed = docs.withColumns({k1: F.xxhash64(body), k2: F.xxhash64(body, F.lit(1)), least: F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))})
+    rows = keyed.join(kept, [k1, k2, least])
+    single = rows.where(F.col(copies) == 1)
+    repeated = rows.where(F.col(copies) > 1).dropDuplicates([k1, k2, least])
     return single.unionByName(repeated).select(*docs.columns)

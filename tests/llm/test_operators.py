@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from helpers import awkward_rows, frame, labelled_shingles, prose, words
 
 from qrelia.llm import decontamination, html_main_text, lm_scoring, order_minhash, packing, quality_classifier, quality_rules, url_filter
@@ -65,6 +66,38 @@ def test_one_row_of_each_class_stays(spark):
     assert order_minhash.drop_near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_column_names_of_the_input_do_not_clash(spark):
+    names = ["k1_", "k2", "_k1", "_d", "copies_", "_copies", "least"]
+    rows = frame(spark, [(1, prose(7, 40)), (2, prose(7, 40)), (3, prose(8, 40))]).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    kept = order_minhash.drop_near_duplicates(rows).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
+    assert all([r[n] for n in names] == list(range(len(names))) for r in kept)
+
+
+def test_pairs_of_common_prefixes_hold_every_near_pair(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(12):  # edited copies, and texts that share a passage of up to 0.9 of their length
+        base = rng.integers(0, 400, 60).tolist()
+        texts += [base] + [[x if rng.random() > share else 1000 + int(rng.integers(400)) for x in base] for share in (0.05, 0.1, 0.12, 0.2)]
+        texts.append([*base[:50], *rng.integers(2000, 2400, 8).tolist()])
+    sequences = [np.array(sorted(set(t), key=t.index), np.uint32) for t in texts]
+    table = spark.createDataFrame([(i, -i, s.tobytes()) for i, s in enumerate(sequences)], "k1 long, k2 long, seq binary")
+    known = spark.createDataFrame([(i, -i, len(s), i // 2) for i, s in enumerate(sequences)], "k1 long, k2 long, n long, r long")
+    possible = order_minhash._possible(known, table, 0.8)
+    found = {(p.a1, p.b1) for p in order_minhash._cross_pairs(order_minhash._prefixes(possible, table, 0.8), 0.8).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 2 != j // 2]
+    near = {(i, j) for i, j in pairs if order_minhash.aligned_similarity(sequences[i], sequences[j]) >= 0.8}
+    assert len(near) > 5 and near <= found and len(found) < len(pairs) / 4
+
+
+def test_marks_hold_every_key(spark):
+    keys = [0, 1, -1, 2**62, -(2**63), 32_767, 32_768, 2**63 - 1]
+    bits = order_minhash._marked(spark.createDataFrame([(k,) for k in keys], "k1 long"))
+    slots = np.array(keys) % (len(bits) * 8)
+    assert ((bits[slots >> 3] >> (slots & 7)) & 1).all() and np.unpackbits(bits).sum() == len(set(slots.tolist()))
+
+
 def unrelated_rows():
     """Different texts without an id, with one id, and near copies among them."""
     base = prose(900, 100)
