@@ -220,13 +220,16 @@ def _prefixes(texts: DataFrame, sequences: DataFrame, similarity: float) -> Data
     the shared ones that follow; a common shingle with fewer than the alignment needs cannot be a pair's first.
     """
     p, q = _fraction(similarity)
-    each = sequences.join(texts, ["k1", "k2"]).select("k1", "k2", "n", "r", "seq").mapInArrow(_single_shingles, "k1 long, k2 long, n long, r long, shingle int")
+    # Rows of shingles carry as little as they can: the text's other columns come back when most rows are gone.
+    own = sequences.join(texts, ["k1", "k2"])
+    each = own.select("r", "seq").mapInArrow(_single_shingles, "r long, shingle int")
     counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("r").alias("lo"), F.max("r").alias("hi"))
     # A written side lets Spark split the other side where a shingle is hot.
-    shared = each.join(durable(counted.where("lo < hi").select("shingle", "f")), "shingle")
-    rarest_last = Window.partitionBy("k1", "k2").orderBy(F.col("f").desc(), F.col("shingle").desc())
-    ranked = shared.withColumn("after", F.row_number().over(rarest_last) - 1)
-    return ranked.where((F.col("after") + 1) * q >= F.col("n") * p).drop("f")
+    several = durable(counted.where("lo < hi").select("shingle", F.col("f").cast("int").alias("f")))
+    shared = own.select("k1", "seq").mapInArrow(_single_shingles, "k1 long, shingle int").join(several, "shingle")
+    rarest_last = Window.partitionBy("k1").orderBy(F.col("f").desc(), F.col("shingle").desc())
+    ranked = shared.withColumn("after", F.row_number().over(rarest_last) - 1).join(texts, "k1")
+    return ranked.where((F.col("after") + 1) * q >= F.col("n") * p).select("shingle", "k1", "k2", "n", "r", "after")
 
 
 def _cross_pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
