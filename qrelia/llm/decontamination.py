@@ -12,8 +12,9 @@ words, null ids are carried along. Repeated rows are judged one by one; empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qrelia.llm.tables import fresh_names
 from qrelia.llm.textarrays import Prefix, U, mix, ranges, slices, words
+from qrelia.session import durable
 
 MASKS = ("11111", "110111", "1101011", "10110101", "1001101001")
 #: Also for items of less than SHORT words, where one or two replaced words can leave no stretch for MASKS.
@@ -130,13 +133,19 @@ def overlaps(bench: Benchmark, names: np.ndarray, rows: np.ndarray, similarity:
     return row[best], item[best], start[best] - rows[row[best]], agree[best]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[Broadcast]:
+def _block_by_block(benchmark: DataFrame, item_id: str, text: str, block_chars: int, step: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """``step`` of every block; of several blocks each result is written and its block freed before the next is collected."""
     context = benchmark.sparkSession.sparkContext
     chars = benchmark.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
     n = max(1, -(-chars // block_chars))
     for k in range(n):
         block = benchmark.where(F.pmod(F.xxhash64(item_id, text), F.lit(n)) == k).select(item_id, text).collect()
-        yield context.broadcast(index_benchmark([r[0] for r in block], [r[1] for r in block]))
+        shipped = context.broadcast(index_benchmark([r[0] for r in block], [r[1] for r in block]))
+        if n == 1:
+            yield step(shipped)
+        else:
+            yield durable(step(shipped))
+            shipped.destroy()
 
 
 def find_contamination(
@@ -166,18 +175,16 @@ def find_contamination(
         return run
 
     types = "doc_id long, item_id long, start_word long, n_matched long, n_item_words long, similarity double"
-    parts = [plain.mapInArrow(search(b), types) for b in _blocks(benchmark, item_id, item_text, block_chars)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = _block_by_block(benchmark, item_id, item_text, block_chars, lambda shipped: plain.mapInArrow(search(shipped), types))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """``docs`` without the contaminated rows; all columns stay as they are."""
-    rows = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    (body_of,) = fresh_names(docs, "text")
+    rows = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias(body_of))
     schema = T.StructType(rows.schema.fields)
 
     def clean(shipped: Broadcast):
@@ -191,6 +198,7 @@ def decontaminate(
 
         return run
 
-    for shipped in _blocks(benchmark, item_id, item_text, block_chars):
-        rows = rows.mapInArrow(clean(shipped), schema)
-    return rows.drop("_text")
+    # The step looks ``rows`` up when it is called: each block cleans what the one before has left.
+    for cleaned in _block_by_block(benchmark, item_id, item_text, block_chars, lambda shipped: rows.mapInArrow(clean(shipped), schema)):
+        rows = cleaned
+    return rows.drop(body_of)

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qrelia.llm.tables import fresh_names
 from qrelia.session import durable
 
 SPACES = r" \t-\r"  # inside a character class: blank and U+0009 to U+000D
@@ -105,20 +106,21 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     documents pay for looking closer.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    words, lines, hashes, unique = fresh_names(df, "words", "lines", "hashes", "unique")
     listed = (
-        df.withColumns({"_words": words_of(body), "_lines": lines_of(body)})
-        .withColumn("_hashes", window_hashes(F.col("_words")))
-        .withColumn("_unique", F.size(F.array_distinct("_hashes")) == F.size("_hashes"))
+        df.withColumns({words: words_of(body), lines: lines_of(body)})
+        .withColumn(hashes, window_hashes(F.col(words)))
+        .withColumn(unique, F.size(F.array_distinct(hashes)) == F.size(hashes))
     )
-    repeated = F.when(F.col("_unique"), F.lit(0).cast("long")).otherwise(repeated_words(F.col("_words"), F.col("_hashes")))
+    repeated = F.when(F.col(unique), F.lit(0).cast("long")).otherwise(repeated_words(F.col(words), F.col(hashes)))
     counts = {
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": _count(body, SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated,
     }
-    return listed.withColumns(counts).drop("_words", "_lines", "_hashes", "_unique")
+    return listed.withColumns(counts).drop(words, lines, hashes, unique)
 
 
 def base_failed() -> Column:

@@ -214,6 +214,13 @@ def test_counts_against_brute_force(spark):
     assert quality_rules.quality_rules(frame(spark, [])).collect() == []
 
 
+def test_counts_keep_columns_of_any_name(spark):
+    names = ["_words", "_lines", "_hashes", "_unique", "words_", "lines_"]
+    rows = frame(spark, [(1, prose(7, 40))]).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    (row,) = quality_rules.base_counts(rows).collect()
+    assert [row[n] for n in names] == list(range(len(names))) and row.n_words == 40
+
+
 def test_cascade_does_not_depend_on_its_order(spark):
     df = quality_rules.base_counts(frame(spark, awkward_rows() + [(30, "BIG!! " * 5 + prose(9, 20)), (31, "a*** b*** " * 3 + prose(10, 40))]))
     rules = quality_rules.default_rules()
@@ -263,6 +270,16 @@ def test_item_cut_at_both_ends_between_others():
         assert set(found) == {0} and set(start) == {-1} and set(agree) == {18}
 
 
+def test_cleaning_keeps_columns_of_any_name(spark):
+    bench = spark.createDataFrame([(i, prose(340 + i, 20)) for i in range(6)], "item_id long, text string")
+    rows = frame(spark, [(i, prose(340 + i, 20) if i < 6 else prose(360 + i, 30)) for i in range(9)]).withColumns({"_text": F.lit(1), "text_": F.lit(2)})
+    for block_chars in (100, 10_000):  # one block, and many
+        kept = decontamination.decontaminate(rows, bench, block_chars=block_chars).collect()
+        assert sorted(r.doc_id for r in kept) == [6, 7, 8] and all((r["_text"], r["text_"]) == (1, 2) for r in kept)
+        found = decontamination.find_contamination(rows, bench, block_chars=block_chars).collect()
+        assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(6)]
+
+
 def test_replaced_words_in_short_items():
     import itertools
 
