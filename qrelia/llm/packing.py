@@ -119,7 +119,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
     pieces = durable(cut_pieces(docs, tokenizer, capacity, end_id, **names))
     salts = max(1, -(-pieces.count() // rows_per_salt))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    # By place in the written files: rows that are equal in everything are spread as well.
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(salts)))
     groups = durable(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = placement(fill_bins(histogram, capacity))
