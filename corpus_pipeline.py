@@ -20,32 +20,44 @@ from qrelia.llm.tables import table
 from qrelia.session import durable, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_ROWS = 1_000
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches small: workers that are used again keep the memory of their largest."""
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(rows))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _prepare(spark)
     return classify(docs, table(spark, sf_dir, "labels")).where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    ship_package(spark)
+    _prepare(spark)
     return drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes and more that occur elsewhere are cut; documents stay, with what is left of them."""
-    ship_package(spark)
+    _prepare(spark)
     return suffix_dedup(docs, keep=("doc_id", "lang", "source")).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _prepare(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
