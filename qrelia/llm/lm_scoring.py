@@ -1,14 +1,17 @@
 """Language-model scores of texts by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are lower-cased (A-Z) words and an end token per text. The model works on *symbols*: the end, the
-``TOP`` most frequent words, and ``BUCKETS`` groups of the other words by their last bytes. From the two symbols
+Tokens are lower-cased (A-Z) words and an end token per text. The model works on *symbols*: the end, ``BUCKETS``
+groups of rarer words by their last bytes, and the most frequent words, about ``2 * cbrt(N)`` of them for N training tokens,
+so that the model grows with the corpus and S symbols have at most about 8 N triples. From the two symbols
 before, it predicts a vector ``c1 * r[s1] + c2 * r[s2]``; a symbol's score is that vector times its own vector plus a bias. Training
 tells observed symbols from noise drawn by frequency, by matrix products of a batch with shared noise. Scoring
-divides by the exact sum over all symbols, which is tabulated for every context. A word
+divides by the exact sum over all symbols: the sums of all contexts are one matrix product of ``exp(c1 * r . q)`` and ``exp(c2 * r . q + b)``.
+Their table has S**2 numbers; beyond ``SUMS_HELD`` the sums are worked out for the contexts of a slice instead, by the same products. A word
 inside a group is weighed by its count + 0.5, unknown words together by 0.5, so the probabilities of all tokens sum to 1.
 
-Counts of words and of symbol triples cover the whole training part and are added up by Spark. The triples table
-has at most symbols**3 rows; parts of it are trained on in parallel, and the parameters are averaged after every round. The counts
+Counts of words and of symbol triples cover the whole training part and are added up by Spark. Parts of the triples table
+are trained on in parallel, and the parameters are averaged after every round. In a round a part draws one of ``TOKENS_PER_DRAW``
+of its tokens (at least ``STEPS`` batches), so training follows the corpus; it holds at most ``CELLS_HELD`` triples and a batch at a time. The counts
 of the ``FREQUENT`` most frequent words are broadcast, a fixed size; tokens beyond these, none of them frequent, are joined with their
 counts.
 
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 from qrelia.llm.textarrays import Prefix, U, mix, signed, slices, words
 from qrelia.session import durable
 
-TOP, BUCKETS, WIDTH = 191, 64, 16
-SYMBOLS = 1 + TOP + BUCKETS  # symbol 0 is the end
+BUCKETS, WIDTH = 64, 16  # symbol 0 is the end, then come the groups, then the words of their own
 FREQUENT = 1_000_000
 ROUNDS, STEPS, BATCH, NOISE = 5, 150, 4096, 64
+TOKENS_PER_DRAW = 16
+CELLS_HELD = 2_000_000
+SUMS_HELD = 64_000_000  # numbers in a table of sums
 _END = np.int64(-1)  # the end token's hash
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,9 +81,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def own_words(total: int) -> int:
+    """How many words get a symbol of their own."""
+    return max(1, round(2 * total ** (1 / 3)))
+
+
 @dataclass
 class Vocabulary:
-    top: np.ndarray  # hashes of the symbols 1..TOP, sorted
+    top: np.ndarray  # hashes of words with a symbol of their own, sorted
     symbol: np.ndarray
     frequent: np.ndarray  # hashes, sorted
     counts: np.ndarray
@@ -86,8 +96,12 @@ class Vocabulary:
     distinct: int
     bucket_mass: np.ndarray  # of every bucket: sum of count + 0.5 over its words, and 0.5 for unknown ones
 
+    @property
+    def size(self) -> int:
+        return 1 + BUCKETS + len(self.top)
+
     def symbols(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        out = np.where(bucket < 0, 0, 1 + TOP + bucket)
+        out = 1 + bucket  # the end's bucket is -1
         if len(self.top):
             at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
             out = np.where(self.top[at] == h, self.symbol[at], out)
@@ -108,8 +122,14 @@ def contexts(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     size = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     words_only = counts.where("b >= 0")
-    top = [r["h"] for r in words_only.orderBy(F.desc("n"), "h").limit(TOP).collect()]
-    order = np.argsort(np.array(top, np.int64))
+    first = words_only.orderBy(F.desc("n"), "h").select("h", "n").limit(own_words(size["n"])).collect()
+    top = np.array([r["h"] for r in first], np.int64)
+    order = np.argsort(top)
+    # The same words as a condition on count and hash, however many they are.
+    own = F.lit(False)
+    if first:
+        last = first[-1]
+        own = (F.col("n") > last["n"]) | ((F.col("n") == last["n"]) & (F.col("h") <= last["h"]))
     # The rank by count that is broadcast is found from how many words have each count, not by sorting words.
     by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n"))
     least, seen = 1, 0
@@ -118,44 +138,66 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
             break
         seen, least = seen + row["words"], row["n"]
     # Symbols of their own are always in the table, so that only grouped words are looked up elsewhere.
-    always = F.col("h").isin([*top, int(_END)])
+    always = own | (F.col("b") < 0)
     table = counts.where(((F.col("n") >= least) & F.lit(seen > 0)) | always).select("h", "n").toArrow()
     h, n = np.asarray(table["h"]), np.asarray(table["n"])
     by_hash = np.argsort(h)
     mass = np.full(BUCKETS, 0.5)
-    rare = words_only.where(~F.col("h").isin(top)) if top else words_only
-    for row in rare.groupBy("b").agg(F.sum(F.col("n") + F.lit(0.5)).alias("m")).collect():
+    for row in words_only.where(~own).groupBy("b").agg(F.sum(F.col("n") + F.lit(0.5)).alias("m")).collect():
         mass[row["b"]] += row["m"]
-    return Vocabulary(np.array(top, np.int64)[order], (order + 1).astype(np.int64), h[by_hash], n[by_hash], size["n"], size["v"], mass)
+    return Vocabulary(top[order], order + 1 + BUCKETS, h[by_hash], n[by_hash], size["n"], size["v"], mass)
 
 
 class Model:
     """Parameters r, q (vectors), c (two diagonal matrices), b (biases)."""
 
     def __init__(self, flat: np.ndarray, width: int = WIDTH):
-        s = SYMBOLS * width
+        self.symbols = (len(flat) - 2 * width) // (2 * width + 1)
+        s = self.symbols * width
         self.flat = flat
-        self.r, self.q = flat[:s].reshape(SYMBOLS, width), flat[s : 2 * s].reshape(SYMBOLS, width)
+        self.r, self.q = flat[:s].reshape(-1, width), flat[s : 2 * s].reshape(-1, width)
         self.c, self.b = flat[2 * s : 2 * s + 2 * width].reshape(2, width), flat[2 * s + 2 * width :]
 
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH, seed: int = 3) -> Model:
         rng = np.random.default_rng(seed)
-        vectors = rng.normal(0, 0.1, 2 * SYMBOLS * width)
+        vectors = rng.normal(0, 0.1, 2 * len(unigram) * width)
         return cls(np.concatenate([vectors, np.ones(2 * width), np.log(unigram)]).astype(np.float32), width)
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.r[one] * self.c[0] + self.r[two] * self.c[1]
 
+    def _half(self, k: int, at, bias: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """exp of one context symbol's part of all scores, less its largest; and that largest part."""
+        z = (self.r[at] * self.c[k]) @ self.q.T + bias
+        top = z.max(1, keepdims=True)
+        return np.exp(z - top), top
+
     def log_sums(self) -> np.ndarray:
         """Logarithm of the sum over symbols for every context (one, two)."""
-        out = np.empty((SYMBOLS, SYMBOLS), np.float32)
-        for one in range(SYMBOLS):
-            z = self.predicted(np.full(SYMBOLS, one), np.arange(SYMBOLS)) @ self.q.T + self.b
-            top = z.max(1, keepdims=True)
-            out[one] = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
+        (e1, t1), (e2, t2) = self._half(0, slice(None), 0.0), self._half(1, slice(None), self.b)
+        with np.errstate(divide="ignore"):
+            out = np.log(e1 @ e2.T) + t1 + t2.T
+        self._mend(out, *np.nonzero(~np.isfinite(out)))
         return out
 
+    def _mend(self, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Contexts whose two parts favour so different symbols that their product vanishes."""
+        for i in range(0, len(one), BATCH):
+            o, t = one[i : i + BATCH], two[i : i + BATCH]
+            out[o, t] = self.log_sums_of(o, t)
+
+    def log_sums_of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The same for the given contexts, without a table; equal contexts are worked out once."""
+        code, which = np.unique(one * self.symbols + two, return_inverse=True)
+        out, rows = np.empty(len(code), np.float32), max(1, _HELD // self.symbols)
+        for i in range(0, len(code), rows):
+            part = code[i : i + rows]
+            z = self.predicted(part // self.symbols, part % self.symbols) @ self.q.T + self.b
+            top = z.max(1, keepdims=True)
+            out[i : i + rows] = (top + np.log(np.exp(z - top).sum(1, keepdims=True)))[:, 0]
+        return out[which]
+
 
 def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray) -> np.ndarray:
     """Slope of the noise-contrastive loss for a batch; ``noise`` symbols are shared by the batch."""
@@ -169,53 +211,66 @@ def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray) -> n
     pull = up[:, None] * model.q[target] + down @ model.q[noise]
 
     def add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-        hot = np.zeros((SYMBOLS, len(at)), np.float32)
-        hot[at, np.arange(len(at))] = 1
-        to += hot @ rows
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        to[at[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
 
     add(slope.q, target, up[:, None] * guess)
     add(slope.q, noise, down.T @ guess)
     add(slope.r, one, pull * model.c[0])
     add(slope.r, two, pull * model.c[1])
     slope.c[0], slope.c[1] = (pull * model.r[one]).sum(0), (pull * model.r[two]).sum(0)
-    slope.b[:] = np.bincount(target, up, SYMBOLS) + np.bincount(noise, down.sum(0), SYMBOLS)
+    slope.b[:] = np.bincount(target, up, model.symbols) + np.bincount(noise, down.sum(0), model.symbols)
     return slope.flat
 
 
-def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int):
+def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int, per_draw: int):
+    symbols = len(unigram)
+
+    def cells_held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= CELLS_HELD:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(code)
-        code, n = code[order], n[order]
-        rng = np.random.default_rng([round_no, int(code[0])])
-        model = Model(flat.copy())
-        log_noise, total = np.log(unigram).astype(np.float32), np.cumsum(n.astype(float))
+        model, log_noise = Model(flat.copy()), np.log(unigram).astype(np.float32)
         m, v = np.zeros_like(flat), np.zeros_like(flat)
-        for t in range(1, steps + 1):
-            drawn = code[np.minimum(np.searchsorted(total, rng.random(BATCH) * total[-1], "right"), len(code) - 1)]
-            noise = rng.choice(SYMBOLS, NOISE, p=unigram)
-            slope = nce_slope(model, drawn // SYMBOLS % SYMBOLS, drawn // SYMBOLS**2, drawn % SYMBOLS, noise, log_noise)
-            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-            model.flat -= (0.03 / (1 + round_no)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-        weight = float(total[-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(flat))), pa.array(model.flat.astype(float) * weight), pa.array(np.full(len(flat), weight))], names=["i", "x", "w"]
-        )
+        weight, t, noise_sums = 0.0, 0, np.cumsum(unigram)
+        for code, n in cells_held(batches):
+            order = np.argsort(code)
+            code, n = code[order], n[order]
+            rng = np.random.default_rng([round_no, int(code[0])])
+            total = np.cumsum(n.astype(float))
+            weight += float(total[-1])
+            for _ in range(max(steps, int(total[-1] / per_draw / BATCH))):
+                t += 1
+                drawn = code[np.minimum(np.searchsorted(total, rng.random(BATCH) * total[-1], "right"), len(code) - 1)]
+                noise = np.minimum(np.searchsorted(noise_sums, rng.random(NOISE), "right"), symbols - 1)
+                slope = nce_slope(model, drawn // symbols % symbols, drawn // symbols**2, drawn % symbols, noise, log_noise)
+                m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+                model.flat -= (0.03 / (1 + round_no)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        if weight:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(flat))), pa.array(model.flat.astype(float) * weight), pa.array(np.full(len(flat), weight))], names=["i", "x", "w"]
+            )
 
     return run
 
 
-def train(cells: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
-    """``cells``: (code, n), code = (two * SYMBOLS + one) * SYMBOLS + symbol."""
-    seen = {r["s"]: r["n"] for r in cells.groupBy((F.col("code") % SYMBOLS).alias("s")).agg(F.sum("n").alias("n")).collect()}
-    unigram = np.array([seen.get(i, 0) + 0.5 for i in range(SYMBOLS)])
+def train(cells: DataFrame, symbols: int, rounds: int = ROUNDS, steps: int = STEPS, per_draw: int = TOKENS_PER_DRAW) -> Model:
+    """``cells``: (code, n), code = (two * symbols + one) * symbols + symbol."""
+    seen = {r["s"]: r["n"] for r in cells.groupBy((F.col("code") % symbols).alias("s")).agg(F.sum("n").alias("n")).collect()}
+    unigram = np.array([seen.get(i, 0) + 0.5 for i in range(symbols)])
     unigram /= unigram.sum()
     model = Model.start(unigram)
     for k in range(rounds):
-        part = cells.select("code", "n").mapInArrow(_train_part(model.flat, unigram, k, steps), "i long, x double, w double")
+        part = cells.select("code", "n").mapInArrow(_train_part(model.flat, unigram, k, steps, per_draw), "i long, x double, w double")
         mean = part.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
         if mean.num_rows:
             flat = np.empty(len(model.flat), np.float32)
@@ -237,7 +292,7 @@ def _cells(vocab):
                 h, bucket, first = tokens(body, at)
                 s = vocab.value.symbols(h, bucket)
                 one, two = contexts(s, first)
-                held.append((two * SYMBOLS + one) * SYMBOLS + s)
+                held.append((two * vocab.value.size + one) * vocab.value.size + s)
                 size += len(s)
                 if size >= _HELD:
                     yield flush()
@@ -260,12 +315,13 @@ def _local_scores(vocab, shipped):
                 h, bucket, first = tokens(body, at)
                 s = v.symbols(h, bucket)
                 one, two = contexts(s, first)
-                model_log = ((model.predicted(one, two) * model.q[s]).sum(1) + model.b[s] - sums[one, two]) / np.log(10)
+                log_sum = model.log_sums_of(one, two) if sums is None else sums[one, two]
+                model_log = ((model.predicted(one, two) * model.q[s]).sum(1) + model.b[s] - log_sum) / np.log(10)
                 place = np.minimum(np.searchsorted(v.frequent, h), max(len(v.frequent) - 1, 0))
                 known = v.frequent[place] == h if len(v.frequent) else np.zeros(len(h), bool)
                 own = np.where(known, base_of[place], 0.0) if len(v.frequent) else np.zeros(len(h))
-                grouped = s > TOP
-                group = np.where(grouped, s - 1 - TOP, 0)
+                grouped = (s >= 1) & (s <= BUCKETS)
+                group = np.where(grouped, s - 1, 0)
                 score = model_log + np.where(grouped, own - in_bucket[group], 0.0)
                 n = np.diff(first)
                 rest = ~known
@@ -290,8 +346,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fre
     vocab = vocabulary(counts, frequent)
     shipped = spark.sparkContext.broadcast(vocab)
     cells = durable(learning.mapInArrow(_cells(shipped), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    model = train(cells, rounds, steps)
-    parameters = spark.sparkContext.broadcast((model.flat, model.log_sums()))
+    model = train(cells, vocab.size, rounds, steps)
+    parameters = spark.sparkContext.broadcast((model.flat, model.log_sums() if model.symbols**2 <= SUMS_HELD else None))
     local = durable(
         rows.mapInArrow(
             _local_scores(shipped, parameters), "doc_id long, held_out boolean, _k long, n_tokens long, known long, base double, model double, rest array<long>"

@@ -313,21 +313,54 @@ def test_base_scores_and_counts(spark):
 
 
 def test_model_probabilities_sum_to_one():
-    model = lm_scoring.Model.start(np.full(lm_scoring.SYMBOLS, 1 / lm_scoring.SYMBOLS))
+    model = lm_scoring.Model.start(np.full(300, 1 / 300))
     sums = model.log_sums()
-    for one, two in ((0, 0), (3, 200), (255, 17)):
+    for one, two in ((0, 0), (3, 200), (299, 17)):
         z = (model.predicted(np.array([one]), np.array([two])) @ model.q.T + model.b)[0]
         assert np.exp(z - sums[one, two]).sum() == pytest.approx(1, abs=1e-4)
+    every = np.repeat(np.arange(300), 300), np.tile(np.arange(300), 300)
+    assert np.allclose(model.log_sums_of(*every).reshape(300, 300), sums, atol=1e-4)
+
+
+def test_sums_of_contexts_whose_halves_disagree():
+    model = lm_scoring.Model.start(np.full(20, 1 / 20))
+    model.r[0], model.r[1], model.q[:] = 0, 0, 0
+    model.r[0, 0], model.r[1, 1], model.q[2, 0], model.q[3, 1] = 200, 200, 1, 1
+    sums = model.log_sums()
+    assert np.isfinite(sums).all()
+    assert sums[0, 1] == pytest.approx(model.log_sums_of(np.array([0]), np.array([1]))[0], rel=1e-5)
+
+
+def test_model_grows_with_the_corpus_and_beats_word_counts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    follow = rng.permutation(400)  # the next word is mostly given by the last one
+
+    def text():
+        out = [int(rng.integers(400))]
+        for _ in range(120):
+            out.append(int(follow[out[-1]]) if rng.random() < 0.8 else int(rng.integers(400)))
+        return " ".join(f"w{x}" for x in out)
+
+    rows = [(i, text()) for i in range(400)]
+    gain, sizes = [], []
+    for n in (100, 400):
+        docs = frame(spark, rows[:n]).repartition(2)
+        held = [r for r in lm_scoring.score_texts(docs).collect() if r.held_out]
+        gain.append(sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held))
+        sizes.append(lm_scoring.own_words(held[0].train_tokens))
+    assert sizes[1] > sizes[0]
+    assert gain[1] > gain[0] > 0
 
 
 def test_training_lowers_the_loss_and_slopes_are_right():
     rng = np.random.default_rng(0)
-    unigram = rng.random(lm_scoring.SYMBOLS)
+    symbols = 150
+    unigram = rng.random(symbols)
     unigram /= unigram.sum()
     model = lm_scoring.Model.start(unigram)
     model.flat = model.flat.astype(float)
     model = lm_scoring.Model(model.flat)
-    one, two, target, noise = (rng.integers(0, lm_scoring.SYMBOLS, n) for n in (30, 30, 30, 8))
+    one, two, target, noise = (rng.integers(0, symbols, n) for n in (30, 30, 30, 8))
 
     def loss(flat):
         m = lm_scoring.Model(flat)
@@ -337,7 +370,7 @@ def test_training_lowers_the_loss_and_slopes_are_right():
         return (np.log1p(np.exp(-data)).sum() + np.log1p(np.exp(other)).sum()) / 30
 
     slope = lm_scoring.nce_slope(model, one, two, target, noise, np.log(unigram))
-    for i in (int(one[0]) * lm_scoring.WIDTH, lm_scoring.SYMBOLS * lm_scoring.WIDTH + int(target[0]) * lm_scoring.WIDTH, len(slope) - 1 - 3, 2 * lm_scoring.SYMBOLS * lm_scoring.WIDTH + 2):
+    for i in (int(one[0]) * lm_scoring.WIDTH, symbols * lm_scoring.WIDTH + int(target[0]) * lm_scoring.WIDTH, len(slope) - 1 - 3, 2 * symbols * lm_scoring.WIDTH + 2):
         up, down = model.flat.copy(), model.flat.copy()
         up[i] += 1e-4
         down[i] -= 1e-4
