@@ -34,7 +34,7 @@ from qrelia.session import durable
 
 BUCKETS, WIDTH = 64, 16  # symbol 0 is the end, then come the groups, then the words of their own
 FREQUENT = 1_000_000
-ROUNDS, STEPS, BATCH, NOISE = 5, 150, 4096, 64
+ROUNDS, STEPS, BATCH, NOISE = 5, 150, 4096, 256
 TOKENS_PER_DRAW = 16
 CELLS_HELD = 2_000_000
 SUMS_HELD = 64_000_000  # numbers in a table of sums
@@ -201,10 +201,10 @@ class Model:
 
 def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray) -> np.ndarray:
     """Slope of the noise-contrastive loss for a batch; ``noise`` symbols are shared by the batch."""
-    k, n = len(noise), len(target)
+    log_k, n = float(np.log(len(noise))), len(target)
     guess = model.predicted(one, two)
-    data = (guess * model.q[target]).sum(1) + model.b[target] - np.log(k) - log_noise[target]
-    other = guess @ model.q[noise].T + model.b[noise] - np.log(k) - log_noise[noise]
+    data = (guess * model.q[target]).sum(1) + model.b[target] - log_k - log_noise[target]
+    other = guess @ model.q[noise].T + model.b[noise] - log_k - log_noise[noise]
     up = (1 / (1 + np.exp(-np.clip(data, -30, 30))) - 1) / n
     down = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / n
     slope = Model(np.zeros_like(model.flat), model.r.shape[1])
@@ -242,6 +242,7 @@ def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int
         model, log_noise = Model(flat.copy()), np.log(unigram).astype(np.float32)
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         weight, t, noise_sums = 0.0, 0, np.cumsum(unigram)
+        mean = np.zeros(len(flat))  # of the parameters, weighted by step number: late steps count most
         for code, n in cells_held(batches):
             order = np.argsort(code)
             code, n = code[order], n[order]
@@ -253,11 +254,12 @@ def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int
                 drawn = code[np.minimum(np.searchsorted(total, rng.random(BATCH) * total[-1], "right"), len(code) - 1)]
                 noise = np.minimum(np.searchsorted(noise_sums, rng.random(NOISE), "right"), symbols - 1)
                 slope = nce_slope(model, drawn // symbols % symbols, drawn // symbols**2, drawn % symbols, noise, log_noise)
-                m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-                model.flat -= (0.03 / (1 + round_no)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+                m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+                model.flat -= (0.03 / (1 + round_no)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+                mean += (model.flat - mean) * (2 / (t + 1))
         if weight:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat))), pa.array(model.flat.astype(float) * weight), pa.array(np.full(len(flat), weight))], names=["i", "x", "w"]
+                [pa.array(np.arange(len(flat))), pa.array(mean * weight), pa.array(np.full(len(flat), weight))], names=["i", "x", "w"]
             )
 
     return run
