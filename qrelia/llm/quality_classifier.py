@@ -8,8 +8,10 @@ linear model on text statistics minimises the non-negative unbiased risk
 with logistic losses, so its score estimates the probability of label 1. The class prior is the share of label 1
 among the labelled training rows; labels of 0 are not used for anything else.
 
-Positives and unlabelled texts for the fit are bounded samples (``SAMPLE_ROWS`` each, by hash of the id); scoring
-covers every row. Statistics come from the whole text; an empty or null text has all statistics 0 and
+Every document counts as unlabelled. Statistics of all texts are written once; Spark deals the rows by a hash of their place into parts of about
+``PART_ROWS``, each part finds the weights of least risk beside the same positives, and the weights are averaged by rows (the risk is convex).
+Only the trusted positives are a bounded sample: about ``SAMPLE_ROWS`` of their different ids by hash, and of the rows that
+have such an id about as many by place, so neither is unbounded where one id holds many rows. Scoring covers every row. Statistics come from the whole text; an empty or null text has all statistics 0 and
 gets the score of such a text. Null ids are never labelled and not held out. Without any labelled positive every score is the prior, or 0.5 if
 there are no labels at all. Empty tables give empty results; repeated rows get equal scores; extra columns are kept unless they have the name of an output column.
 """
@@ -20,13 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qrelia.llm.textarrays import Prefix, slices, words
+from qrelia.llm.textarrays import Prefix, U, mix, signed, slices, words
+from qrelia.session import durable
 
 SAMPLE_ROWS = 20_000
+PART_ROWS = 20_000
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 
@@ -72,11 +77,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the constant last) of the model with least non-negative risk."""
-    both = np.concatenate([positives, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (np.column_stack([np.clip((x - mean) / scale, -5, 5), np.ones(len(x))]) for x in (positives, unlabelled))
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.clip((x - mean) / scale, -5, 5), np.ones(len(x))])
+
+
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights (the constant last) of the model with least non-negative risk."""
+    p, u = (_scaled(x, mean, scale) for x in (positives, unlabelled))
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -89,12 +96,12 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np
         slope = slope + DECAY * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return mean, scale, w
+    return w
 
 
 def score(x: np.ndarray, model) -> np.ndarray:
     mean, scale, w = model
-    return _sigmoid(np.clip((x - mean) / scale, -5, 5) @ w[:-1] + w[-1])
+    return _sigmoid(_scaled(x, mean, scale) @ w)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,17 +116,44 @@ def _some(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / total)))
 
 
-def _matrix(texts: DataFrame) -> np.ndarray:
+def _statistics(rows: DataFrame) -> DataFrame:
+    """(x, trusted, place) of rows (text, trusted); ``place`` hashes the task and the number of the row in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for _, body, at in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(features(body, at).tolist())], names=["x"])
+            for first, body, at in slices(batch.column(0)):
+                x = features(body, at)
+                offsets = pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32())
+                place = mix(np.arange(done, done + len(x)).astype(U)) >> U(1)
+                done += len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), batch.column(1).slice(first, len(x)), pa.array(signed(place))], names=["x", "trusted", "place"]
+                )
+
+    return rows.mapInArrow(run, "x array<double>, trusted boolean, place long")
 
-    table = texts.mapInArrow(run, "x array<double>").toArrow()
-    return np.array(table["x"].to_pylist(), float).reshape(-1, N_FEATURES)
 
+def _rows_of(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return np.asarray(x.flatten()).reshape(-1, N_FEATURES)
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS):
+
+def _moments(statistics: DataFrame) -> np.ndarray:
+    """Sums over all rows: rows, trusted rows, every statistic, every square; empty without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + 2 * N_FEATURES)
+        for batch in batches:
+            x = _rows_of(batch.column(0))
+            total += np.concatenate([[len(x), np.asarray(batch.column(1).cast(pa.int8())).sum()], x.sum(0), (x**2).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "s"])
+
+    table = statistics.select("x", "trusted").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()
+    return np.asarray(table["s"])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS):
     """(model or None, prior); labels come only from rows that are not held out."""
     learning = labels.where(~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(doc_id, label)
     prior = learning.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
@@ -128,12 +162,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     trusted = _some(learning.where(F.col(label) == 1).select(doc_id).distinct(), doc_id, sample_rows, 1)
     text_of = F.coalesce(F.col(text), F.lit("")).alias("text")
     # At most about ``sample_rows`` ids are broadcast.
-    positives = _matrix(docs.join(F.broadcast(trusted), doc_id).select(text_of))
-    unlabelled = _matrix(_some(docs, doc_id, sample_rows, 2).select(text_of))
-    if not len(positives) or not len(unlabelled):
+    marked = docs.select(F.col(doc_id).alias("_id"), text_of).join(F.broadcast(trusted.select(F.col(doc_id).alias("_id"), F.lit(True).alias("_t"))), "_id", "left")
+    statistics = durable(_statistics(marked.select("text", F.coalesce("_t", F.lit(False)).alias("trusted"))))
+    sums = _moments(statistics)
+    if not len(sums) or not sums[1]:
         return None, prior
+    positives = _rows_of(_some(statistics.where("trusted"), "place", sample_rows, 2).select("x").toArrow()["x"])
+    n, total, squares = sums[0], sums[2 : 2 + N_FEATURES], sums[2 + N_FEATURES :]
+    n, total, squares = n + len(positives), total + positives.sum(0), squares + (positives**2).sum(0)
+    mean = total / n
+    scale = np.sqrt(np.maximum(squares / n - mean**2, 0)) + 1e-6
     bounded = min(max(prior, 0.01), 0.99)
-    return fit(positives, unlabelled, bounded), prior
+    shipped = docs.sparkSession.sparkContext.broadcast(positives)
+
+    def best(part: pa.Table) -> pa.Table:
+        x = _rows_of(part["x"])
+        w = fit(shipped.value, x, bounded, mean, scale)
+        return pa.table({"i": np.arange(len(w)), "w": w * len(x), "n": np.full(len(w), float(len(x)))})
+
+    parts = max(1, round(sums[0] / part_rows))
+    dealt = statistics.select("x", (F.col("place") % parts).alias("part"))
+    weights = dealt.groupBy("part").applyInArrow(best, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).orderBy("i").toArrow()
+    return (mean, scale, np.asarray(weights["w"])), prior
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

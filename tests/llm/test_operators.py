@@ -444,6 +444,27 @@ def test_classifier_edges(spark):
     assert quality_classifier.classify(frame(spark, []), labels).collect() == []
 
 
+def test_classifier_in_many_parts(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    one, _ = quality_classifier.train(docs, labels)
+    many, _ = quality_classifier.train(docs, labels, part_rows=70)
+    assert np.allclose(one[0], many[0]) and np.allclose(one[1], many[1])
+    assert np.corrcoef(one[2], many[2])[0, 1] > 0.9
+
+
+def test_many_rows_with_one_trusted_id(spark):
+    good, bad = "Plain words stand here, one after another.", "$$$ ### ||| 99 !!! ***"
+    docs = frame(spark, [(1, good)] * 300 + [(i, bad) for i in range(10, 110)] + [(None, good)] * 50)
+    labels = spark.createDataFrame([(1, 1), (10, 0), (11, 0)], "doc_id long, quality int")
+    got = quality_classifier.classify(docs, labels, sample_rows=20).collect()
+    assert len(got) == 450
+    of = lambda d: {r.score for r in got if r.doc_id == d}
+    assert of(1) == of(None) and min(of(1)) > max(of(50))
+    statistics = quality_classifier._statistics(docs.select("text", (docs.doc_id == 1).alias("trusted")).na.fill(False))
+    assert quality_classifier._moments(statistics)[:2].tolist() == [450, 300]
+    assert statistics.select("place").distinct().count() == 450
+
+
 def test_features_of_a_text_do_not_depend_on_its_neighbours():
     a, b = "Some text, here!! A|B".encode(), b"other # text"
     both = quality_classifier.features(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b), len(a) + len(b)]))
