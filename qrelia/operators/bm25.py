@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qrelia.functions.text import bm25_tokenize
-from qrelia.operators.blocks import MATRIX_CELLS, block_topk
+from qrelia.operators.blocks import MATRIX_CELLS, pieces, block_topk
 from qrelia.operators.joins import fits_broadcast, lookup_join
 from qrelia.session import durable
 
@@ -25,6 +25,7 @@ EPSILON = 0.25  # share of the mean idf given to terms whose own idf is negative
 BM25_DIM = -1  # truncate_dim of a BM25 run
 
 _POSTINGS_PER_SLICE = 2_000_000
+_COMMON = 300  # a single sum costs as much as so many cells of a matrix product
 
 
 def bm25_tf(corpus: DataFrame) -> DataFrame:
@@ -131,37 +132,56 @@ class Bm25Scorer:
         weights = queries.column("weights").combine_chunks().flatten()
         self.weight = weights.to_numpy(zero_copy_only=False)[by_term]
         self.begin = np.searchsorted(term[by_term], np.arange(len(self.vocabulary) + 1))
+        self.uses = np.diff(self.begin)
 
     def matrices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        n_docs, n_queries = batch.num_rows, len(self.query_ids)
         doc, term, gain = self._gains(batch)
-        uses = np.diff(self.begin)[term] if len(term) else np.zeros(0, dtype=np.int64)
-        load = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=uses, minlength=n_docs))])
-        step = max(1, MATRIX_CELLS // max(n_queries, 1))
-        start = 0
-        while start < n_docs:
-            full = np.searchsorted(load, load[start] + _POSTINGS_PER_SLICE, side="right") - 1
-            stop = int(min(n_docs, start + step, max(full, start + 1)))
+        step = max(1, MATRIX_CELLS // max(len(self.query_ids), 1))
+        for start in range(0, batch.num_rows, step):
+            stop = min(batch.num_rows, start + step)
             lo, hi = np.searchsorted(doc, [start, stop])
-            # Spread each (document, term) gain over the queries that use the term.
-            n_use = uses[lo:hi]
-            entry = np.repeat(np.arange(hi - lo), n_use)
-            nth = np.arange(len(entry)) - np.repeat(np.cumsum(n_use) - n_use, n_use)
-            at = self.begin[term[lo:hi]][entry] + nth
-            width = stop - start
-            cell = self.query[at] * width + (doc[lo:hi] - start)[entry]
-            flat = np.bincount(
-                cell,
-                weights=gain[lo:hi][entry] * self.weight[at],
-                minlength=n_queries * width,
-            ).astype(float)  # without any entry numpy makes integers
+            yield BM25_DIM, start, self._scores(doc[lo:hi] - start, term[lo:hi], gain[lo:hi], stop - start)
+
+    def _scores(self, doc: np.ndarray, term: np.ndarray, gain: np.ndarray, width: int) -> np.ndarray:
+        """Queries x documents. Terms that many pairs share are summed by a matrix product, the others pair by pair."""
+        n_queries = len(self.query_ids)
+        pairs = np.bincount(term, minlength=len(self.uses)) * self.uses
+        common = np.flatnonzero(pairs > n_queries * width / _COMMON)
+        slot = np.full(len(self.uses), -1)
+        slot[common] = np.arange(len(common))
+        at = ranges(self.begin[common], self.uses[common])
+        weights = np.zeros((n_queries, len(common)))
+        cells = self.query[at], np.repeat(np.arange(len(common)), self.uses[common])
+        weights[cells] = self.weight[at]
+        dense = slot[term] >= 0
+        gains = np.zeros((len(common), width))
+        gains[slot[term[dense]], doc[dense]] = gain[dense]
+        scores = weights @ gains
+        if self.only_matches:
+            weights[cells] = 1.0
+            gains[slot[term[dense]], doc[dense]] = 1.0
+            matched = weights @ gains > 0
+        # Spread each other (document, term) gain over the queries that use the term.
+        doc, term, gain = doc[~dense], term[~dense], gain[~dense]
+        load = np.r_[0, np.cumsum(self.uses[term])]
+        start = 0
+        while start < len(term):
+            stop = max(start + 1, int(np.searchsorted(load, load[start] + _POSTINGS_PER_SLICE, "right")) - 1)
+            n_use = self.uses[term[start:stop]]
+            at = ranges(self.begin[term[start:stop]], n_use)
+            cell = self.query[at] * width + np.repeat(doc[start:stop], n_use)
+            np.add.at(scores.reshape(-1), cell, np.repeat(gain[start:stop], n_use) * self.weight[at])
             if self.only_matches:
-                flat[np.bincount(cell, minlength=len(flat)) == 0] = -np.inf
-            yield BM25_DIM, start, flat.reshape(n_queries, width)
+                matched.reshape(-1)[cell] = True
             start = stop
+        if self.only_matches:
+            scores[~matched] = -np.inf
+        return scores
 
     def _gains(self, batch: pa.RecordBatch):
         """Sorted (document, term) pairs of the query vocabulary and their tf gain."""
+        if "tfs" in batch.schema.names:
+            return self._counted_gains(batch)
         tokens = batch.column("tokens")
         term = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
         known = term.is_valid().to_numpy(zero_copy_only=False)
@@ -174,6 +194,42 @@ class Bm25Scorer:
         return doc, term, tf * (K1 + 1) / (tf + norm[doc])
 
 
+    def _counted_gains(self, batch: pa.RecordBatch):
+        """The same from documents whose terms were counted before."""
+        terms = batch.column("terms")
+        term = pc.index_in(terms.flatten(), value_set=self.vocabulary)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        doc = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)[known]
+        tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)[known]
+        norm = batch.column("norm").to_numpy(zero_copy_only=False)
+        return doc, term.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), tf * (K1 + 1) / (tf + norm[doc])
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start, start + 1, ... of the given lengths."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+_COUNTED = "doc_id string, terms array<string>, tfs array<int>, norm double"
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, tokens, norm) with each term once and how often it occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            tokens = batch.column("tokens")
+            coded = tokens.flatten().dictionary_encode()
+            size = max(len(coded.dictionary), 1)
+            doc = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique(doc * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            at = pa.array(np.searchsorted(pair // size, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (coded.dictionary.take(pa.array(pair % size)), pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, batch.column("norm")], names=[c.split()[0] for c in _COUNTED.split(", ")])
+
+    return docs.select("doc_id", "tokens", "norm").mapInArrow(count, _COUNTED)
+
+
 def bm25_rank(
     corpus: DataFrame, queries: DataFrame, k: int, pad_zero_scores: bool = True
 ) -> DataFrame:
@@ -190,4 +246,4 @@ def bm25_rank(
         "norm", F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length)
     )
     scorer = partial(Bm25Scorer, only_matches=not pad_zero_scores)
-    return block_topk(docs, query_weights(queries, index), scorer, k, reuse_docs=True)
+    return block_topk(docs, query_weights(queries, index), scorer, k, reuse_docs=True, prepare=counted_terms)

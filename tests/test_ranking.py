@@ -274,3 +274,59 @@ def test_floors_compare_ids_as_bytes():
     assert floors.reached(4, scores, ids).tolist() == [[True] * 4, [True, True, True, False]]
     assert floors.reached(8, scores, ids).all()
     assert not floors.reached(4, scores - 1.5, ids)[1].any()
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_many_queries_are_ranked_in_one_task_each(spark, monkeypatch, tied):
+    """Queries dealt over tasks that read all documents: the same rows, and no more than k of a query are emitted."""
+    docs, queries = random_corpus(400)
+    if tied:  # a few texts only, so that most scores are equal
+        docs = {d: docs[sorted(docs)[i % 7]] for i, d in enumerate(docs)}
+    corpus = spark.createDataFrame(list(docs.items()), "doc_id string, text string").repartition(9)
+    asked = spark.createDataFrame([*queries.items(), ("none", ""), ("null", None)], "query_id string, text string")
+    rng = np.random.default_rng(6)
+    vectors = corpus.select("doc_id", F.array(*[F.length("text") % p for p in (2, 3, 5)]).cast("array<double>").alias("vector"))
+    points = spark.createDataFrame([(f"q{i}", rng.normal(size=3).tolist()) for i in range(40)], "query_id string, vector array<double>")
+    k = 30
+    runs = {
+        "padded": lambda: bm25.bm25_rank(corpus, asked, k),
+        "short": lambda: bm25.bm25_rank(corpus, asked, 500, pad_zero_scores=False),
+        "dense": lambda: dense.dense_rank(vectors, points, k, [3, 2]),
+    }
+    want = {name: ranked(run()) for name, run in runs.items()}
+    emitted = []
+    real = blocks.stream_queries
+
+    def counted(*args, **kwargs):
+        out = real(*args, **kwargs)
+        emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocks, "stream_queries", counted)
+    monkeypatch.setattr(blocks, "MANY_QUERIES", 1)
+    monkeypatch.setattr(blocks, "STREAM_QUERIES", 7)
+    monkeypatch.setattr(blocks, "STREAM_ROWS", 64)
+    got = {name: ranked(run()) for name, run in runs.items()}
+    for name, rows in want.items():
+        assert {q: [d for _, d, _ in r] for q, r in got[name].items()} == {q: [d for _, d, _ in r] for q, r in rows.items()}
+        for q, r in rows.items():
+            assert [s for _, _, s in got[name][q]] == pytest.approx([s for _, _, s in r], abs=1e-9)
+    assert emitted[0] == k * (len(queries) + 2) and emitted[2] == 2 * k * 40
+
+
+def test_a_task_emits_only_its_best_rows():
+    """Documents that get better and better: k rows of a query leave the task, not k of every batch."""
+    import pyarrow as pa
+
+    weights = pa.table({"query_id": ["q", "r"], "vector": [[1.0], [-1.0]]})
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"d{i:03d}-{j:02d}" for j in range(50)]), pa.array([[1.0, (i * 50 + j) / 1000] for j in range(50)])], names=["doc_id", "vector"]) for i in range(40)]
+
+    class Plain(dense.DenseScorer):
+        def matrices(self, batch):
+            yield 1, 0, np.outer([1.0, -1.0], dense.to_matrix(batch.column("vector"))[:, 1])
+
+    out = pa.Table.from_batches(blocks.emit_topk(Plain(weights, [1]), iter(batches), 10))
+    assert out.num_rows == 20
+    rows = out.to_pylist()
+    assert [r["doc_id"] for r in rows if r["query_id"] == "q"] == [f"d039-{j:02d}" for j in range(49, 39, -1)]
+    assert [r["doc_id"] for r in rows if r["query_id"] == "r"] == [f"d000-{j:02d}" for j in range(10)]
