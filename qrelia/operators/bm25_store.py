@@ -7,7 +7,8 @@ negative weight can only lower it.
 
 Ranking reads the bounds first. The blocks with the best bounds of each query are scored and give its k-th best row so
 far, its floor; then only blocks whose bound reaches the floor of some query are read, and in them only those
-queries are scored. Nothing is approximate: a skipped block has no row that could be among the best k.
+queries are scored. Nothing is approximate: a skipped block has no row that could be among the best k. Many queries
+need nearly every block; they are dealt over the tasks, and each task goes through the blocks with floors of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qrelia.functions.text import bm25_tokenize
-from qrelia.operators.blocks import BLOCK_BYTES, BLOCK_QUERIES, MATRIX_CELLS, RUN_SCHEMA, Floors, emit_topk
+from qrelia.operators.blocks import (
+    BLOCK_BYTES,
+    BLOCK_QUERIES,
+    MANY_QUERIES,
+    MATRIX_CELLS,
+    RUN_SCHEMA,
+    Floors,
+    dealt,
+    emit_topk,
+    query_blocks,
+    read_shared,
+)
 from qrelia.operators.bm25 import BM25_DIM, K1, B, Bm25Index, Bm25Scorer, bm25_index, query_weights
 from qrelia.operators.joins import broadcast_if_small, measured_size
 from qrelia.operators.ranking import SCORE_DIGITS, rank_topk
@@ -42,6 +54,7 @@ _BLOCK = (
     "block long, first_doc string, doc_ids array<string>, terms array<string>, starts array<int>, "
     "docs array<int>, gains array<double>, tops array<double>"
 )
+_COLUMNS = [c.split()[0] for c in _BLOCK.split(", ")]
 
 
 @dataclass
@@ -139,7 +152,7 @@ def _block(docs: pa.Table, number: int) -> pa.RecordBatch:
         ids[:1],
         *(pa.ListArray.from_arrays([0, len(x)], x) for x in (ids, encoded.dictionary, pa.array(starts, pa.int32()), pa.array(doc, pa.int32()), pa.array(gain), pa.array(tops))),
     ]
-    return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in _BLOCK.split(", ")])
+    return pa.RecordBatch.from_arrays(row, names=_COLUMNS)
 
 
 # --- ranking -----------------------------------------------------------------------
@@ -193,9 +206,9 @@ def reaching(bounds: np.ndarray, first_docs: list[bytes], floors: Floors | None)
     if floors is None or BM25_DIM not in floors.scores:
         return possible
     floor, ids = floors.scores[BM25_DIM][:, None], floors.doc_ids[BM25_DIM]
-    order = np.unique(np.array([*first_docs, *ids], dtype=object))
-    first, last = (np.searchsorted(order, np.array(x, dtype=object)) for x in (first_docs, ids))
-    tie = (bounds == floor) & (first[None, :] <= last[:, None])
+    tie = bounds == floor
+    q, block = np.nonzero(tie)
+    tie[q, block] = np.array(first_docs, dtype=object)[block] <= np.array(ids, dtype=object)[q]
     # A bound within rounding of the floor may stand for a score above it, but no terms give 0 exactly.
     near = (bounds > floor - _SLACK) & ~((bounds == 0) & (floor == 0))
     return possible & (near | tie)
@@ -238,27 +251,43 @@ def _score_blocks(blocks: DataFrame, sent, floors, k: int, only_matches: bool) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _BlockScorer(sent.value, only_matches)
         bound = _BoundScorer(sent.value, only_matches)
-        known = Floors(floors.value, scorer.query_ids) if floors is not None else None
+        known = Floors(floors.value if floors is not None else None, scorer.query_ids)
+        yield from emit_topk(scorer, _documents(batches, scorer, bound, known), k, known)
+
+    return blocks.select(*_COLUMNS).mapInArrow(score, RUN_SCHEMA)
 
-        def documents() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1)
-                    active = reaching(bound.bounds(row), row.column("first_doc").cast(pa.binary()).to_pylist(), known)[:, 0]
-                    if active.any():
-                        scorer.load(row, active)
-                        yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten()], names=["doc_id"])
 
-        yield from emit_topk(scorer, documents(), k, known)
+def _documents(batches: Iterator[pa.RecordBatch], scorer: _BlockScorer, bound: _BoundScorer, known: Floors) -> Iterator[pa.RecordBatch]:
+    """Documents of the blocks that some query needs by the floors of the moment, loaded into the scorer one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            active = reaching(bound.bounds(row), row.column("first_doc").cast(pa.binary()).to_pylist(), known)[:, 0]
+            if active.any():
+                scorer.load(row, active)
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten()], names=["doc_id"])
+
+
+def _stream_queries(index: StoredIndex, weights: DataFrame, n: int, size: int, k: int, only_matches: bool) -> DataFrame:
+    """Every task reads the blocks past its own queries; the floors it has so far tell which it scores."""
+    files = sorted(index.blocks.inputFiles())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in query_blocks(batches, k):
+            scorer, bound = _BlockScorer(table, only_matches), _BoundScorer(table, only_matches)
+            known = Floors(None, scorer.query_ids)
+            yield from emit_topk(scorer, _documents(read_shared(files, _COLUMNS, 1), scorer, bound, known), k, known)
 
-    columns = [c.split()[0] for c in _BLOCK.split(", ")]
-    return blocks.select(*columns).mapInArrow(score, RUN_SCHEMA)
+    run = dealt(weights, n, size, k).mapInArrow(score, RUN_SCHEMA)
+    return durable(rank_topk(run, k, by=("truncate_dim", "query_id")))
 
 
 def rank_by_index(index: StoredIndex, queries: DataFrame, k: int, pad_zero_scores: bool = True) -> DataFrame:
     """As ``bm25_rank``: (truncate_dim=-1, query_id, doc_id, score, rank)."""
     weights = durable(query_weights(queries, index))
     n, size = measured_size(weights)
+    if n > MANY_QUERIES:
+        return _stream_queries(index, weights, n, size, k, not pad_zero_scores)
     passes = max(1, -(-n // BLOCK_QUERIES), -(-size // BLOCK_BYTES), -(-n * k // MATRIX_CELLS))
     part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     runs = [_rank_part(index, weights.where(part == i), k, not pad_zero_scores) for i in range(passes)]

@@ -108,3 +108,20 @@ def test_second_evaluation_reads_no_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bm25_store, "_build", lambda *a: (built.append(1), real(*a)))
     run()
     assert built == [1, 1]
+
+
+@pytest.mark.parametrize("k", [7, 1000])
+def test_many_queries_read_the_blocks_in_their_tasks(spark, tmp_path, monkeypatch, k):
+    docs, queries = random_corpus(300)
+    corpus, asked = frames(spark, docs, {**queries, "none": ""})
+    monkeypatch.setattr(bm25_store, "BLOCK_DOCS", 40)
+    index = bm25_store.stored_index(corpus, str(tmp_path), "many")
+    want = {pad: ranked(bm25_store.rank_by_index(index, asked, k, pad)) for pad in (True, False)}
+    jobs = []
+    real = bm25_store._stream_queries
+    monkeypatch.setattr(bm25_store, "_stream_queries", lambda *args: jobs.append(1) or real(*args))
+    monkeypatch.setattr(bm25_store, "MANY_QUERIES", 1)
+    for pad, rows in want.items():
+        got = ranked(bm25_store.rank_by_index(index, asked, k, pad))
+        assert {q: [d for _, d, _ in r] for q, r in got.items()} == {q: [d for _, d, _ in r] for q, r in rows.items()}
+    assert len(jobs) == 2
