@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qrelia.operators.dense import unit_rows
+from qrelia.session import small_batches
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
+MOST_WORDS = 200_000  # that an encoder remembers; a task meets more different words the more texts it has
+
 
 def encoder_udf(factory: Callable[[], Encoder], batch_size: int, normalize: bool = True):
     """Arrow-batched text-to-vector function; ``factory`` runs once per task."""
@@ -41,7 +44,8 @@ def encode_texts(
     batch_size: int = 128,
     normalize: bool = True,
 ) -> DataFrame:
-    """Add ``vector``, the encoding of ``text``."""
+    """Add ``vector``, the encoding of ``text``; Arrow batches of the session are kept small for it."""
+    small_batches(df.sparkSession)
     column = F.col(text) if isinstance(text, str) else text
     return df.withColumn("vector", encoder_udf(factory, batch_size, normalize)(column))
 
@@ -54,6 +58,8 @@ def hashing_encoder(dim: int) -> Callable[[], Encoder]:
 
         def slot(word: str) -> tuple[int, float]:
             if word not in slots:
+                if len(slots) >= MOST_WORDS:
+                    slots.clear()
                 digest = hashlib.md5(word.encode()).hexdigest()
                 slots[word] = int(digest[:8], 16) % dim, 1.0 - 2.0 * (int(digest[8], 16) % 2)
             return slots[word]

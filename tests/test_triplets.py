@@ -246,3 +246,35 @@ def test_rows_go_on_to_the_next_window(spark, monkeypatch, window):
     room = [b for b in range(75) if len(members.get(b, ())) < 4]
     assert not [i for i, b in got.items() if b is None for r in room if not held.get(r, set()) & set(rows[i][1:])]
     assert batching.placeable_rows(df, texts_array(df), batches, 4, "pos").count() == 0
+
+
+def test_encoder_remembers_a_bounded_number_of_words(monkeypatch):
+    import qrelia.operators.encode as encode
+
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(30)) for i in range(40)]
+    want = hashing_encoder(8)()(texts)
+    monkeypatch.setattr(encode, "MOST_WORDS", 11)
+    encoder = hashing_encoder(8)()
+    assert (encoder(texts) == want).all()
+    slot = next(c.cell_contents for c in encoder.__closure__ if callable(c.cell_contents))
+    remembered = [c.cell_contents for c in slot.__closure__ if isinstance(c.cell_contents, dict)]
+    assert [0 < len(m) <= 11 for m in remembered] == [True]
+
+
+def test_texts_are_encoded_in_small_batches(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+
+    def widths():
+        def encode(texts):
+            return np.full((len(texts), 1), float(len(texts)))
+
+        return encode
+
+    try:
+        df = spark.range(0, 2_500, 1, 1).select(F.col("id").cast("string").alias("t"))
+        got = [r["vector"][0] for r in encode_texts(df, "t", widths, 5_000, normalize=False).collect()]
+        assert len(got) == 2_500 and max(got) <= 1_000
+    finally:
+        spark.conf.set(rows, before)
