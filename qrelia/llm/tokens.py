@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from qrelia.llm.textarrays import Prefix, ranges, slices, words
 
-MOST_WORDS = 1_500_000  # remembered per worker
+MOST_WORDS = 1_000_000  # remembered per worker, in about 40 bytes each
 
 
 class WordIds:
@@ -29,43 +29,47 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.first = np.zeros(1024, np.int64)
-        self.size = np.zeros(1024, np.int64)
+        self.hashes = np.empty(0, np.uint64)  # ascending
+        self.first = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Remember words by their ascending hashes."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        n, m = len(self.place), len(self.place) + len(texts)
-        if m > len(self.first):
-            self.first = np.resize(self.first, 2 * m)
-            self.size = np.resize(self.size, 2 * m)
         ids = [f.ids for f in found]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + total))
+            self.flat = np.resize(self.flat, (self.used + total) * 5 // 4)
         self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.size[n:m] = size
-        self.first[n:m] = self.used + np.cumsum(size) - size
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.first = np.insert(self.first, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
         self.used += total
-        self.place.update(zip(hashes, range(n, m), strict=True))
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        return np.flatnonzero(~known)
 
     def encode(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the first id of each row (one more entry than rows)."""
         starts, ends, rows = words(body, offsets)
         hashes, where, back = np.unique(Prefix(body).hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(hashes) > MOST_WORDS:
+        new = self._missing(hashes)
+        if len(new) and len(self.hashes) + len(new) > MOST_WORDS:
             self.clear()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
+            new = np.arange(len(hashes))
+        if len(new):
             spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
             data = body.tobytes()
-            self._add([keys[i] for i in new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
-        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
-        size = self.size[place]
+            self._add(hashes[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+        place = np.searchsorted(self.hashes, hashes)[back]
+        size = self.size[place].astype(np.int64)
         ids = self.flat[ranges(self.first[place], size)]
         return ids, np.r_[0, np.cumsum(size)][rows]
 

@@ -485,6 +485,44 @@ def test_word_ids_equal_the_tokenizer():
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_memory_of_words_is_small_and_starts_anew(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    from qrelia.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array([" ".join(f"w{i * 400 + j}x" for j in range(500)) for i in range(100)])
+    monkeypatch.setattr(tokens, "_known", {})
+
+    def ids():
+        return [found[at[i] : at[i + 1]].tolist() for _, found, at in tokens.encoded(texts, path) for i in range(len(at) - 1)]
+
+    want = ids()
+    tracemalloc.start()
+    memory = tokens.WordIds(path)
+    memory.encode(*tokens_of(texts))
+    n = len(memory.hashes)
+    held = sum(x.nbytes for x in (memory.hashes, memory.first, memory.size, memory.flat))
+    current = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert n == 40_100 and held < 60 * n and current < 90 * n
+    monkeypatch.setattr(tokens, "MOST_WORDS", 700)
+    small = tokens.WordIds(path)
+    got = []
+    for row in texts.to_pylist():
+        found, at = small.encode(*tokens_of(pa.array([row])))
+        got.append(found[at[0] : at[1]].tolist())
+        assert len(small.hashes) <= 700
+    assert got == want
+
+
+def tokens_of(column):
+    from qrelia.llm.textarrays import raw
+
+    return raw(column)
+
+
 def paragraphs(n):
     return "".join(f"<p>{prose(60 + i, 40)}, and, so on.</p>" for i in range(n))
 
