@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ FREQUENT = 1_000_000
 ROUNDS, STEPS, BATCH, NOISE = 5, 150, 4096, 256
 TOKENS_PER_DRAW = 16
 CELLS_HELD = 2_000_000
+ROWS_IN_CACHE = 256  # of a batch, worked on operation by operation
 SUMS_HELD = 64_000_000  # numbers in a table of sums
 _END = np.int64(-1)  # the end token's hash
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,18 +63,50 @@ def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, kind, rows + np.arange(len(rows))
 
 
+class Places:
+    """Where hashes stand in a sorted array of hashes, looked up by their first bits.
+
+    Hashes are spread evenly, so few share their first bits, however many there are; halving would miss the cache at every step.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift, self.half = keys, np.int64(64 - bits), np.int64(1 << (bits - 1))
+        self.first = np.searchsorted(keys >> self.shift, np.arange(-self.half, self.half)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found); a place means nothing where its hash was not found."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[(h >> self.shift) + self.half], last)
+        key = self.keys[at]
+        ahead = np.flatnonzero((key < h) & (at < last))
+        while len(ahead):
+            at[ahead] += 1
+            key[ahead] = self.keys[at[ahead]]
+            ahead = ahead[(key[ahead] < h[ahead]) & (at[ahead] < last)]
+        return at, key == h
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        h, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        hashes, where, n = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(b[where].astype(np.int32)), pa.array(n)], names=["h", "b", "n"])
+        h, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        h, b, n = h[order], b[order], n[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(b[first]), pa.array(np.add.reduceat(n, first))], names=["h", "b", "n"])
 
     for batch in batches:
         for _, body, at in slices(batch.column(0)):
             h, b, _ = tokens(body, at)
-            held.append((h, b))
+            # Only the different words of a slice are held.
+            hashes, n = np.unique(h, return_counts=True)
+            bucket = np.empty(len(hashes), np.int32)
+            bucket[Places(hashes).find(h)[0]] = b
+            held.append((hashes, bucket, n))
             size += len(h)
             if size >= _HELD:
                 yield flush()
@@ -100,11 +134,19 @@ class Vocabulary:
     def size(self) -> int:
         return 1 + BUCKETS + len(self.top)
 
+    @cached_property
+    def top_places(self) -> Places:
+        return Places(self.top)
+
+    @cached_property
+    def frequent_places(self) -> Places:
+        return Places(self.frequent)
+
     def symbols(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         out = 1 + bucket  # the end's bucket is -1
         if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-            out = np.where(self.top[at] == h, self.symbol[at], out)
+            at, own = self.top_places.find(h)
+            out = np.where(own, self.symbol[at], out)
         return out
 
 
@@ -199,16 +241,35 @@ class Model:
         return out[which]
 
 
-def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray) -> np.ndarray:
-    """Slope of the noise-contrastive loss for a batch; ``noise`` symbols are shared by the batch."""
+def _chances(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), worked out in place: new arrays would cost more than the arithmetic."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Slope of the noise-contrastive loss for a batch; ``noise`` symbols are shared by the batch.
+
+    ``room``, an array of batch x noise, is written over, so that all steps can use the same one.
+    """
     log_k, n = float(np.log(len(noise))), len(target)
-    guess = model.predicted(one, two)
-    data = (guess * model.q[target]).sum(1) + model.b[target] - log_k - log_noise[target]
-    other = guess @ model.q[noise].T + model.b[noise] - log_k - log_noise[noise]
-    up = (1 / (1 + np.exp(-np.clip(data, -30, 30))) - 1) / n
-    down = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / n
+    guess, pull, of_noise = model.predicted(one, two), model.q[target], model.q[noise]
+    up = (_chances((guess * pull).sum(1) + model.b[target] - log_k - log_noise[target]) - 1) / n
+    down = np.matmul(guess, of_noise.T, out=room)
+    bias, log_of_noise = model.b[noise], log_noise[noise]
+    for i in range(0, n, ROWS_IN_CACHE):
+        part = down[i : i + ROWS_IN_CACHE]
+        part += bias
+        part -= log_k
+        part -= log_of_noise
+        _chances(part)
+        part /= n
     slope = Model(np.zeros_like(model.flat), model.r.shape[1])
-    pull = up[:, None] * model.q[target] + down @ model.q[noise]
+    pull *= up[:, None]
+    pull += down @ of_noise
 
     def add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(at, kind="stable")
@@ -224,6 +285,14 @@ def nce_slope(model: Model, one, two, target, noise, log_noise: np.ndarray) -> n
     return slope.flat
 
 
+def _places(total: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``np.searchsorted(total, x, "right")``; keys in order find the same parts of ``total`` in the cache."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(total, x[order], "right")
+    return out
+
+
 def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int, per_draw: int):
     symbols = len(unigram)
 
@@ -242,6 +311,7 @@ def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int
         model, log_noise = Model(flat.copy()), np.log(unigram).astype(np.float32)
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         weight, t, noise_sums = 0.0, 0, np.cumsum(unigram)
+        room = np.empty((BATCH, NOISE), flat.dtype)
         mean = np.zeros(len(flat))  # of the parameters, weighted by step number: late steps count most
         for code, n in cells_held(batches):
             order = np.argsort(code)
@@ -251,9 +321,9 @@ def _train_part(flat: np.ndarray, unigram: np.ndarray, round_no: int, steps: int
             weight += float(total[-1])
             for _ in range(max(steps, int(total[-1] / per_draw / BATCH))):
                 t += 1
-                drawn = code[np.minimum(np.searchsorted(total, rng.random(BATCH) * total[-1], "right"), len(code) - 1)]
+                drawn = code[np.minimum(_places(total, rng.random(BATCH) * total[-1]), len(code) - 1)]
                 noise = np.minimum(np.searchsorted(noise_sums, rng.random(NOISE), "right"), symbols - 1)
-                slope = nce_slope(model, drawn // symbols % symbols, drawn // symbols**2, drawn % symbols, noise, log_noise)
+                slope = nce_slope(model, drawn // symbols % symbols, drawn // symbols**2, drawn % symbols, noise, log_noise, room)
                 m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
                 model.flat -= (0.03 / (1 + round_no)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
                 mean += (model.flat - mean) * (2 / (t + 1))
@@ -286,8 +356,11 @@ def _cells(vocab):
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            code = np.concatenate(held)
+            held.clear()
+            code.sort()
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(code[first]), pa.array(np.diff(first, append=len(code)))], names=["code", "n"])
 
         for batch in batches:
             for _, body, at in slices(batch.column(0)):
@@ -311,6 +384,7 @@ def _local_scores(vocab, shipped):
         flat, sums = shipped.value
         model = Model(flat)
         spread = np.log10(v.total + 0.5 * (v.distinct + 1))
+        left, right = model.r * model.c[0], model.r * model.c[1]
         base_of, in_bucket = np.log10(v.counts + 0.5), np.log10(v.bucket_mass)
         for batch in batches:
             for first_row, body, at in slices(batch.column(3)):
@@ -318,9 +392,11 @@ def _local_scores(vocab, shipped):
                 s = v.symbols(h, bucket)
                 one, two = contexts(s, first)
                 log_sum = model.log_sums_of(one, two) if sums is None else sums[one, two]
-                model_log = ((model.predicted(one, two) * model.q[s]).sum(1) + model.b[s] - log_sum) / np.log(10)
-                place = np.minimum(np.searchsorted(v.frequent, h), max(len(v.frequent) - 1, 0))
-                known = v.frequent[place] == h if len(v.frequent) else np.zeros(len(h), bool)
+                match = left[one]
+                match += right[two]
+                match *= model.q[s]
+                model_log = (match.sum(1) + model.b[s] - log_sum) / np.log(10)
+                place, known = v.frequent_places.find(h)
                 own = np.where(known, base_of[place], 0.0) if len(v.frequent) else np.zeros(len(h))
                 grouped = (s >= 1) & (s <= BUCKETS)
                 group = np.where(grouped, s - 1, 0)

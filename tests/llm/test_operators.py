@@ -377,6 +377,33 @@ def test_training_lowers_the_loss_and_slopes_are_right():
         assert slope[i] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=1e-4)
 
 
+def test_hashes_are_found_by_their_first_bits():
+    rng = np.random.default_rng(5)
+    ends = [-(2**63), -1, 0, 2**63 - 1]
+    for n in (0, 1, 2, 5, 1000):
+        keys = np.unique(np.r_[rng.integers(-(2**63), 2**63 - 1, n), ends[: n // 2]].astype(np.int64))
+        asked = np.r_[keys, keys - 1, rng.integers(-(2**63), 2**63 - 1, 500), ends].astype(np.int64)
+        at, found = lm_scoring.Places(keys).find(asked)
+        assert found.tolist() == np.isin(asked, keys).tolist()
+        assert (keys[at[found]] == asked[found]).all()
+    crowd = np.arange(-40, 40)  # hashes that share all their first bits
+    at, found = lm_scoring.Places(crowd).find(np.arange(-60, 60))
+    assert found.tolist() == [-40 <= x < 40 for x in range(-60, 60)] and at[found].tolist() == list(range(80))
+
+
+def test_steps_share_room_and_draw_the_same():
+    rng = np.random.default_rng(6)
+    unigram = rng.random(90)
+    unigram /= unigram.sum()
+    model, room = lm_scoring.Model.start(unigram), np.full((700, 8), np.nan, np.float32)
+    for _ in range(3):  # what an earlier step left in the room does not matter
+        one, two, target, noise = (rng.integers(0, 90, n) for n in (700, 700, 700, 8))
+        alone = lm_scoring.nce_slope(model, one, two, target, noise, np.log(unigram).astype(np.float32))
+        assert (lm_scoring.nce_slope(model, one, two, target, noise, np.log(unigram).astype(np.float32), room) == alone).all()
+    total, x = np.cumsum(rng.integers(1, 9, 400)).astype(float), rng.integers(0, 2000, 300).astype(float)
+    assert (lm_scoring._places(total, x) == np.searchsorted(total, x, "right")).all()
+
+
 # ---- packing --------------------------------------------------------------------------------------------------
 
 
