@@ -252,7 +252,7 @@ def _marked(keys: DataFrame) -> np.ndarray:
     slot = F.pmod("k1", F.lit(bits)) + 1
     found = keys.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros((bits // width, width // 8), np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # 4 kB a row, 16 MB at most; one job, where an iterator runs one for every partition
         out[row["part"] - 1] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -276,6 +276,21 @@ def _sequences_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return plain.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("seq").alias("seq"))
 
 
+def _merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root), written, after the components that the further ``links`` (a, b) join have become one.
+
+    Only links between whole components are left to be searched, whose nodes are the least of their components.
+    """
+    for end in ("a", "b"):
+        found = roots.withColumnRenamed("node", end)
+        links = links.join(found, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    merged = durable(connected_components(links.distinct()))
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    # Nodes that the further links are the first to name.
+    new = merged.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return durable(moved.unionByName(new))
+
+
 def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(k1, k2, copies, text_id, class_id, class_size, class_key, is_first) for every different text of ``_keys``.
 
@@ -309,8 +324,7 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
     split = durable(_split_buckets(placed).select("k1", "k2", "n", F.xxhash64("root").alias("r")).distinct())
     prefixes = durable(_prefixes(durable(_possible(split, sequences, similarity)), sequences, similarity))
     more = _verified(durable(_cross_pairs(prefixes, similarity)), sequences, similarity)
-    links = durable(links.unionByName(more))
-    roots = durable(connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b"))))
+    roots = _merged_roots(roots, more.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
     grouped = texts.select("k1", "k2", "text_id", "copies", node("k1", "k2").alias("node")).join(roots, "node", "left")
     grouped = grouped.select("k1", "k2", "text_id", "copies", F.coalesce("root", "node").alias("root"))
     classes = grouped.groupBy("root").agg(F.min(F.struct("text_id", "k1", "k2")).alias("first"), F.sum("copies").alias("class_size"))
