@@ -26,10 +26,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qrelia.llm.components import connected_components
+from qrelia.llm.components import components_below, downward, with_roots
 from qrelia.llm.tables import fresh_names
 from qrelia.llm.textarrays import Prefix, U, mix, signed, slices, words
 from qrelia.session import durable
@@ -162,19 +162,30 @@ def _align(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """The near-duplicate ones of the distinct pairs (a1, a2, b1, b2).
+def _node(k1: str, k2: str) -> Column:
+    return F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"))
 
-    The leader's sequence is sent once for every ``PAIRS_PER_SALT`` members, members in between.
+
+def _links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b"))
+
+
+def _salts(members: str) -> Column:
+    """Over how many tasks a leader's members are dealt."""
+    return F.ceil(F.col(members) / PAIRS_PER_SALT).cast("int").alias("salts")
+
+
+def _verified(leaders: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """The near-duplicate ones of the distinct pairs (a1, a2, salts, b1, b2); ``leaders`` (a1, a2, salts) has each a once.
+
+    The leader's sequence is sent once for every salt, members in between.
     """
-    leaders = pairs.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("n"))
-    leaders = durable(leaders).withColumn("salts", F.ceil(F.col("n") / PAIRS_PER_SALT).cast("int"))
     left = sequences.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "seq")
     heads = leaders.join(left, ["a1", "a2"]).select("a1", "a2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "seq")
     none = F.lit(None).cast("long")
     heads = heads.select("a1", "a2", "salt", none.alias("b1"), none.alias("b2"), "seq")
     right = sequences.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), "seq")
-    members = pairs.join(leaders.select("a1", "a2", "salts"), ["a1", "a2"]).withColumn("salt", F.pmod(F.xxhash64("b1", "b2"), "salts").cast("int"))
+    members = pairs.withColumn("salt", F.pmod(F.xxhash64("b1", "b2"), "salts").cast("int"))
     members = members.join(right, ["b1", "b2"]).select("a1", "a2", "salt", "b1", "b2", "seq")
     rows = heads.unionByName(members).repartition("a1", "a2", "salt").sortWithinPartitions("a1", "a2", "salt", F.col("b1").asc_nulls_first())
     return rows.mapInArrow(_align(similarity), "a1 long, a2 long, b1 long, b2 long")
@@ -194,39 +205,55 @@ def _single_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.empty(0, np.int32), *each]))], names=[*batch.schema.names[:-1], "shingle"])
 
 
-def _split_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
-    roots = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rows.join(durable(roots.where("lo < hi").select("key")), "key", "left_semi")
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their ``node``; nodes that stand in no link are their own."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _split_texts(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k1, k2, n, r) of the texts in buckets that hold more than one component; ``r`` tells components apart."""
+    rows = rows.select("key", "n", _node("k1", "k2").alias("node"))
+    ends = _placed(rows, roots).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    texts = rows.join(durable(ends.where("lo < hi").select("key")), "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"))
+    return _placed(texts, roots).select("node.k1", "node.k2", "n", F.xxhash64("root").alias("r"))
 
 
-def _possible(texts: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+def _shingles_of(texts: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(shingle, f, k1, lo, hi): in how many of ``texts`` (k1, k2, n, r) it is, the least of these, the least and largest ``r``.
+
+    Only those that one text alone or several components have.
+    """
+    each = sequences.join(texts, ["k1", "k2"]).select("k1", "r", "seq").mapInArrow(_single_shingles, "k1 long, r long, shingle int")
+    counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("k1").alias("k1"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    return counted.where("f = 1 OR lo < hi").withColumn("f", F.col("f").cast("int"))
+
+
+def _possible(texts: DataFrame, sequences: DataFrame, similarity: float, counted: DataFrame | None = None) -> DataFrame:
     """``texts`` (k1, k2, n, r) without those that cannot be near any other.
 
     Shingles that no other text of ``texts`` has cannot be aligned. Texts that merely share a passage, or copies
-    edited too much, drop out here, however many there are.
+    edited too much, drop out here, however many there are. ``counted`` may give the ``_shingles_of`` the texts.
     """
-    shingle = sequences.join(texts, ["k1", "k2"], "left_semi").select("k1", "seq").mapInArrow(_single_shingles, "k1 long, shingle int")
-    counted = shingle.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("k1").alias("k1"))
-    own = durable(counted.where("f = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own")))
+    counted = _shingles_of(texts, sequences) if counted is None else counted
+    own = counted.where("f = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("own"))
     p, q = _fraction(similarity)
     return texts.join(own, "k1", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * q >= F.col("n") * p).drop("own")
 
 
-def _prefixes(texts: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+def _prefixes(texts: DataFrame, sequences: DataFrame, similarity: float, counted: DataFrame | None = None) -> DataFrame:
     """(shingle, k1, k2, n, r, after): the rarest shingles of each text, so many that near texts have one in common.
 
     All texts order their shingles alike: those that only one component has, then by frequency. ``after`` counts
     the shared ones that follow; a common shingle with fewer than the alignment needs cannot be a pair's first.
+    ``counted`` may give the ``_shingles_of`` these texts, or of more: then some count as shared that need not.
     """
     p, q = _fraction(similarity)
     # Rows of shingles carry as little as they can: the text's other columns come back when most rows are gone.
-    own = sequences.join(texts, ["k1", "k2"])
-    each = own.select("r", "seq").mapInArrow(_single_shingles, "r long, shingle int")
-    counted = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    own = sequences.join(texts, ["k1", "k2"], "left_semi").select("k1", "seq")
     # A written side lets Spark split the other side where a shingle is hot.
-    several = durable(counted.where("lo < hi").select("shingle", F.col("f").cast("int").alias("f")))
-    shared = own.select("k1", "seq").mapInArrow(_single_shingles, "k1 long, shingle int").join(several, "shingle")
+    counted = durable(_shingles_of(texts, sequences)) if counted is None else counted
+    several = counted.where("lo < hi").select("shingle", "f")
+    shared = own.mapInArrow(_single_shingles, "k1 long, shingle int").join(several, "shingle")
     rarest_last = Window.partitionBy("k1").orderBy(F.col("f").desc(), F.col("shingle").desc())
     ranked = shared.withColumn("after", F.row_number().over(rarest_last) - 1).join(texts, "k1")
     return ranked.where((F.col("after") + 1) * q >= F.col("n") * p).select("shingle", "k1", "k2", "n", "r", "after")
@@ -276,19 +303,23 @@ def _sequences_of(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return plain.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("seq").alias("seq"))
 
 
-def _merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _merged_below(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` (node, root), written, after the components that the further ``links`` (a, b) join have become one.
 
-    Only links between whole components are left to be searched, whose nodes are the least of their components.
+    Only links between whole components are left to be searched, whose nodes are the least of their components. Roots
+    have no row, neither in ``roots`` nor in what is returned.
     """
     for end in ("a", "b"):
         found = roots.withColumnRenamed("node", end)
         links = links.join(found, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-    merged = durable(connected_components(links.distinct()))
+    merged = components_below(downward(links).distinct())
     moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    # Nodes that the further links are the first to name.
-    new = merged.join(roots.select("node"), "node", "left_anti").select("node", "root")
-    return durable(moved.unionByName(new))
+    return durable(moved.unionByName(merged))
+
+
+def _merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``_merged_below`` where every root has a row."""
+    return with_roots(_merged_below(roots.where("node <> root"), links))
 
 
 def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -304,29 +335,31 @@ def near_duplicate_texts(keyed: DataFrame, similarity: float = SIMILARITY) -> Da
     entries = texts.select(F.explode("keys").alias("key"), "k1", "k2", "n")
     # Sides that are written before a join let Spark split the other side where a key is hot.
     company = durable(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    rows = durable(entries.join(company, "key"))
-    centre = durable(rows.groupBy("k1", "k2").agg(F.sum("size").alias("company")))
-    ranked = rows.join(centre, ["k1", "k2"])
+    # A text has ``SKETCHES`` rows at most, and so has its window.
+    in_text = Window.partitionBy("k1", "k2").orderBy("key")
+    whole = in_text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = entries.join(company, "key").withColumns({"company": F.sum("size").over(whole), "turn": F.row_number().over(in_text)})
+    ranked = durable(ranked.drop("size"))
     rank = F.struct("company", "k1", "k2")
     best = durable(ranked.groupBy("key").agg(F.max(F.struct("company", "k1", "k2", "n")).alias("c")))
-    pairs = (
+    # A leader has no more members than company.
+    pairs = durable(
         ranked.join(best, "key")
         .where((rank != F.struct("c.company", "c.k1", "c.k2")) & (F.least("n", "c.n") >= similarity * F.greatest("n", "c.n")))
-        .select(F.col("c.k1").alias("a1"), F.col("c.k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+        .select(F.col("c.k1").alias("a1"), F.col("c.k2").alias("a2"), _salts("c.company"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
         .distinct()
     )
-    sequences = durable(_sequences_of(keyed, centre.select("k1", "k2")))
-    node = lambda x, y: F.struct(F.col(x).alias("k1"), F.col(y).alias("k2"))
-    links = durable(_verified(durable(pairs), sequences, similarity))
-    roots = connected_components(links.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
-    roots = durable(roots)
-    placed = rows.withColumn("node", node("k1", "k2")).join(roots, "node", "left").select("key", "k1", "k2", "n", F.coalesce("root", "node").alias("root"))
-    split = durable(_split_buckets(placed).select("k1", "k2", "n", F.xxhash64("root").alias("r")).distinct())
-    prefixes = durable(_prefixes(durable(_possible(split, sequences, similarity)), sequences, similarity))
-    more = _verified(durable(_cross_pairs(prefixes, similarity)), sequences, similarity)
-    roots = _merged_roots(roots, more.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
-    grouped = texts.select("k1", "k2", "text_id", "copies", node("k1", "k2").alias("node")).join(roots, "node", "left")
-    grouped = grouped.select("k1", "k2", "text_id", "copies", F.coalesce("root", "node").alias("root"))
+    leaders = pairs.groupBy("a1", "a2").agg(F.first("salts").alias("salts"))
+    sequences = durable(_sequences_of(keyed, ranked.where("turn = 1").select("k1", "k2")))
+    # Leaders outrank their members, so no pair is linked twice.
+    roots = components_below(downward(_links(_verified(leaders, pairs, sequences, similarity))))
+    split = durable(_split_texts(ranked, roots))
+    counted = durable(_shingles_of(split, sequences))
+    prefixes = durable(_prefixes(durable(_possible(split, sequences, similarity, counted)), sequences, similarity, counted))
+    pairs = durable(_cross_pairs(prefixes, similarity))
+    leaders = durable(pairs.groupBy("a1", "a2").agg(F.count(F.lit(1)).alias("members"))).select("a1", "a2", _salts("members"))
+    roots = _merged_below(roots, _links(_verified(leaders, pairs.join(leaders, ["a1", "a2"]), sequences, similarity)))
+    grouped = _placed(texts.select("k1", "k2", "text_id", "copies", _node("k1", "k2").alias("node")), roots).drop("node")
     classes = grouped.groupBy("root").agg(F.min(F.struct("text_id", "k1", "k2")).alias("first"), F.sum("copies").alias("class_size"))
     is_first = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     class_key = F.concat(*(F.lpad(F.hex(f"root.{k}"), 16, "0") for k in ("k1", "k2")))
