@@ -106,3 +106,33 @@ def test_bitmap_is_read_by_one_run(spark):
     expected[[(i * 7919 - 3_000_000) % bits for i in range(1000)]] = 1
     assert (np.unpackbits(found, bitorder="little") == expected).all()
     assert taken < 20
+
+
+def test_roots_have_no_row_of_their_own(spark):
+    from qrelia.llm.components import components_below, downward
+
+    expected = {n: r for n, r in roots_of(GRAPHS["random"]).items() if n != r}
+    got = [tuple(r) for r in components_below(downward(frame(spark, GRAPHS["random"])).distinct()).collect()]
+    assert len(got) == len(expected) and dict(got) == expected
+
+
+def test_shingles_counted_over_more_texts_lose_no_pair(spark):
+    """One pass over the shingles of all texts serves those that can be near, too."""
+    from qrelia.llm import order_minhash
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(10):
+        base = rng.integers(0, 300, 50).tolist()
+        texts += [base, [x if rng.random() > 0.06 else 1000 + int(rng.integers(400)) for x in base]]
+        texts.append([*base[:25], *rng.integers(2000 + 100 * i, 2100 + 100 * i, 25).tolist()])  # can be near to none
+    kept = [np.array(list(dict.fromkeys(t)), np.uint32) for t in texts]
+    sequences = spark.createDataFrame([(i, -i, s.tobytes()) for i, s in enumerate(kept)], "k1 long, k2 long, seq binary")
+    known = spark.createDataFrame([(i, -i, len(s), i) for i, s in enumerate(kept)], "k1 long, k2 long, n long, r long")
+    counted = durable(order_minhash._shingles_of(known, sequences))
+    possible = durable(order_minhash._possible(known, sequences, 0.8, counted))
+    assert possible.count() < len(texts)
+    prefixes = order_minhash._prefixes(possible, sequences, 0.8, counted)
+    found = {(p.a1, p.b1) for p in order_minhash._cross_pairs(prefixes, 0.8).collect()}
+    near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if order_minhash.aligned_similarity(kept[i], kept[j]) >= 0.8}
+    assert near and near <= found
