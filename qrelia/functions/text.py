@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -20,6 +23,18 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, WHITESPACE), "")
 
 
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """``words`` of texts inside a task: Arrow splits at the same code points; a null text has no words."""
+    lists = pc.utf8_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    found = lists.flatten()
+    filled = pc.greater(pc.binary_length(found), 0)
+    if pc.all(filled).as_py():
+        return lists
+    text = pc.list_parent_indices(lists).filter(filled).to_numpy()
+    starts = np.searchsorted(text, np.arange(len(lists) + 1))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), found.filter(filled))
+
+
 def bm25_tokenize(c: Column) -> Column:
     """Lower-cased words."""
     return words(F.lower(c))

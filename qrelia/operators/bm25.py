@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qrelia.functions.text import bm25_tokenize
-from qrelia.operators.blocks import MATRIX_CELLS, pieces, block_topk
+from qrelia.functions.text import bm25_tokenize, word_lists
+from qrelia.operators.blocks import MATRIX_CELLS, block_topk, piece_rows, pieces, single
 from qrelia.operators.joins import fits_broadcast, lookup_join
+from qrelia.operators.ranking import SCORE_DIGITS
 from qrelia.session import durable
 
 # Parameters of the ranking function.
@@ -25,7 +26,9 @@ EPSILON = 0.25  # share of the mean idf given to terms whose own idf is negative
 BM25_DIM = -1  # truncate_dim of a BM25 run
 
 _POSTINGS_PER_SLICE = 2_000_000
+_HELD_TERMS = 1_000_000  # counts that a task holds before it adds them up
 _COMMON = 300  # a single sum costs as much as so many cells of a matrix product
+_COMMON_PIECES = 500  # the same in single precision and in the cache
 
 
 def bm25_tf(corpus: DataFrame) -> DataFrame:
@@ -39,15 +42,40 @@ def bm25_terms(corpus: DataFrame) -> DataFrame:
 
     The row with a NULL term stands for all documents, also those without any
     token: its ``df`` is their number and its ``tokens`` their total length.
+    Tasks count in Arrow; Spark adds up their counts.
     """
-    docs = corpus.select(bm25_tokenize(F.col("text")).alias("tokens"))
-    every_doc = F.lit(None).cast("string")
-    terms = docs.select(
-        F.size("tokens").alias("n"),
-        F.explode(F.array_append(F.array_distinct("tokens"), every_doc)).alias("term"),
-    )
-    length = F.when(F.col("term").isNull(), F.col("n")).otherwise(F.lit(0))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(length).alias("tokens"))
+    counts = corpus.select(F.lower("text").alias("text")).mapInArrow(_count_documents, "term string, df long, tokens long")
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
+def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    n_docs = n_tokens = 0
+    for batch in pieces(batches):
+        tokens = word_lists(batch.column("text").drop_null())
+        terms, _, term, tf = term_counts(tokens)
+        held.append(pa.table({"term": terms, "df": np.bincount(term, minlength=len(terms))}))
+        rows += len(terms)
+        n_docs, n_tokens = n_docs + len(tokens), n_tokens + int(tf.sum())
+        if rows > _HELD_TERMS:
+            held = [_added(held)]
+            rows = len(held[0])
+            if rows > _HELD_TERMS // 2:
+                yield from _term_rows(held.pop())
+                rows = 0
+    if held:
+        yield from _term_rows(_added(held))
+    if n_docs:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([n_docs]), pa.array([n_tokens])], names=["term", "df", "tokens"])
+
+
+def _added(held: list[pa.Table]) -> pa.Table:
+    added = pa.concat_tables(held).group_by("term", use_threads=False).aggregate([("df", "sum")])
+    return pa.table({"term": added["term"], "df": added["df_sum"]})
+
+
+def _term_rows(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+    return iter(counts.append_column("tokens", pa.array(np.zeros(len(counts), np.int64))).to_batches())
 
 
 def raw_idf(df: Column, n_docs: Column) -> Column:
@@ -127,12 +155,14 @@ class Bm25Scorer:
         encoded = terms.flatten().dictionary_encode()
         self.vocabulary = encoded.dictionary
         term = encoded.indices.to_numpy(zero_copy_only=False)
+        # A place of a term's uses, by term: the query and the weight there.
         by_term = np.argsort(term, kind="stable")
         self.query = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)[by_term]
         weights = queries.column("weights").combine_chunks().flatten()
         self.weight = weights.to_numpy(zero_copy_only=False)[by_term]
         self.begin = np.searchsorted(term[by_term], np.arange(len(self.vocabulary) + 1))
         self.uses = np.diff(self.begin)
+        self.rough_weight = self.weight.astype(np.float32)
 
     def matrices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         doc, term, gain = self._gains(batch)
@@ -178,6 +208,38 @@ class Bm25Scorer:
             scores[~matched] = -np.inf
         return scores
 
+    def pieces(self, batch: pa.RecordBatch) -> Iterator[Bm25Piece]:
+        terms = self._split_terms(*self._gains(batch), batch.num_rows)
+        for start, stop in piece_rows(len(self.query_ids), batch.num_rows):
+            yield Bm25Piece(self, terms, start, stop)
+
+    def _split_terms(self, doc: np.ndarray, term: np.ndarray, gain: np.ndarray, n_docs: int) -> _Terms:
+        """The terms of a batch: common ones as matrices, the others as they were found."""
+        n_queries = len(self.query_ids)
+        pairs = np.bincount(term, minlength=len(self.uses)) * self.uses
+        common = np.flatnonzero(pairs > n_queries * n_docs / _COMMON_PIECES)
+        slot = np.full(len(self.uses), -1)
+        slot[common] = np.arange(len(common))
+        at = ranges(self.begin[common], self.uses[common])
+        used = self.query[at], np.repeat(np.arange(len(common)), self.uses[common])
+        weights = np.zeros((n_queries, len(common)))
+        weights[used] = self.weight[at]
+        gains = np.zeros((n_docs, len(common)))
+        place = slot[term]
+        dense, rest = place >= 0, place < 0
+        gains[doc[dense], place[dense]] = gain[dense]
+        return _Terms(used, weights, gains, weights.astype(np.float32), gains.astype(np.float32), doc[rest], term[rest], gain[rest])
+
+    @cached_property
+    def rough_error(self) -> np.ndarray | None:
+        """The share by which a query's rough scores may be off, or None if weights are negative.
+
+        The factors, the product and every sum are rounded, each by half a unit in the last place at most.
+        """
+        if (self.weight < 0).any():
+            return None
+        return (np.bincount(self.query, minlength=len(self.query_ids)) + 4) * 2.0**-23
+
     def _gains(self, batch: pa.RecordBatch):
         """Sorted (document, term) pairs of the query vocabulary and their tf gain."""
         if "tfs" in batch.schema.names:
@@ -193,7 +255,6 @@ class Bm25Scorer:
         norm = batch.column("norm").to_numpy(zero_copy_only=False)
         return doc, term, tf * (K1 + 1) / (tf + norm[doc])
 
-
     def _counted_gains(self, batch: pa.RecordBatch):
         """The same from documents whose terms were counted before."""
         terms = batch.column("terms")
@@ -205,29 +266,129 @@ class Bm25Scorer:
         return doc, term.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), tf * (K1 + 1) / (tf + norm[doc])
 
 
+@dataclass
+class _Terms:
+    """Queries x and documents x common terms, each in double and single precision, and other terms of the documents."""
+
+    used: tuple[np.ndarray, np.ndarray]  # cells of ``weights`` that stand for a term of the query
+    weights: np.ndarray
+    gains: np.ndarray
+    rough_weights: np.ndarray
+    rough_gains: np.ndarray
+    doc: np.ndarray
+    term: np.ndarray
+    gain: np.ndarray
+
+
+class Bm25Piece:
+    """Scores of a scorer's queries for a few documents of a batch."""
+
+    dim = BM25_DIM
+
+    def __init__(self, scorer: Bm25Scorer, terms: _Terms, start: int, stop: int):
+        self.scorer, self.terms, self.first_row, self.stop = scorer, terms, start, stop
+        lo, hi = np.searchsorted(terms.doc, [start, stop])
+        self.doc, self.term, self.gain = terms.doc[lo:hi] - start, terms.term[lo:hi], terms.gain[lo:hi]
+        self.load = np.r_[0, np.cumsum(scorer.uses[self.term])]
+        self.added: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def _add_sums(self, scores: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Add the terms that are not common, a bounded number of sums at a time: (first sum, place of the use, cell)."""
+        gain, load = self.gain.astype(weight.dtype), self.load
+        start = 0
+        while start < len(gain):
+            stop = max(start + 1, int(np.searchsorted(load, load[start] + _POSTINGS_PER_SLICE, "right")) - 1)
+            n = np.diff(load[start : stop + 1])
+            at = np.repeat(self.scorer.begin[self.term[start:stop]] - load[start:stop], n)
+            at += np.arange(load[start], load[stop])
+            cell = self.scorer.query.take(at)
+            cell *= scores.shape[1]
+            cell += np.repeat(self.doc[start:stop], n)
+            value = weight.take(at)
+            value *= np.repeat(gain[start:stop], n)
+            np.add.at(scores.reshape(-1), cell, value)
+            yield int(load[start]), at, cell
+            start = stop
+
+    def exact(self) -> np.ndarray:
+        gains = self.terms.gains[self.first_row : self.stop].T
+        scores = self.terms.weights @ gains
+        if self.scorer.only_matches:
+            uses = np.zeros_like(self.terms.weights)
+            uses[self.terms.used] = 1.0
+            matched = uses @ (gains > 0).astype(float) > 0
+        for _, _, cell in self._add_sums(scores, self.scorer.weight):
+            if self.scorer.only_matches:
+                matched.reshape(-1)[cell] = True
+        if self.scorer.only_matches:
+            scores[~matched] = -np.inf
+        return scores
+
+    def rough(self) -> np.ndarray | None:
+        if self.scorer.only_matches or self.scorer.rough_error is None:
+            return None
+        scores = self.terms.rough_weights @ self.terms.rough_gains[self.first_row : self.stop].T
+        self.added = list(self._add_sums(scores, self.scorer.rough_weight))
+        return scores
+
+    def lowest(self, floor: np.ndarray) -> np.ndarray:
+        """No weight is negative, so that the error is a share of the score and a rough score is 0 only if the exact one is."""
+        return np.maximum(single(floor * (1 - self.scorer.rough_error) - 10.0**-SCORE_DIGITS), np.float32(0))
+
+    def at(self, cells: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        q, d = np.divmod(cells, marked.shape[1])
+        scores = np.einsum("ij,ij->i", self.terms.weights[q], self.terms.gains[self.first_row + d])
+        place = np.empty(marked.size, np.int32)
+        place[cells] = np.arange(len(cells))
+        for first, at, cell in self.added:
+            hit = np.flatnonzero(marked.reshape(-1).take(cell))
+            gain = self.gain[np.searchsorted(self.load, first + hit, "right") - 1]
+            np.add.at(scores, place[cell[hit]], self.scorer.weight[at[hit]] * gain)
+        return scores
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ranges start, start + 1, ... of the given lengths."""
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def term_counts(tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, document, term, tf): each term of a document once, by document, as a place among the terms."""
+    coded = tokens.flatten().dictionary_encode()
+    bits = max(len(coded.dictionary), 1).bit_length()
+    doc = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    pair = np.sort((doc << bits) | coded.indices.to_numpy(zero_copy_only=False))
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    tf = np.diff(first, append=len(pair))
+    return coded.dictionary, pair[first] >> bits, pair[first] & ((1 << bits) - 1), tf
+
+
+def _norms(tokens: pa.ListArray, avgdl: float) -> np.ndarray:
+    return K1 * ((1 - B) + B * (tokens.value_lengths().to_numpy(zero_copy_only=False) / (avgdl or 1.0)))
+
+
+def tokenized(batches: Iterator[pa.RecordBatch], avgdl: float) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, lower-cased text) as (doc_id, tokens, norm)."""
+    for batch in pieces(batches):
+        tokens = word_lists(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), tokens, pa.array(_norms(tokens, avgdl))], names=["doc_id", "tokens", "norm"])
+
+
 _COUNTED = "doc_id string, terms array<string>, tfs array<int>, norm double"
 
 
-def counted_terms(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, tokens, norm) with each term once and how often it occurs."""
+def counted_terms(docs: DataFrame, avgdl: float) -> DataFrame:
+    """Documents (doc_id, lower-cased text) with each term once and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            tokens = batch.column("tokens")
-            coded = tokens.flatten().dictionary_encode()
-            size = max(len(coded.dictionary), 1)
-            doc = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, tf = np.unique(doc * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            at = pa.array(np.searchsorted(pair // size, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, x) for x in (coded.dictionary.take(pa.array(pair % size)), pa.array(tf, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, batch.column("norm")], names=[c.split()[0] for c in _COUNTED.split(", ")])
+            tokens = word_lists(batch.column("text"))
+            terms, doc, term, tf = term_counts(tokens)
+            at = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (terms.take(pa.array(term)), pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.array(_norms(tokens, avgdl))], names=[c.split()[0] for c in _COUNTED.split(", ")])
 
-    return docs.select("doc_id", "tokens", "norm").mapInArrow(count, _COUNTED)
+    return docs.mapInArrow(count, _COUNTED)
 
 
 def bm25_rank(
@@ -240,10 +401,7 @@ def bm25_rank(
     share a term with the query, whatever its weight.
     """
     index = bm25_index(corpus)
-    tokens = bm25_tokenize(F.col("text"))
-    length = F.size("tokens") / F.lit(index.avgdl or 1.0)
-    docs = corpus.select("doc_id", tokens.alias("tokens")).withColumn(
-        "norm", F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length)
-    )
+    docs = corpus.select("doc_id", F.lower("text").alias("text"))
     scorer = partial(Bm25Scorer, only_matches=not pad_zero_scores)
-    return block_topk(docs, query_weights(queries, index), scorer, k, reuse_docs=True, prepare=counted_terms)
+    read, prepare = partial(tokenized, avgdl=index.avgdl), partial(counted_terms, avgdl=index.avgdl)
+    return block_topk(docs, query_weights(queries, index), scorer, k, reuse_docs=True, read=read, prepare=prepare)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qrelia.operators.blocks import MATRIX_CELLS, block_topk
+from qrelia.operators.blocks import MATRIX_CELLS, block_topk, piece_rows, single
 
 
 def to_matrix(lists: pa.Array) -> np.ndarray:
@@ -48,6 +48,39 @@ class DenseScorer:
                 yield dim, start, block @ docs[start : start + step].T
 
 
+    def pieces(self, batch: pa.RecordBatch) -> Iterator[DensePiece]:
+        full = to_matrix(batch.column("vector"))
+        for dim, block in self.queries.items():
+            docs = unit_rows(full[:, :dim])
+            rough = docs.astype(np.float32)
+            asked = block, block.astype(np.float32)
+            # Both factors, each product and each sum are rounded; the absolute products of unit vectors sum to at most 1.
+            # All scores of a zero vector are 0, so that none is above another.
+            error = np.where(block.any(axis=1), (dim + 8) * 2.0**-23, -np.inf)
+            for start, stop in piece_rows(len(block), len(docs)):
+                yield DensePiece(dim, start, asked, (docs[start:stop], rough[start:stop]), error)
+
+
+class DensePiece:
+    """Products of unit vectors, which are pairs of one matrix in double and one in single precision."""
+
+    def __init__(self, dim: int, first_row: int, asked: tuple[np.ndarray, np.ndarray], docs: tuple[np.ndarray, np.ndarray], error: np.ndarray):
+        self.dim, self.first_row, self.asked, self.docs, self.error = dim, first_row, asked, docs, error
+
+    def exact(self) -> np.ndarray:
+        return self.asked[0] @ self.docs[0].T
+
+    def rough(self) -> np.ndarray:
+        return self.asked[1] @ self.docs[1].T
+
+    def lowest(self, floor: np.ndarray) -> np.ndarray:
+        return single(floor - self.error)
+
+    def at(self, cells: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        q, d = np.divmod(cells, len(self.docs[0]))
+        return np.einsum("ij,ij->i", self.asked[0][q], self.docs[0][d])
+
+
 def vector_length(df: DataFrame) -> int:
     row = df.select(F.size("vector")).first()
     return row[0] if row else 0

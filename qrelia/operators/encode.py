@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qrelia.functions.text import word_lists
 from qrelia.operators.dense import unit_rows
 from qrelia.session import small_batches
 
@@ -54,25 +57,30 @@ def hashing_encoder(dim: int) -> Callable[[], Encoder]:
     """Deterministic encoder for tests: signed counts of lower-cased words by digest."""
 
     def make() -> Encoder:
-        slots: dict[str, tuple[int, float]] = {}
-
-        def slot(word: str) -> tuple[int, float]:
-            if word not in slots:
-                if len(slots) >= MOST_WORDS:
-                    slots.clear()
-                digest = hashlib.md5(word.encode()).hexdigest()
-                slots[word] = int(digest[:8], 16) % dim, 1.0 - 2.0 * (int(digest[8], 16) % 2)
-            return slots[word]
+        known: dict[str, int] = {}
+
+        def codes(words: list[str]) -> np.ndarray:
+            """Twice the slot of a word, and 1 more if it counts as negative."""
+            out = np.array([known.get(w, -1) for w in words])
+            new = np.flatnonzero(out < 0)
+            if len(new):
+                unknown = [words[i] for i in new.tolist()]
+                digests = np.frombuffer(b"".join([hashlib.md5(w.encode()).digest() for w in unknown]), np.uint8).reshape(-1, 16)
+                out[new] = 2 * (digests[:, :4].astype(np.int64) @ [1 << 24, 1 << 16, 1 << 8, 1] % dim) + (digests[:, 4] >> 4) % 2
+                if len(known) + len(unknown) > MOST_WORDS:
+                    known.clear()
+                known.update(zip(unknown[:MOST_WORDS], out[new].tolist()))
+            return out
 
         def encode(texts: Sequence[str]) -> np.ndarray:
-            words = [t.lower().split() for t in texts]
-            row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-            pairs = [slot(w) for ws in words for w in ws]
-            out = np.zeros((len(texts), dim))
-            if pairs:
-                at, sign = zip(*pairs)
-                np.add.at(out, (row, np.array(at)), np.array(sign))
-            return out
+            words = word_lists(pa.array([t.lower() for t in texts], pa.string()))
+            coded = words.flatten().dictionary_encode()
+            if not len(coded):
+                return np.zeros((len(texts), dim))
+            # Each different word of the texts is looked up once.
+            code = codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+            cell = pc.list_parent_indices(words).to_numpy().astype(np.int64) * dim + code // 2
+            return np.bincount(cell, 1.0 - 2.0 * (code % 2), len(texts) * dim).reshape(len(texts), dim)
 
         return encode
 
