@@ -5,11 +5,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qrelia.functions.text import words
-from qrelia.operators.joins import broadcast_if_small
+from qrelia.functions.text import word_lists, words
+from qrelia.operators.blocks import pieces
+from qrelia.operators.joins import fits_broadcast
 from qrelia.operators.pooling import pool_vectors
 from qrelia.session import durable, spread
 from qrelia.sources.retrieval import RetrievalData, RetrievalSpec, load_spec
@@ -34,13 +38,41 @@ def planted_pairs(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     items = benchmark.select(
         "item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w")
-    ).select("item_id", "passage", longest["w"].alias("word"))
+    ).select("item_id", "passage", longest["w"].alias("word")).where("word IS NOT NULL")
+    if fits_broadcast(items):
+        return _found_in_tasks(documents, items)
     docs = documents.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    return (
-        docs.join(broadcast_if_small(items), "word")
-        .where(F.contains("text", "passage"))
-        .select("item_id", "doc_id")
-    )
+    return docs.join(items, "word").where(F.contains("text", "passage")).select("item_id", "doc_id")
+
+
+def _found_in_tasks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The same join with a broadcast of the items, on words that Arrow splits."""
+    sent = documents.sparkSession.sparkContext.broadcast(items.toArrow())
+    kinds = dict(documents.dtypes) | dict(items.dtypes)
+
+    def find(batches):
+        found = sent.value
+        coded = found.column("word").combine_chunks().dictionary_encode()
+        passages = [p.encode() for p in found.column("passage").to_pylist()]
+        n_words = max(len(coded.dictionary), 1)
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        of_word = np.split(order, np.searchsorted(coded.indices.to_numpy()[order], np.arange(1, n_words)))
+        for batch in pieces(batches):
+            texts = batch.column("text")
+            lists = word_lists(texts)
+            word = pc.index_in(lists.flatten(), value_set=coded.dictionary)
+            doc = pc.list_parent_indices(lists).filter(word.is_valid()).to_numpy().astype(np.int64)
+            pairs = np.unique(doc * n_words + word.drop_null().to_numpy())
+            rows = []
+            for d, w in zip(*(x.tolist() for x in np.divmod(pairs, n_words))):
+                text = texts[d].as_py().encode()
+                rows += [(i, d) for i in of_word[w] if passages[i] in text]
+            item, doc = np.array(rows, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [found.column("item_id").combine_chunks().take(pa.array(item)), batch.column("doc_id").take(pa.array(doc))], names=["item_id", "doc_id"]
+            )
+
+    return documents.select("doc_id", "text").mapInArrow(find, f"item_id {kinds['item_id']}, doc_id {kinds['doc_id']}")
 
 
 def bench_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
